@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, secret_scan
+from . import language_id, quality_rules, secret_scan, substring_dedup
 from .common import table
 
 
@@ -12,12 +13,24 @@ def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_lines(table(spark, sf_dir, "documents"))
 
 
+def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_quality_rules": quality_rules_query,
+    "op2_language_id": language_id_query,
+    "op8_substring_dedup": substring_dedup_query,
     "op10_secret_scan": secret_scan_query,
 }
 ORACLES: dict[str, str] = {}
