@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_rules, secret_scan, substring_dedup
+from . import language_id, ngram_join, quality_rules, secret_scan, substring_dedup
 from .common import table
 
 
@@ -18,6 +18,10 @@ def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_ngrams(table(spark, sf_dir, "documents"), k=3, threshold=0.9)
+
+
 def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -30,6 +34,7 @@ def secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": quality_rules_query,
     "op2_language_id": language_id_query,
+    "op7_ngram_join": ngram_join_query,
     "op8_substring_dedup": substring_dedup_query,
     "op10_secret_scan": secret_scan_query,
 }

@@ -1,10 +1,11 @@
-"""A count-min sketch that answers one question: may this key have been seen twice or more?
-
-Two rows of 2^bits cells, each cell a counter that stops at two. Every partition builds its own sketch and gives
-its touched cells as 16-bit offsets within blocks of 65,536 cells; blocks are merged in two rounds, so no task
-holds a block's share of all partitions. What is left at the end is one bit a cell (two or more), 2 * 2^bits / 8 bytes.
-The width follows the number of keys up to `max_bits`, so the merged sketch has a fixed greatest size. Counters
-only overestimate: past that width more keys look repeated, but none that is repeated is ever missed.
+"""A count-min sketch that answers one question: about how often may this key have been seen?
+
+Two rows of 2^bits cells, each cell a counter that stops at 255. Every partition builds its own sketch and gives its
+touched cells as 16-bit offsets within blocks of 65,536 cells, with their counts; blocks are merged in two rounds, so
+no task holds a block's share of all partitions. What is left at the end is one bit a cell for each level asked for
+(two or more; thirty-two or more), ROWS * levels * 2^bits / 8 bytes. The width follows the number of keys up to
+`max_bits`, so the merged sketch has a fixed greatest size. Counters only overestimate: past that width more keys
+look repeated, but none that is repeated is ever missed.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from .wordhash import mix
 ROWS = 2
 _BLOCK = 16
 _SALTS = 16
-_PARTIAL = "plane int, block int, salt int, once binary, twice binary"
+_PARTIAL = "plane int, block int, salt int, cell binary, n binary"
 _FLUSH = 1 << 21
 
 
-def width_for(keys: float, max_bits: int) -> int:
-    """Cells (as a power of two) for about `keys` keys: eight a key, at least 2^16, at most 2^max_bits."""
-    return int(min(max_bits, max(_BLOCK, np.ceil(np.log2(max(keys, 1) * 8)))))
+def width_for(keys: float, max_bits: int, spare: int = 8) -> int:
+    """Cells (as a power of two) for about `keys` keys: `spare` a key, at least 2^16, at most 2^max_bits."""
+    return int(min(max_bits, max(_BLOCK, np.ceil(np.log2(max(keys, 1) * spare)))))
 
 
 def cells(keys: np.ndarray, plane: int, bits: int) -> np.ndarray:
@@ -38,42 +39,42 @@ def cells(keys: np.ndarray, plane: int, bits: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Repeats:
-    """planes[r] has a set bit for each cell of row r that was counted twice or more."""
+    """planes[r][k] has a set bit for each cell of row r that was counted levels[k] times or more."""
 
     bits: int
-    planes: tuple[np.ndarray, ...]
+    levels: tuple[int, ...]
+    planes: tuple[tuple[np.ndarray, ...], ...]
 
-    def may_repeat(self, keys: np.ndarray) -> np.ndarray:
-        """True for every key that was counted twice or more, and for few others."""
-        out = np.ones(len(keys), bool)
-        for r, plane in enumerate(self.planes):
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """How many of the levels a key may have reached; never fewer than it has."""
+        out = np.full(len(keys), len(self.levels), np.int8)
+        for r, planes in enumerate(self.planes):
             at = cells(keys, r, self.bits)
-            out &= (plane[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            byte, bit = at >> 3, (at & 7).astype(np.uint8)
+            out = np.minimum(out, sum(((plane[byte] >> bit) & 1).astype(np.int8) for plane in planes))
         return out
 
-
-def _split(cell: np.ndarray) -> dict[int, np.ndarray]:
-    """Sorted cells by block, as offsets."""
-    block = cell >> _BLOCK
-    at = np.flatnonzero(np.diff(block, prepend=-1))
-    return {int(block[a]): (cell[a:b] & 0xFFFF).astype("<u2") for a, b in zip(at, [*at[1:], len(cell)], strict=True)}
+    def may_repeat(self, keys: np.ndarray) -> np.ndarray:
+        """True for every key that was counted twice or more, and for few others."""
+        return self.level(keys) > 0
 
 
 def _partial(keys: np.ndarray, bits: int, salt: int) -> Iterator[tuple]:
     for r in range(ROWS):
-        once, n = np.unique(cells(keys, r, bits), return_counts=True)
-        twice = _split(once[n > 1])
-        for block, offsets in _split(once).items():
-            yield r, block, salt, offsets.tobytes(), twice.get(block, offsets[:0]).tobytes()
+        cell, n = np.unique(cells(keys, r, bits), return_counts=True)
+        block, n = cell >> _BLOCK, np.minimum(n, 255).astype(np.uint8)
+        at = np.flatnonzero(np.diff(block, prepend=-1))
+        offsets = (cell & 0xFFFF).astype("<u2")
+        for a, b in zip(at, [*at[1:], len(cell)], strict=True):
+            yield r, int(block[a]), salt, offsets[a:b].tobytes(), n[a:b].tobytes()
 
 
-def _merge(once: list[bytes], twice: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    n = np.bincount(np.frombuffer(b"".join(once), "<u2"), minlength=1 << _BLOCK)
-    n[np.frombuffer(b"".join(twice), "<u2")] = 2
-    return np.flatnonzero(n).astype("<u2"), np.flatnonzero(n > 1).astype("<u2")
+def _merge(cell: list[bytes], n: list[bytes]) -> np.ndarray:
+    at, n = np.frombuffer(b"".join(cell), "<u2"), np.frombuffer(b"".join(n), np.uint8)
+    return np.minimum(np.bincount(at, weights=n, minlength=1 << _BLOCK), 255).astype(np.uint8)
 
 
-def count(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> Repeats:
+def count(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, levels: tuple[int, ...] = (2,)) -> Repeats:
     """Sketch all keys that keys_of reads from df's batches."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +85,7 @@ def count(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray
             for a in range(0, len(rows), 2048):
                 columns = list(zip(*rows[a : a + 2048], strict=True))
                 types = [pa.int32()] * 3 + [pa.binary()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["plane", "block", "salt", "once", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["plane", "block", "salt", "cell", "n"])
 
         held: list[np.ndarray] = []
         for batch in batches:
@@ -97,22 +98,22 @@ def count(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray
             yield from give(held)
 
     def merge(pdf):
-        once, twice = _merge(list(pdf["once"]), list(pdf["twice"]))
-        return pdf.iloc[:1].assign(once=once.tobytes(), twice=twice.tobytes())
+        n = _merge(list(pdf["cell"]), list(pdf["n"]))
+        at = np.flatnonzero(n)
+        return pdf.iloc[:1].assign(cell=at.astype("<u2").tobytes(), n=n[at].tobytes())
 
     def finish(pdf):
-        _, twice = _merge(list(pdf["once"]), list(pdf["twice"]))
-        flags = np.zeros(1 << _BLOCK, np.uint8)
-        flags[twice] = 1
-        return pdf.iloc[:1][["plane", "block"]].assign(bitmap=np.packbits(flags, bitorder="little").tobytes())
+        n = _merge(list(pdf["cell"]), list(pdf["n"]))
+        return pdf.iloc[:1][["plane", "block"]].assign(bitmap=b"".join(np.packbits(n >= k, bitorder="little").tobytes() for k in levels))
 
     parts = df.mapInArrow(build, _PARTIAL).groupBy("plane", "block", "salt").applyInPandas(merge, _PARTIAL)
     merged = parts.groupBy("plane", "block").applyInPandas(finish, "plane int, block int, bitmap binary")
-    planes = tuple(np.zeros(max(1, (1 << bits) // 8), np.uint8) for _ in range(ROWS))
+    planes = tuple(tuple(np.zeros((1 << bits) // 8, np.uint8) for _ in levels) for _ in range(ROWS))
     size = (1 << _BLOCK) // 8
-    for r, block, bitmap in merged.collect():  # ROWS * 2^bits / 8 bytes at most
-        planes[r][block * size : (block + 1) * size] = np.frombuffer(bitmap, np.uint8)
-    return Repeats(bits, planes)
+    for r, block, bitmap in merged.collect():  # ROWS * levels * 2^bits / 8 bytes at most
+        for k in range(len(levels)):
+            planes[r][k][block * size : (block + 1) * size] = np.frombuffer(bitmap, np.uint8)[k * size : (k + 1) * size]
+    return Repeats(bits, levels, planes)
 
 
 def total_bytes(df: DataFrame, column: str = "text") -> int:
