@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, quality_rules, secret_scan, substring_dedup
+from . import decontaminate, html_extract, language_id, ngram_join, quality_rules, secret_scan, substring_dedup, url_filter
 from .common import table
 
 
@@ -18,6 +18,18 @@ def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def html_extract_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_ngrams(table(spark, sf_dir, "documents"), k=3, threshold=0.9)
 
@@ -34,6 +46,9 @@ def secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": quality_rules_query,
     "op2_language_id": language_id_query,
+    "op4_html_extract": html_extract_query,
+    "op5_decontaminate": decontaminate_query,
+    "op6_url_filter": url_filter_query,
     "op7_ngram_join": ngram_join_query,
     "op8_substring_dedup": substring_dedup_query,
     "op10_secret_scan": secret_scan_query,
