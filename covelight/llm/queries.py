@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, ngram_join, quality_rules, secret_scan, substring_dedup, url_filter
+from . import decontaminate, html_extract, language_id, ngram_join, piece_codec, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter
 from .common import table
 
 
@@ -18,6 +20,23 @@ def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+#: Folder of the public tokenizers' files.
+TOKENIZERS = os.environ.get("COVELIGHT_TOKENIZERS", "/opt/tokenizers")
+MODEL_FILE = f"{TOKENIZERS}/piece_bpe_32k.model"
+
+
+def piece_codec_query(spark: SparkSession, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
+    """Every document encoded and decoded again; the digest of its ids instead of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piece_codec.decode(piece_codec.encode(docs, model_file), model_file)
+    same = F.col("decoded") == F.translate("text", piece_codec.SPACE, " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
+
+
+def quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def html_extract_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -46,11 +65,13 @@ def secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": quality_rules_query,
     "op2_language_id": language_id_query,
+    "op3_piece_codec": piece_codec_query,
     "op4_html_extract": html_extract_query,
     "op5_decontaminate": decontaminate_query,
     "op6_url_filter": url_filter_query,
     "op7_ngram_join": ngram_join_query,
     "op8_substring_dedup": substring_dedup_query,
+    "op9_quality_classifier": quality_classifier_query,
     "op10_secret_scan": secret_scan_query,
 }
 ORACLES: dict[str, str] = {}

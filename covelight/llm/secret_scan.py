@@ -251,3 +251,28 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"])
 
     return id_text(df, id_col, text_col).mapInArrow(run, SCHEMA)
+
+
+def redact(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
+    """df with every span of text_col replaced by mark, overlapping spans by one; other columns and null texts as they are."""
+    auto = compile_rules(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = tuple(re.compile(r.pattern.encode()) for r in rules)
+        for batch in batches:
+            column = batch.column(text_col)
+            texts = column.to_pylist()
+            only = pa.RecordBatch.from_arrays([column], ["text"])
+            for a, _, data, offsets in text_blocks(only):
+                bits = scan(auto, data, offsets)
+                for i in np.flatnonzero(bits):
+                    text, parts, at = texts[a + i], [], 0
+                    for start, _, end in spans_of(text.encode(), int(bits[i]), rules, patterns):
+                        if start >= at:
+                            parts += [text[at:start], mark]
+                        at = max(at, end)
+                    texts[a + i] = "".join(parts) + text[at:]
+            place = batch.schema.get_field_index(text_col)
+            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, column.type))
+
+    return df.mapInArrow(run, df.schema)
