@@ -1,8 +1,8 @@
 """A count-min sketch that answers one question: about how often may this key have been seen?
 
 Two rows of 2^bits cells, each cell a counter that stops at 255. Every partition builds its own sketch and gives its
-touched cells as 16-bit offsets within blocks of 65,536 cells, with their counts; blocks are merged in two rounds, so
-no task holds a block's share of all partitions. What is left at the end is one bit a cell for each level asked for
+touched cells as 16-bit offsets within blocks of 65,536 cells, with their counts; past 256 partitions blocks are
+merged in two rounds, so no task holds a block's share of all partitions. What is left at the end is one bit a cell for each level asked for
 (two or more; thirty-two or more), ROWS * levels * 2^bits / 8 bytes. The width follows the number of keys up to
 `max_bits`, so the merged sketch has a fixed greatest size. Counters only overestimate: past that width more keys
 look repeated, but none that is repeated is ever missed.
@@ -23,7 +23,8 @@ from .wordhash import mix
 
 ROWS = 2
 _BLOCK = 16
-_SALTS = 16
+#: Partitions' pieces of a block that one task merges.
+_FAN_IN = 256
 _PARTIAL = "plane int, block int, salt int, cell binary, n binary"
 _FLUSH = 1 << 21
 
@@ -76,9 +77,10 @@ def _merge(cell: list[bytes], n: list[bytes]) -> np.ndarray:
 
 def count(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, levels: tuple[int, ...] = (2,)) -> Repeats:
     """Sketch all keys that keys_of reads from df's batches."""
+    salts = -(-df.rdd.getNumPartitions() // _FAN_IN)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) % _SALTS
+        salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) % salts
 
         def give(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             rows = list(_partial(np.concatenate(held), bits, salt))
@@ -106,7 +108,9 @@ def count(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray
         n = _merge(list(pdf["cell"]), list(pdf["n"]))
         return pdf.iloc[:1][["plane", "block"]].assign(bitmap=b"".join(np.packbits(n >= k, bitorder="little").tobytes() for k in levels))
 
-    parts = df.mapInArrow(build, _PARTIAL).groupBy("plane", "block", "salt").applyInPandas(merge, _PARTIAL)
+    parts = df.mapInArrow(build, _PARTIAL)
+    if salts > 1:
+        parts = parts.groupBy("plane", "block", "salt").applyInPandas(merge, _PARTIAL)
     merged = parts.groupBy("plane", "block").applyInPandas(finish, "plane int, block int, bitmap binary")
     planes = tuple(tuple(np.zeros((1 << bits) // 8, np.uint8) for _ in levels) for _ in range(ROWS))
     size = (1 << _BLOCK) // 8
