@@ -10,8 +10,9 @@ By the pigeonhole rule it suffices to join on each set's first d + 1 pieces in a
 The order here is rarest first, by a count-min sketch over all pieces, so common passages and empty pieces fall out
 and pieces that no other set has need no row; a set with d + 1 of those has no partner at all. What is left meets in
 buckets by piece. Sets of one bucket are first linked through pivots and connected; then any two sets of a bucket
-that are still in different components are compared too, so no link between components is lost. Every link is
-verified on the whole shingle sets. Equal sets count as one throughout.
+that are still in different components are compared too, so no link between components is lost. That is done
+block against block on whole parity sketches inside tasks: no pair becomes a row unless its Hamming distance allows a
+link. Every link is verified on the whole shingle sets. Equal sets count as one throughout.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .wordhash import mix, span_hashes, windows_of, words_of
 
 #: Bits of a piece of the sketch.
 PIECE_BITS = 1 << 12
+#: Sets of one bucket that are compared as a block.
+BLOCK = 256
 
 
 @lru_cache(maxsize=8)
@@ -88,6 +91,59 @@ def prefix_keys(shingles: np.ndarray, t: Fraction, seen: Repeats) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The set's whole parity sketch in 64-bit words: four bits a shingle or more, a power of two; halves fold by XOR."""
+    bits = max(256, 1 << int(4 * len(shingles) - 1).bit_length())
+    flips = np.bincount((mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _stack(sketches: list[bytes], words: int) -> np.ndarray:
+    out = np.empty((len(sketches), words), np.uint64)
+    for i, raw in enumerate(sketches):
+        w = np.frombuffer(raw, np.uint64)
+        while len(w) > words:
+            w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+        out[i] = w
+    return out
+
+
+def _near_pairs(blocked: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs (a, b) in different components of one key whose sketches are near enough for a link; blocked: key, block and
+    members, an array of (sid, component, n, sketch)."""
+    p, q = t.numerator, t.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right, same = batch.column("left"), batch.column("right"), batch.column("same").to_pylist()
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for i in range(batch.num_rows):
+                sides = []
+                for side in (left, right):
+                    m = side[i].values
+                    sides.append([m.field(c).to_numpy() for c in ("sid", "component", "n")] + [m.field("sketch").to_pylist()])
+                (sa, ca, na, ka), (sb, cb, nb, kb) = sides
+                words = min(min(map(len, ka)), min(map(len, kb))) // 8
+                xa, xb = _stack(ka, words), _stack(kb, words)
+                for j in range(len(sa)):
+                    may = (ca[j] != cb) & (p * na[j] <= q * nb) & (p * nb <= q * na[j])
+                    if same[i]:
+                        may[: j + 1] = False
+                    at = np.flatnonzero(may)
+                    if len(at):
+                        gap = np.bitwise_count(xa[j] ^ xb[at]).sum(1, dtype=np.int64)
+                        at = at[gap * (p + q) <= (q - p) * (na[j] + nb[at])]
+                        found.append((np.full(len(at), sa[j]), sb[at]))
+            a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
+            b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    left = blocked.select("key", F.col("block").alias("x"), F.col("members").alias("left"))
+    right = blocked.select("key", F.col("block").alias("y"), F.col("members").alias("right"))
+    met = left.join(right.hint("merge"), "key").where("x <= y").select("left", "right", (F.col("x") == F.col("y")).alias("same"))
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (a, b) of set ids whose sets link."""
     p, q = t.numerator, t.denominator
@@ -153,6 +209,11 @@ def join_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
                     types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, types, strict=True)], ["sid", "n", "keys", "shingles"])
 
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = [sketch(np.frombuffer(s.as_py(), np.uint64)).tobytes() for s in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("n"), pa.array(drawn, pa.binary())], ["sid", "n", "sketch"])
+
     own = cut(docs.mapInArrow(describe, "doc_id long, n long, sid long"))
     sets = cut(docs.select("text").mapInArrow(candidates, "sid long, n long, keys array<long>, shingles binary").dropDuplicates(["sid"]))
     buckets = sets.select("sid", F.explode("keys").alias("key"))
@@ -168,8 +229,10 @@ def join_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         if last:
             apart = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
             open_ = cut(named.join(apart.hint("merge"), "key").select("key", "sid", "component"))
-            other = open_.select("key", F.col("sid").alias("sid2"), F.col("component").alias("component2"))
-            more = open_.join(other.hint("merge"), "key").where("component < component2").select(*_pairs("sid", "sid2")).distinct()
+            drawn = sets.join(open_.select("sid").distinct().hint("merge"), "sid").select("sid", "n", "shingles").mapInArrow(draw, "sid long, n long, sketch binary")
+            blocks = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+            placed = open_.join(blocks.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks"))).join(drawn.hint("merge"), "sid")
+            more = _near_pairs(placed.groupBy("key", "block").agg(F.collect_list(F.struct("sid", "component", "n", "sketch")).alias("members")), t)
         else:
             ends = label.select(F.col("node"), F.col("component").alias("c"))
             star = named.select("sid", "component", F.explode(F.array("low", "high")).alias("node")).where("sid <> node").distinct()
