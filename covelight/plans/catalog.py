@@ -411,15 +411,15 @@ al0 as (select a.pos, {SIM} as x from src a, fc b), al as (select pos, {_n('x')}
 wide as (select pos, R, I, L, D, density_raw, "match" as M, F, A from ril join dn using (pos) join mt using (pos) join fr using (pos) join al using (pos))"""
 _TOP = lambda c, k: f"row_number() over (order by {c} desc, pos) <= {k}"
 TOPS = f"""{SIGNALS}, t0 as (select *, {_TOP('R', _C.top_signal_pool)} as r_top, {_TOP('I', _C.top_signal_pool)} as i_top, {_TOP('L', _C.top_signal_pool)} as l_top, {_TOP('F', _C.top_facility_pool)} as f_top, {_TOP('R', _C.top_utility_pool)} as u_top from wide),
-ld as (select 1 - sum((i_top and l_top)::int) / greatest(1, least(sum(i_top::int), sum(l_top::int)))::double as d from t0), tp as (select t0.*, d, case when d > 0.08::double then L else I end as H, case when d > 0.08::double then l_top else i_top end as h_top from t0, ld)"""
+ld as (select 1 - sum((i_top and l_top)::int) / greatest(1, least(sum(i_top::int), sum(l_top::int)))::double as dl from t0), tp as (select t0.*, dl, case when dl > 0.08::double then L else I end as H, case when dl > 0.08::double then l_top else i_top end as h_top from t0, ld)"""
 _OV = lambda a, b: f"sum(({a} and {b})::int) / greatest(1, least(sum({a}::int), sum({b}::int)))::double"
 _V3 = "r_top::int + h_top::int + f_top::int"
 _SIG = lambda x: f"(1 / (1 + exp(-greatest(-50.0, least(50.0, {x})))))"
-DIAG = f"""{TOPS}, tru as (select avg(s) as trust from (select a.pos, max({SIM}) as s from src a, sup b group by 1)), g0 as (select max(d) as d, ({_OV('r_top', 'f_top')} + {_OV('h_top', 'f_top')}) / 2 as al, sum(({_V3} >= 2)::int) / sum(({_V3} >= 1)::int)::double as ag from tp),
-g1 as (select d, al, ag, trust, {_SIG('(0.60::double - trust) / 0.08::double')} as s1 from g0, tru), g2 as (select *, (1 - s1) * {_SIG('(al - 0.28::double) / 0.04::double')} as s2 from g1), g3 as (select *, (1 - s1) * (1 - s2) * ag as s3 from g2),
+DIAG = f"""{TOPS}, tru as (select avg(s) as trust from (select a.pos, max({SIM}) as s from src a, sup b group by 1)), g0 as (select max(dl) as dl, ({_OV('r_top', 'f_top')} + {_OV('h_top', 'f_top')}) / 2 as al, sum(({_V3} >= 2)::int) / sum(({_V3} >= 1)::int)::double as ag from tp),
+g1 as (select dl, al, ag, trust, {_SIG('(0.60::double - trust) / 0.08::double')} as s1 from g0, tru), g2 as (select *, (1 - s1) * {_SIG('(al - 0.28::double) / 0.04::double')} as s2 from g1), g3 as (select *, (1 - s1) * (1 - s2) * ag as s3 from g2),
 g4 as (select *, power(greatest(s1, 1e-8), 4) as p1, power(greatest(s2, 1e-8), 4) as p2, power(greatest(s3, 1e-8), 4) as p3 from g3),
-dg as (select trust, d as late_distinctness, al as alignment, s1, s2, s3, p1 / (p1 + p2 + p3 + 1e-12) as g1, p2 / (p1 + p2 + p3 + 1e-12) as g2, p3 / (p1 + p2 + p3 + 1e-12) as g3 from g4)"""
-CONS = f"""{TOPS}, cs as (select pos, {_V3} >= 2 as multi, (0.20 + 0.05 * d) * R + (0.15 + 0.05 * d) * H + 0.15 * D + 0.20 * A + (0.20 - 0.05 * d) * f_top::int + (0.10 - 0.05 * d) * ({_V3} >= 2)::int as consensus,
+dg as (select trust, dl as late_distinctness, al as alignment, s1, s2, s3, p1 / (p1 + p2 + p3 + 1e-12) as g1, p2 / (p1 + p2 + p3 + 1e-12) as g2, p3 / (p1 + p2 + p3 + 1e-12) as g3 from g4)"""
+CONS = f"""{TOPS}, cs as (select pos, {_V3} >= 2 as multi, (0.20 + 0.05 * dl) * R + (0.15 + 0.05 * dl) * H + 0.15 * D + 0.20 * A + (0.20 - 0.05 * dl) * f_top::int + (0.10 - 0.05 * dl) * ({_V3} >= 2)::int as consensus,
 case when {_V3} >= 2 then 'multi' when f_top then 'facility_only' when r_top then 'reliability_only' when h_top then 'influence_only' end as grp from tp)"""
 
 
@@ -433,7 +433,7 @@ def _(spark, sf):
     return _rounded(curation.signals(scored_source(spark, sf), support(spark, sf), source_scores(spark, sf), CONFIG).select("pos", "R", "I", "L", "M", "D", "F", "A"), "R", "I", "L", "M", "D", "F", "A")
 
 
-@query("top_memberships", f"with recursive {TOPS} select pos, r_top, i_top, l_top, f_top, u_top, h_top, {_r('d')} as late_distinctness from tp")
+@query("top_memberships", f"with recursive {TOPS} select pos, r_top, i_top, l_top, f_top, u_top, h_top, {_r('dl')} as late_distinctness from tp")
 def _(spark, sf):
     return _rounded(_flagged(spark, sf).select("pos", "r_top", "i_top", "l_top", "f_top", "u_top", "h_top", "late_distinctness"), "late_distinctness")
 
