@@ -26,14 +26,14 @@ def _over(by: Sequence[str]) -> Window:
 
 def min_max(c: str | Column, low: Column, high: Column) -> Column:
     """(x - low) / (high - low), 0 where the range is flat."""
-    return F.when(high - low < FLAT_RANGE, 0.0).otherwise((col(c).cast("double") - low) / (high - low))
+    return F.when(col(c).isNotNull() & (high - low < FLAT_RANGE), 0.0).otherwise((col(c).cast("double") - low) / (high - low))
 
 
 def normalize(df: DataFrame, column: str, out: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Adds `column` min-max scaled within each group. Bounds come from one small aggregate (partial sums on the map side),
     joined back, so no group is ever gathered in one task. Nulls stay null."""
     bounds = df.groupBy(*by).agg(F.min(column).cast("double").alias("_low"), F.max(column).cast("double").alias("_high"))
-    joined = df.join(F.broadcast(bounds), list(by)) if by else df.crossJoin(F.broadcast(bounds))
+    joined = df.join(bounds, list(by)) if by else df.crossJoin(F.broadcast(bounds))
     return joined.withColumn(out or column, min_max(column, F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 

@@ -1,6 +1,6 @@
 """Greedy selection that stays exact without holding the pool in one place.
 
-All objectives here only fall for a row as more rows are picked. So one distributed scan gives every row's present
+All objectives here only fall for a row as more rows are picked (k-center's from its second pick on). So one distributed scan gives every row's present
 value, the best `batch` rows come to the driver with their vectors, and picks go on among these for as long as
 the best of them is no worse than the best row left behind; then the pool is scanned again with the picks so far. The driver
 holds batch + budget vectors, the tasks budget vectors, whatever the size of the pool.
@@ -27,6 +27,8 @@ class Objective:
     """What the picks so far make a row worth; v: vectors, q: similarities to the support, base: own score."""
 
     picks: list[np.ndarray] = field(default_factory=list)
+    #: The first pick goes by another measure, so values before it bound nothing.
+    own_first = False
 
     def _closest(self, v: np.ndarray) -> np.ndarray:
         return (v @ np.array(self.picks).T).max(1)
@@ -42,6 +44,8 @@ class Objective:
 class KCenter(Objective):
     """Distance to the nearest pick plus a small share of the row's priority; the first pick is the best priority."""
 
+    own_first = True
+
     def values(self, v, q, base):
         if not self.picks:
             return np.where(base > 0, base, 0.0)
@@ -133,6 +137,8 @@ def greedy(pool: DataFrame, budget: int, objective: Objective, seeds: list[int]
             free[k] = False
             objective.take(v[k], q[k])
             chosen.append((int(pos[k]), float(top)))
+            if objective.own_first and len(objective.picks) == 1:
+                break
         if bound is None and not free.any():
             break
     rows = [(i + 1, p, x) for i, (p, x) in enumerate(chosen)]
