@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, ngram_join, piece_codec, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter
+from . import decontaminate, html_extract, language_id, ngram_join, oracles, piece_codec, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter
 from .common import table
 
 
@@ -74,4 +74,4 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier_query,
     "op10_secret_scan": secret_scan_query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_quality_rules": oracles.QUALITY_RULES, "op7_ngram_join": oracles.NGRAM_JOIN, "op8_substring_dedup": oracles.SUBSTRING_DEDUP}
