@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import SUM_EPSILON, clipped_cosine, mean_vector, min_max, normalize, unit
+from ..functions.scoring import SUM_EPSILON, clipped_cosine, mean_vector, normalize, unit
 
 #: Vectors in a block.
 BLOCK = 2048
@@ -134,6 +134,3 @@ def centroid_alignment(source: DataFrame, picked: DataFrame) -> DataFrame:
 
 def bounded(c: str | Column, low: Column, high: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(c) if isinstance(c, str) else c) - low) / (high - low + 1e-8))
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["min_max"]
