@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import struct
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,7 +30,11 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 150_000
+#: Rows whose ids are Python lists at a time.
+_ROWS = 256
+#: Longer words are solved edge by edge, in time that grows with their length.
+_MERGED = 64
 State = tuple[int, int]
 Matrix = dict[State, dict[State, float]]
 
@@ -84,7 +89,8 @@ class Model:
         self.surface = [bytes([int(p[3:5], 16)]) if kind == _BYTE else b"" if kind == _CONTROL else " ⁇ ".encode() if kind == _UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in pieces]
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.words = re.compile(".+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
-        self.solved: dict[str, tuple[float, list[int]]] = {}
+        self.solved: dict[str, tuple[int, ...]] = {}  # tuples of numbers, which the garbage collector does not follow
+        self.weights: dict[str, float] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def prepare(self, text: str) -> str:
@@ -92,20 +98,24 @@ class Model:
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merging as such: again and again the best-scored neighbouring pair, the leftmost of equals."""
-        parts = list(text)
-        while True:
-            best = max(((self.scores.get(a + b, -float("inf")), -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))), default=(-float("inf"), 0))
-            if best[0] == -float("inf"):
-                return parts
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        parts, get, none = list(text), self.scores.get, -float("inf")
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := max(pairs)) != none:
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        return parts
 
     def follows(self, before: str, piece: str) -> bool:
         """Would merging leave these two beside each other? before is "" at a beginning."""
         key = before, piece
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 4 * _WORDS_KEPT:
+            if len(self.pairs) > _WORDS_KEPT:
                 self.pairs.clear()
             known = self.pairs[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return known
@@ -149,21 +159,32 @@ class Model:
             pieces.append(piece)
         return [i for p in reversed(pieces) for i in self.ids_of(p)]
 
-    def word(self, text: str) -> tuple[float, list[int]]:
+    def word(self, text: str) -> tuple[int, ...]:
+        """Ids of a word; its weight, which only unigram models have, is kept beside them."""
         known = self.solved.get(text)
         if known is None:
             if len(self.solved) > _WORDS_KEPT:
                 self.solved.clear()
-            best = self.sweep(text, 0, len(text), "")
-            known = self.solved[text] = best[len(text)][0], self.trace(best, len(text), 0)
+                self.weights.clear()
+            if self.bpe and len(text) <= _MERGED:  # a short word's one path, found by merging itself
+                known = tuple([i for p in self.merged(text) for i in self.ids_of(p)])
+            else:
+                best = self.sweep(text, 0, len(text), "")
+                known = tuple(self.trace(best, len(text), 0))
+                if not self.bpe:
+                    self.weights[text] = best[len(text)][0]
+            self.solved[text] = known
         return known
 
+    def weight(self, text: str) -> float:
+        self.word(text)
+        return self.weights.get(text, 0.0)
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         solved, word = self.solved, self.word
         for w in self.words.findall(self.prepare(text)):
-            known = solved.get(w)
-            out += known[1] if known else word(w)[1]
+            out += solved.get(w) or word(w)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -180,50 +201,54 @@ class Model:
     def _word_starts(self, text: str, begin: int, end: int) -> list[int]:
         return [m.start() for m in self.words.finditer(text) if begin <= m.start() < end and (m.start() == 0 or text[m.start() - 1] != SPACE)]
 
-    def ways(self, text: str, entry: State, end: int, heads: list[int]) -> tuple[list[tuple[int, dict]], dict[State, float]]:
-        """Sweeps from entry's end through the chunk, word by word, and the weight of each exit state."""
-        if entry[1] >= end > entry[0]:  # the piece reaches over the whole chunk
-            return [], {entry: 0.0}
-        at, last, weight, sweeps = entry[1], text[entry[0] : entry[1]], 0.0, []
-        stops = [h for h in heads if at < h < end]
-        for stop in [*stops, end]:
-            if stop in heads and at in heads:
-                w = self.word(text[at:stop])[0]
-                sweeps.append((at, None))
-            else:
-                best = self.sweep(text, at, stop, last, 0.0)
-                sweeps.append((at, best))
-                if stop != end:
-                    if stop not in best:
-                        return [], {}
-                    w = best[stop][0]
-            if stop != end:
-                at, last, weight = stop, "", weight + w
-        best = sweeps[-1][1] if sweeps[-1][1] is not None else self.sweep(text, at, end, last)
-        sweeps[-1] = at, best
+    def _exits(self, text: str, best: dict[int, tuple[float, int, str]], end: int) -> dict[State, float]:
+        """Exit states that a sweep up to the cut reaches, with their weights."""
         exits: dict[State, float] = {}
         for s, e in self.states(text, end):
-            if s in best and s >= at:
+            if s in best:
                 piece = text[s:e]
                 if not self.bpe or self.follows(best[s][2], piece):
-                    exits[s, e] = weight + best[s][0] + (0.0 if self.bpe else self.scores.get(piece, self.least))
-        return sweeps, exits
-
-    def entries(self, text: str, begin: int, first: bool) -> list[State]:
-        return [(begin, begin)] if first else self.states(text, begin)
+                    exits[s, e] = best[s][0] + (0.0 if self.bpe else self.scores.get(piece, self.least))
+        return exits
 
     def transfer(self, text: str, begin: int, end: int, first: bool) -> Matrix:
+        """Weights from each entry state to each exit state. From the first word start on all entries share one way."""
         heads = self._word_starts(text, begin, end)
-        out = {u: self.ways(text, u, end, heads)[1] for u in self.entries(text, begin, first)}
-        return {u: row for u, row in out.items() if row}
+        tails: dict[int, dict[State, float]] = {}
+
+        def tail(k: int) -> dict[State, float]:
+            if k not in tails:
+                inside = 0.0 if self.bpe else sum(self.weight(text[a:b]) for a, b in zip(heads[k:], heads[k + 1 :], strict=False))
+                tails[k] = {v: inside + w for v, w in self._exits(text, self.sweep(text, heads[-1], end, ""), end).items()}
+            return tails[k]
+
+        out: Matrix = {}
+        for u in [(begin, begin)] if first else self.states(text, begin):
+            if u[1] >= end > u[0]:  # the piece reaches over the whole chunk
+                out[u] = {u: 0.0}
+                continue
+            k = bisect_left(heads, u[1])
+            if k == len(heads):
+                row = self._exits(text, self.sweep(text, u[1], end, text[u[0] : u[1]]), end)
+            else:
+                best = self.sweep(text, u[1], heads[k], text[u[0] : u[1]])
+                row = {v: best[heads[k]][0] + w for v, w in tail(k).items()} if heads[k] in best else {}
+            if row:
+                out[u] = row
+        return out
 
     def backtrace(self, text: str, begin: int, end: int, entry: State, leave: State) -> list[int]:
+        """Ids of the pieces after `entry` up to `leave`, which is included."""
         if entry == leave:
             return []
-        sweeps, _ = self.ways(text, entry, end, self._word_starts(text, begin, end))
-        out: list[int] = []
-        for (at, best), (stop, _) in zip(sweeps, [*sweeps[1:], (leave[0], None)], strict=True):
-            out += self.word(text[at:stop])[1] if best is None else self.trace(best, stop, at)
+        heads, at, last = self._word_starts(text, begin, end), entry[1], text[entry[0] : entry[1]]
+        k, out = bisect_left(heads, at), []
+        if k < len(heads):
+            out += self.trace(self.sweep(text, at, heads[k], last), heads[k], at)
+            for a, b in zip(heads[k:], heads[k + 1 :], strict=False):
+                out += self.word(text[a:b])
+            at, last = heads[-1], ""
+        out += self.trace(self.sweep(text, at, leave[0], last), leave[0], at)
         return out + self.ids_of(text[leave[0] : leave[1]])
 
 
@@ -283,18 +308,27 @@ _CHUNKS = "key long, number int, first long, before int, size int, length long,
 _STATE = "struct<s:long,e:long>"
 
 
-def encode(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids", chunk: int = 16_384) -> DataFrame:
-    """df with the column `ids_col` (array of int; replaces one of that name)."""
+def encode(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None, chunk: int = 16_384) -> DataFrame:
+    """df with the column `ids_col` (array of int; replaces one of that name). check_col, where given, says whether the ids
+    decode to the text again (the sign for a space, U+2581, taken as one; null for null)."""
     shared = _share(df, model_file)
-    df = df.drop(ids_col) if ids_col in df.columns else df
-    schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    df = df.drop(*[c for c in (ids_col, check_col) if c in df.columns])
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(check_col, T.BooleanType())] if check_col else [])
+    schema = T.StructType([*df.schema.fields, *added])
     long = F.coalesce(F.length(text_col) > chunk, F.lit(False))
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared)
-        for batch in batches:
-            ids = [None if t is None else model.encode(t) for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], schema=pa.schema([*batch.schema, pa.field(ids_col, pa.list_(pa.int32()))]))
+        for whole in batches:
+            for a in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(a, _ROWS)
+                texts = batch.column(text_col).to_pylist()
+                ids = [None if t is None else model.encode(t) for t in texts]
+                columns, fields = [pa.array(ids, pa.list_(pa.int32()))], [pa.field(ids_col, pa.list_(pa.int32()))]
+                if check_col:
+                    columns.append(pa.array([None if t is None else model.decode(i) == t.replace(SPACE, " ") for t, i in zip(texts, ids, strict=True)], pa.bool_()))
+                    fields.append(pa.field(check_col, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=pa.schema([*batch.schema, *fields]))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared)
@@ -345,10 +379,15 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str
     giants = df.where(long).select(key.alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
     chunks = giants.mapInArrow(split, _CHUNKS).repartition("key", "number")
     matrices = chunks.mapInArrow(transfers, "key long, number int, length long, us array<long>, ue array<long>, vs array<long>, ve array<long>, w array<double>")
+    # A stated number of partitions, which Spark does not merge: the matrices are small, the scan of a document is not.
+    matrices = matrices.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     fixed = matrices.groupBy("key").applyInPandas(fix, "key long, number int, us long, ue long, vs long, ve long")
     traced = chunks.join(fixed.hint("merge"), ["key", "number"]).mapInArrow(trace, "key long, number int, ids array<int>")
     whole = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("number", "ids"))).alias("parts")).select(F.col("key").alias("_key"), F.flatten("parts.ids").alias(ids_col))
     long_rows = df.where(long).withColumn("_key", key).join(whole.hint("merge"), "_key").select(*df.columns, ids_col)
+    if check_col:
+        decoded = decode(long_rows, model_file, ids_col, "_decoded")
+        long_rows = decoded.withColumn(check_col, F.col("_decoded") == F.translate(text_col, SPACE, " ")).drop("_decoded")
     return short_rows.union(long_rows)
 
 
@@ -360,7 +399,7 @@ def decode(df: DataFrame, model_file: str, ids_col: str = "ids", out_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared)
-        for batch in batches:
+        for batch in (whole.slice(a, _ROWS) for whole in batches for a in range(0, whole.num_rows, _ROWS)):
             texts = [None if ids is None else model.decode(ids) for ids in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema=pa.schema([*batch.schema, pa.field(out_col, pa.string())]))
 

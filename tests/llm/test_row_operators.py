@@ -162,7 +162,7 @@ def test_unigram_weights_are_the_best_paths():
         best = {0: 0.0}
         for end in range(1, len(word) + 1):
             best[end] = max(best[s] + (model.scores[word[s:end]] if word[s:end] in model.scores else model.least) for s in range(end) if word[s:end] in model.scores or s == end - 1)
-        assert model.word(word)[0] == pytest.approx(best[len(word)])
+        assert model.weight(word) == pytest.approx(best[len(word)])
 
 
 def test_max_plus_product_is_associative():
