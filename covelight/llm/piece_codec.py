@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
-_WORDS_KEPT = 150_000
+_WORDS_KEPT = 400_000
 #: Rows whose ids are Python lists at a time.
 _ROWS = 256
 #: Longer words are solved edge by edge, in time that grows with their length.
@@ -376,8 +376,9 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str
     chunk_schema = pa.schema([("key", pa.int64()), ("number", pa.int32()), ("first", pa.int64()), ("before", pa.int32()), ("size", pa.int32()), ("length", pa.int64()), ("window", pa.string())])
     short_rows = df.where(~long).mapInArrow(direct, schema)
     key = F.xxhash64(text_col, F.length(text_col))
-    giants = df.where(long).select(key.alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
-    chunks = giants.mapInArrow(split, _CHUNKS).repartition("key", "number")
+    giants = df.where(long).select(key.alias("key"), F.col(text_col).alias("text"))
+    # Equal texts give equal chunks; they meet where the chunks are dealt anyway, so texts are not dealt whole before.
+    chunks = giants.mapInArrow(split, _CHUNKS).repartition("key", "number").dropDuplicates(["key", "number"])
     matrices = chunks.mapInArrow(transfers, "key long, number int, length long, us array<long>, ue array<long>, vs array<long>, ve array<long>, w array<double>")
     # A stated number of partitions, which Spark does not merge: the matrices are small, the scan of a document is not.
     matrices = matrices.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
