@@ -157,9 +157,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
                 keep.append(q * both >= p * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_x = pairs.join(sets.select(F.col("sid").alias("a"), F.col("n").alias("n_x"), F.col("shingles").alias("x")).hint("merge"), "a")
-    with_y = with_x.join(sets.select(F.col("sid").alias("b"), F.col("n").alias("n_y"), F.col("shingles").alias("y")).hint("merge"), "b")
-    return with_y.where((F.col("n_x") * p <= F.col("n_y") * q) & (F.col("n_y") * p <= F.col("n_x") * q)).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                words = min(len(x), len(y)) // 8
+                a, b = _stack([x, y], words)
+                keep.append(int(np.bitwise_count(a ^ b).sum(dtype=np.int64)) * (p + q) <= (q - p) * n)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    # Sketches, a sixteenth of the sets' size, go first; whole sets only to the pairs they leave.
+    thin_x = pairs.join(sets.select(F.col("sid").alias("a"), F.col("n").alias("n_x"), F.col("sketch").alias("x")).hint("merge"), "a")
+    thin = thin_x.join(sets.select(F.col("sid").alias("b"), F.col("n").alias("n_y"), F.col("sketch").alias("y")).hint("merge"), "b")
+    thin = thin.where((F.col("n_x") * p <= F.col("n_y") * q) & (F.col("n_y") * p <= F.col("n_x") * q))
+    left = thin.select("a", "b", "x", "y", (F.col("n_x") + F.col("n_y")).alias("n")).mapInArrow(near, "a long, b long")
+    with_x = left.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+    with_y = with_x.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
+    return with_y.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _pairs(x: str, y: str) -> list:
@@ -203,19 +217,14 @@ def join_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
                         keys = prefix_keys(s, t, seen.value)
                         if len(keys):
                             met.add(sid)
-                            rows.append((sid, len(s), keys.view(np.int64), s.tobytes()))
+                            rows.append((sid, len(s), keys.view(np.int64), s.tobytes(), sketch(s).tobytes()))
                 if rows:
                     columns = list(zip(*rows, strict=True))
-                    types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, types, strict=True)], ["sid", "n", "keys", "shingles"])
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            drawn = [sketch(np.frombuffer(s.as_py(), np.uint64)).tobytes() for s in batch.column("shingles")]
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("n"), pa.array(drawn, pa.binary())], ["sid", "n", "sketch"])
+                    types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, types, strict=True)], ["sid", "n", "keys", "shingles", "sketch"])
 
     own = cut(docs.mapInArrow(describe, "doc_id long, n long, sid long"))
-    sets = cut(docs.select("text").mapInArrow(candidates, "sid long, n long, keys array<long>, shingles binary").dropDuplicates(["sid"]))
+    sets = cut(docs.select("text").mapInArrow(candidates, "sid long, n long, keys array<long>, shingles binary, sketch binary").dropDuplicates(["sid"]))
     buckets = sets.select("sid", F.explode("keys").alias("key"))
     pivots = buckets.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high")
     met = cut(buckets.join(pivots.hint("merge"), "key"))
@@ -229,7 +238,7 @@ def join_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         if last:
             apart = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
             open_ = cut(named.join(apart.hint("merge"), "key").select("key", "sid", "component"))
-            drawn = sets.join(open_.select("sid").distinct().hint("merge"), "sid").select("sid", "n", "shingles").mapInArrow(draw, "sid long, n long, sketch binary")
+            drawn = sets.join(open_.select("sid").distinct().hint("merge"), "sid").select("sid", "n", "sketch")
             blocks = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
             placed = open_.join(blocks.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks"))).join(drawn.hint("merge"), "sid")
             more = _near_pairs(placed.groupBy("key", "block").agg(F.collect_list(F.struct("sid", "component", "n", "sketch")).alias("members")), t)
