@@ -4,10 +4,13 @@ Tokens of a page are its tags and its text nodes, each with the path of open ele
 host, tokens with the same occurrence vector (how often on which page) form a class; vectors are compared by
 fingerprints that sum over pages, so no task ever holds a host. Classes on at least three pages and half of
 the host's pages, with two tokens or more, make the host's template, ordered by the tokens' mean place. On a page a
-class is valid if its tokens stand there in that order; valid classes nest into the page's template and the text
-between their tokens is slots. The slots under an article or main element of the page are its text, or, where there is none,
-all slots outside the template's own text nodes. Slots inside menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments are left out, known by element, role, class or id.
+class is valid if its tokens stand there in that order, time after time, and if it nests with the valid classes of
+more pages, fewer times or more tokens: each time one of the two comes, it lies in one gap of the other. The valid classes
+are the page's template, the text between their tokens is slots. A block's text is its slots from the first to the last, so a
+word of the template inside a sentence stays. The slots under an article or main element of the page are its text, or,
+where there is none, all slots. Slots inside menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments are left out, known by element, role, class or id. Where the template would leave no text at all, as on a host
+of copies, its own text stays.
 
 A null or empty page, or one of mark-up alone, gives "" and 0. A null or odd url puts the page on the empty host; a
 host of one or two pages has no template. Repeated rows count as pages of their own and get equal results. Pages of
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -108,30 +112,27 @@ def _hash(s: str) -> int:
     return (xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) ^ 1 << 63) - (1 << 63)
 
 
-def _first_places(keys: list[int]) -> dict[int, int]:
-    first: dict[int, int] = {}
+def _places(keys: list[int]) -> dict[int, list[int]]:
+    places: dict[int, list[int]] = {}
     for i, k in enumerate(keys):
-        if k and k not in first:
-            first[k] = i
-    return first
+        if k:
+            places.setdefault(k, []).append(i)
+    return places
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, template) of each host that has one; template is an array of (token, class) in template order."""
+    """(host, template) of each host that has one; template is an array of (token, class, support) in template order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, tokens, marks, places = [], [], [], []
             for host, number, page in zip(batch.column("host").to_pylist(), batch.column("number").to_pylist(), batch.column("html"), strict=True):
                 keys = _keys(parse(page.as_py() or ""))
-                n: dict[int, int] = {}
-                for k in keys:
-                    n[k] = n.get(k, 0) + 1
-                for k, i in _first_places(keys).items():
+                for k, at in _places(keys).items():
                     hosts.append(host)
                     tokens.append(k)
-                    marks.append(xxhash.xxh3_64_intdigest(f"{number} {n[k]}") >> 33)
-                    places.append(i / len(keys))
+                    marks.append(xxhash.xxh3_64_intdigest(f"{number} {len(at)}") >> 33)
+                    places.append(at[0] / len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array(marks, pa.int64()), pa.array(places, pa.float64())], ["host", "token", "mark", "place"])
 
     seen = pages.mapInArrow(run, "host string, token long, mark long, place double")
@@ -140,37 +141,65 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     # From here a host has few rows: each token left is on half of the host's pages or more.
     frequent = tokens.join(sizes, "host").where("2 * support >= pages")
     classes = frequent.groupBy("host", "support", "vector").agg(F.collect_list(F.struct("place", "token")).alias("members")).where(F.size("members") >= 2)
-    flat = classes.select("host", F.xxhash64("support", "vector").alias("class"), F.explode("members").alias("m"))
-    return flat.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("m.place", "m.token", "class"))).alias("t")).select("host", F.expr("transform(t, x -> struct(x.token, x.class))").alias("template"))
+    flat = classes.select("host", F.xxhash64("support", "vector").alias("class"), "support", F.explode("members").alias("m"))
+    return flat.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("m.place", "m.token", "class", "support"))).alias("t")).select("host", F.expr("transform(t, x -> struct(x.token, x.class, x.support))").alias("template"))
+
+
+def _nested(a: tuple[list[tuple[int, ...]], list[int]], b: tuple[list[tuple[int, ...]], list[int]]) -> bool:
+    """Does one of two classes, (its rounds, all its places), lie in one gap of the other each time it comes?"""
+    return any(all(bisect(outer, r[0]) == bisect(outer, r[-1]) for r in rounds) for rounds, outer in ((a[0], b[1]), (b[0], a[1])))
+
+
+def valid_tokens(keys: list[int], template: list[dict]) -> set[int]:
+    """The tokens of the template's classes that are valid on a page."""
+    places = _places(keys)
+    classes: dict[int, list[int]] = {}
+    support: dict[int, int] = {}
+    for t in template:
+        classes.setdefault(t["class"], []).append(t["token"])
+        support[t["class"]] = t["support"]
+    ordered = []
+    for c, members in classes.items():
+        at = [places.get(k, []) for k in members]
+        if not at[0] or len({len(x) for x in at}) > 1:
+            continue
+        rounds = list(zip(*at, strict=True))
+        line = [x for r in rounds for x in r]
+        if all(x < y for x, y in zip(line, line[1:], strict=False)):
+            ordered.append((-support[c], len(rounds), -len(members), c, (rounds, line)))
+    valid: list[tuple[list[tuple[int, ...]], list[int]]] = []
+    own: set[int] = set()
+    for *_, c, spans in sorted(ordered):
+        if all(_nested(spans, v) for v in valid):
+            valid.append(spans)
+            own.update(classes[c])
+    return own
+
+
+def _join(blocks: list[list[tuple[str, bool]]]) -> str:
+    """The text of blocks of (text, is the template's), each without the template's text at its ends."""
+    out = []
+    for block in blocks:
+        slots = [i for i, (text, own) in enumerate(block) if not own and text.strip()]
+        if slots:
+            out.append(" ".join("".join(html.unescape(text) for text, _ in block[slots[0] : slots[-1] + 1]).split()))
+    return " ".join(filter(None, out))
 
 
 def extract(page: str, template: list[dict]) -> str:
     """The page's main text."""
     tokens = parse(page)
-    own: set[int] = set()
-    has_main = any(main for *_, main in tokens)
-    if template and not has_main:
-        keys = _keys(tokens)
-        first = _first_places(keys)
-        classes: dict[int, list[int]] = {}
-        for t in template:
-            classes.setdefault(t["class"], []).append(t["token"])
-        for members in classes.values():
-            places = [first.get(k, -1) for k in members]
-            if places[0] >= 0 and all(a < b for a, b in zip(places, places[1:], strict=False)):
-                own.update(members)
-    else:
-        keys = [0] * len(tokens)
-    blocks, block = [], []
+    has_main = any(main and not dropped for _, _, dropped, main in tokens)
+    keys = _keys(tokens) if template else [0] * len(tokens)
+    own = valid_tokens(keys, template) if template else set()
+    blocks: list[list[tuple[str, bool]]] = [[]]
     for (token, is_text, dropped, main), key in zip(tokens, keys, strict=True):
         if not is_text:
-            if not token and block:
-                blocks.append("".join(block))
-                block = []
-        elif not dropped and (main or not has_main) and key not in own:
-            block.append(html.unescape(token))
-    blocks.append("".join(block))
-    return " ".join(filter(None, (" ".join(b.split()) for b in blocks)))
+            if not token and blocks[-1]:
+                blocks.append([])
+        elif not dropped and (main or not has_main):
+            blocks[-1].append((token, key in own))
+    return _join(blocks) or _join([[(text, False) for text, _ in block] for block in blocks])
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

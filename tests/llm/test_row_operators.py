@@ -189,6 +189,28 @@ def test_extraction(spark):
     assert [got[10 + i][0][0] for i in range(4)] == [f"{w} is what this page is about" for w in ("Alpha", "Beta", "Gamma", "Delta")]
 
 
+def test_template_applies_inside_the_main_element(spark):
+    """Site text in unclassed divs of an article goes, what differs stays; so do copies of one page and words in a sentence."""
+    words = ("Alpha", "Beta", "Gamma", "Delta")
+    page = "<body><article><div>By the editors of the site</div><h1>{w}</h1><p>{w} is <a>quite</a> a long story {w}.</p><div>Licensed to share alike</div></article></body>"
+    copy = "<body><article><div>All of this text</div><div>is the same</div></article></body>"
+    rows = [(i, f"http://boxed.x/{i}", page.format(w=w)) for i, w in enumerate(words)] + [(10 + i, f"http://copies.x/{i}", copy) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [f"{w} {w} is quite a long story {w}." for w in words]
+    assert {got[10 + i] for i in range(3)} == {"All of this text is the same"}
+
+
+def test_valid_classes_nest():
+    """Keys on a page against a template of (token, class, support)."""
+    template = lambda *classes: [{"token": t, "class": c, "support": n} for c, (n, members) in enumerate(classes) for t in members]
+    outer, inner = (9, [1, 2, 3]), (6, [4, 5])
+    assert html_extract.valid_tokens([1, 7, 4, 8, 5, 2, 3], template(outer, inner)) == {1, 2, 3, 4, 5}
+    assert html_extract.valid_tokens([1, 4, 2, 5, 3], template(outer, inner)) == {1, 2, 3}
+    assert html_extract.valid_tokens([1, 3, 2, 4, 5], template(outer, inner)) == {4, 5}
+    assert html_extract.valid_tokens([1, 4, 5, 4, 5, 2, 3], template(outer, inner)) == {1, 2, 3, 4, 5}
+    assert html_extract.valid_tokens([1, 4, 4, 5, 5, 2, 3], template(outer, inner)) == {1, 2, 3}
+
+
 def test_url_rules(spark):
     urls = ["http://A.Net/x?y", "https://b.example.net/en/1#t", "http://example.com/de/", "http://x.org/fr/2", "http://x.org/en/2", "http://net", "nonsense", None, "http://notnet.com/de/", "ftp://m.example.com/de/a?b"]
     rows = [(i, u, None) for i, u in enumerate(urls)]
