@@ -9,7 +9,9 @@ more pages, fewer times or more tokens: each time one of the two comes, it lies
 are the page's template, the text between their tokens is slots. A block's text is its slots from the first to the last, so a
 word of the template inside a sentence stays. The slots under an article or main element of the page are its text, or,
 where there is none, all slots. Slots inside menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments are left out, known by element, role, class or id. Where the template would leave no text at all, as on a host
+comments are left out, known by element, role or a whole class or id. A name never leaves out html, body, main, the
+page's main element or what holds it; other articles go by the names of reader comments alone. The main element is the
+first main, or else article, that is not left out, or the first of all. Where the template would leave no text at all, as on a host
 of copies, its own text stays.
 
 A null or empty page, or one of mark-up alone, gives "" and 0. A null or odd url puts the page on the empty host; a
@@ -42,57 +44,133 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end by themselves; they bound blocks but do not nest.
 LOOSE = frozenset("p li dt dd option tr td th thead tbody tfoot b i em strong a span font u s small".split())
+#: Elements at whose start an open element of LOOSE ends, where no other element stands between.
+_ENDS = {
+    **dict.fromkeys(
+        "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
+        "hgroup hr main menu nav ol p pre search section table ul".split(),
+        frozenset(("p",)),
+    ),
+    "li": frozenset(("li", "p")), **dict.fromkeys(("dt", "dd"), frozenset(("dt", "dd", "p"))), "option": frozenset(("option",)),
+    **dict.fromkeys(("td", "th"), frozenset(("td", "th", "p"))), "tr": frozenset(("tr", "td", "th", "p")),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), frozenset(("thead", "tbody", "tfoot", "tr", "td", "th", "p"))),
+}
 MAIN = frozenset(("article", "main"))
+MAIN_NAMES = frozenset(("main", "main-content", "maincontent"))
 LEFT_OUT = frozenset("head nav footer aside form button select textarea menu dialog".split())
-#: Words in a class, id or role that mark an element as left out.
-LEFT_OUT_NAMES = frozenset(
+_COMMENTS = frozenset(
+    "comment comments commentlist respond disqus comment-list comments-list comment-body comment-form comments-area comments-section "
+    "comment-section comment-respond comment-thread comments-container disqus-thread".split()
+)
+#: Whole classes, ids and roles that mark an element as left out; `_` counts as `-`.
+LEFT_OUT_NAMES = _COMMENTS | frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice notification sidebar menu nav "
-    "navbar navigation breadcrumb breadcrumbs masthead footer comment comments commentlist respond disqus share sharing social related "
-    "newsletter subscribe popup modal widget pagination toolbar contentinfo complementary search".split()
+    "navbar navigation breadcrumb breadcrumbs masthead footer share sharing social related "
+    "newsletter subscribe popup modal widget pagination toolbar contentinfo complementary search "
+    "ad-box ad-banner ad-container ad-slot ad-unit ad-wrapper adsbygoogle google-ad banner-ad promo-box cookie-banner cookie-bar cookie-notice "
+    "cookie-consent cookie-popup consent-banner left-sidebar right-sidebar sidebar-left sidebar-right side-bar main-sidebar primary-sidebar "
+    "sidebar-primary secondary-sidebar site-sidebar main-menu main-nav main-navigation site-nav site-navigation site-menu top-menu top-nav "
+    "nav-bar nav-menu nav-links menu-bar primary-menu primary-nav footer-menu footer-nav page-nav post-nav post-navigation posts-navigation "
+    "mobile-menu mobile-nav side-nav sidenav breadcrumb-nav breadcrumb-trail site-footer page-footer main-footer footer-widgets widget-area "
+    "share-bar share-box share-buttons share-links social-bar social-buttons social-icons social-links social-media social-share related-posts "
+    "related-articles related-links related-content newsletter-signup newsletter-form search-form search-box search-bar page-numbers "
+    "popup-overlay modal-dialog".split()
 )
-_HEADS = frozenset(("header", "masthead", "banner"))
+_HEADS = frozenset("header masthead banner site-header main-header top-header page-header global-header site-banner site-masthead".split())
+
+_NOT_HEADS = LEFT_OUT_NAMES - _HEADS
+_PAGE = frozenset(("", "html", "body"))
+
+
+class _Element:
+    """An open or closed element: its parent, and whether its kind or its name leaves it out."""
+
+    __slots__ = ("by_kind", "by_name", "dropped", "loose_at", "main", "name", "parent", "path")
+
+    def __init__(self, name: str, path: str, parent: _Element | None, names: frozenset[str] | set[str], loose_at: int = 0) -> None:
+        self.name, self.path, self.parent, self.loose_at = name, path, parent, loose_at
+        inside = parent is not None and parent.main
+        self.main = inside or name in MAIN or (name not in _PAGE and not names.isdisjoint(MAIN_NAMES))
+        self.by_kind = name in LEFT_OUT or (name == "header" and not self.main)
+        known = _COMMENTS if name == "article" else _NOT_HEADS
+        head = name != "article" and not self.main and not names.isdisjoint(_HEADS)
+        self.by_name = name not in _PAGE and name != "main" and (head or not names.isdisjoint(known))
+        self.dropped = (parent is not None and parent.dropped) or self.by_kind or self.by_name
+
+
+def _keep_main(elements: list[_Element]) -> None:
+    """Takes back what names say of the page's main element and of what holds it."""
+    tops = [e for e in elements if e.main and not (e.parent and e.parent.main)]
+    mains = [e for e in tops if e.name != "article"] or tops
+    if not mains:
+        return
+    e: _Element | None = next((e for e in mains if not e.dropped), mains[0])
+    held = False
+    while e:
+        held, e.by_name = held or e.by_name, False
+        e = e.parent
+    if held:
+        for e in elements:
+            e.dropped = (e.parent is not None and e.parent.dropped) or e.by_kind or e.by_name
 
 
 def parse(page: str) -> list[tuple[str, bool, bool, bool]]:
     """(token, is text, left out, in main) of the page's tags and text nodes in order; a block's end is the token ""."""
-    out: list[tuple[str, bool, bool, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    out: list[tuple[str, _Element | None]] = []
+    stack = [_Element("", "", None, frozenset())]
+    loose: list[_Element] = []  # the open elements of LOOSE that a name leaves out
+    elements: list[_Element] = []
     at = 0
 
-    def text(s: str) -> None:
-        if s:
-            out.append((s, True, stack[-1][2], stack[-1][3]))
+    def inner() -> _Element:
+        return loose[-1] if loose and loose[-1].loose_at == len(stack) else stack[-1]
+
+    def end_loose(names: frozenset[str]) -> None:
+        for i, e in enumerate(loose):
+            if e.loose_at == len(stack) and e.name in names:
+                del loose[i:]
+                return
 
     for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
+        if at < m.start():
+            out.append((page[at : m.start()], inner()))
         at = m.end()
         close, name, rest = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
         if not name:
             continue
         name = name.lower()
         if name not in INLINE:
-            out.append(("", False, False, False))
-        if name in VOID or name in LOOSE:
+            out.append(("", None))
+        if loose and (ends := frozenset((name,)) if close else _ENDS.get(name)):
+            end_loose(ends)
+        if name in VOID or (name in LOOSE and (close or name not in _ENDS)):
             continue
         if close:
             for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    out.append((f"{stack[depth][1]}</", False, False, False))
+                if stack[depth].name == name:
+                    out.append((f"{stack[depth].path}</", None))
                     del stack[depth:]
+                    while loose and loose[-1].loose_at > depth:
+                        loose.pop()
                     break
             continue
-        names = {w for got in _NAMES.findall(rest) for w in re.split(r"[\s_-]+", "".join(got).lower())} if rest else frozenset()
-        _, path, dropped, main = stack[-1]
-        main = main or name in MAIN or "main" in names
-        head = name == "header" or not names.isdisjoint(_HEADS)
-        dropped = dropped or name in LEFT_OUT or (head and not main) or not (names - _HEADS).isdisjoint(LEFT_OUT_NAMES)
-        path = f"{path}/{name}{'.' + '.'.join(sorted(names)) if names else ''}"
+        names = {w for got in _NAMES.findall(rest) for w in "".join(got).lower().replace("_", "-").split()} if rest else frozenset()
+        if name in LOOSE:
+            e = _Element(name, stack[-1].path, inner(), names, len(stack)) if names else None
+            if e and e.by_name:
+                loose.append(e)
+                elements.append(e)
+            continue
         if rest.rstrip().endswith("/"):
             continue
-        stack.append((name, path, dropped, main))
-        out.append((path, False, False, False))
-    text(page[at:])
-    return out
+        e = _Element(name, f"{stack[-1].path}/{name}{'.' + '.'.join(sorted(names)) if names else ''}", inner(), names)
+        stack.append(e)
+        elements.append(e)
+        out.append((e.path, None))
+    if at < len(page):
+        out.append((page[at:], inner()))
+    _keep_main(elements)
+    return [(token, True, e.dropped, e.main) if e else (token, False, False, False) for token, e in out]
 
 
 def _keys(tokens: list[tuple[str, bool, bool, bool]]) -> list[int]:

@@ -189,6 +189,22 @@ def test_extraction(spark):
     assert [got[10 + i][0][0] for i in range(4)] == [f"{w} is what this page is about" for w in ("Alpha", "Beta", "Gamma", "Delta")]
 
 
+def test_names_leave_out_whole_parts_only():
+    text = "<p>The story</p>"
+    kept = [
+        f'<body class="has-sidebar"><article>{text}</article></body>', f'<body class="right-sidebar no-sidebar sidebar"><div>{text}</div></body>',
+        f'<html class="widget"><body><article class="post comments-open">{text}</article></body></html>', f'<body><main id="search-results-article" class="search">{text}</main></body>',
+        f'<body><div class="right-sidebar"><div class="widget"><article>{text}</article></div></div></body>', f'<body><table><tr><td class="search"><main>{text}</main></td></tr></table></body>',
+        f'<body><div class="no-sidebar"><div>{text}</div></div></body>', f'<body><div class="sidebar"><article>teaser</article></div><main>{text}</main></body>',
+        f'<body><article>{text}<p class="ad">Buy<p class="end"></p><div><ul><li class="comment">no <b>no</b><ul><li>nor this</li></ul> no<li></ul></div></article></body>',
+        f'<body><article>{text}</article><article class="comment">no</article><div id="comments"><article>no</article></div></body>',
+        f'<body><div class="main-nav">Menu</div><div class="site_footer">foot</div>{text}</body>', f'<body><p class="ad">Buy<div>{text}</div><dl><dt class="ad">no<dd></dl></body>',
+    ]
+    assert [html_extract.extract(page, []) for page in kept] == ["The story"] * len(kept)
+    assert html_extract.extract('<body><article class="post widget">One</article><article class="post widget">Two</article></body>', []) == "One Two"
+    assert html_extract.extract("<ul><li class='comment'>no</li><li>yes</li></ul><p class=ad>no</p>too<p>and<p class=ad>no<hr>this", []) == "yes too and this"
+
+
 def test_template_applies_inside_the_main_element(spark):
     """Site text in unclassed divs of an article goes, what differs stays; so do copies of one page and words in a sentence."""
     words = ("Alpha", "Beta", "Gamma", "Delta")
