@@ -2,9 +2,10 @@
 
 Rules (host, path) block or allow a url whose host is the rule's or below it and whose path starts with the rule's;
 the longest (host and path together) wins, ties going to block. For the rest, a personalised PageRank walks along
-links from the hosts of which the rules allow at least half of the pages, and another against links from the hosts
-of which they block at least half: a host that links to bad hosts is suspect. A host is blocked when its distrust is over `ratio` times its trust and over `least` times an even
-share. Links are the absolute and scheme-relative hrefs in the pages. All scores stay in tables.
+links from the hosts of which the rules allow a page, and another against links from the hosts of which they block
+one, each host weighted by its share of such pages: a host that links to bad hosts is suspect. A host is blocked when
+its distrust is over `ratio` times its trust and over `least` times an even share; its own seed counts in this only where
+the rules decide so on at least half of its pages, so a few blocked paths do not block the rest of their host. Links are the absolute and scheme-relative hrefs in the pages. All scores stay in tables.
 
 A null url, or one without `://`, has an empty host and path, fits no rule and takes the method's verdict for the
 empty host (allow unless links say otherwise); a null html has no links. Repeated rows repeat their links and get equal results; an
@@ -68,7 +69,11 @@ def host_links(pages: DataFrame) -> DataFrame:
     return found.select("src", host_of(full).alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float = 0.85) -> DataFrame:
+#: Part of a score that goes on over links each round.
+DAMPING = 0.85
+
+
+def spread(links: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float = DAMPING) -> DataFrame:
     """(host, score): personalised PageRank over links (src, dst, n) from seeds (host, weight), cut every four rounds."""
     out = links.groupBy("src").agg(F.sum("n").alias("total"))
     edges = cut(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
@@ -92,12 +97,16 @@ def judge_urls(df: DataFrame, rules: tuple[UrlRule, ...] = RULES, ratio: float =
     ruled = pages.select("page_id", "host", "path", name.alias("rule"), verdict.alias("said"))
     hosts = cut(ruled.groupBy("host").agg(F.sum((F.col("said") == "allow").cast("double")).alias("good"), F.sum((F.col("said") == "block").cast("double")).alias("bad"), F.count(F.lit(1)).alias("pages")))
     links = cut(host_links(pages))
-    seeds = lambda column: hosts.where(f"2 * {column} >= pages").select("host", F.lit(1.0).alias("weight"))
-    trust = spread(links, seeds("good")).withColumnRenamed("score", "trust")
-    distrust = spread(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeds("bad")).withColumnRenamed("score", "distrust")
-    even = 1.0 / max(hosts.count(), 1)
-    known = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    suspect = (F.col("distrust") > ratio * F.col("trust")) & (F.col("distrust") > least * even)
+    shares = {"trust": F.coalesce(F.col("good"), F.lit(0.0)) / F.col("pages"), "distrust": F.coalesce(F.col("bad"), F.lit(0.0)) / F.col("pages")}
+    seeds = lambda score: hosts.select("host", shares[score].alias("weight")).where("weight > 0")
+    trust = spread(links, seeds("trust")).withColumnRenamed("score", "trust")
+    distrust = spread(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeds("distrust")).withColumnRenamed("score", "distrust")
+    totals = hosts.agg(F.count(F.lit(1)).alias("hosts"), *(F.sum(share).alias(score) for score, share in shares.items())).first()
+    even = 1.0 / max(totals["hosts"], 1)
+    known = hosts.join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"])
+    # What a host's own seed gave it is taken off again where the rules decide so on under half of its pages.
+    weighed = {score: F.col(score) - F.when(share < 0.5, share * ((1 - DAMPING) / (totals[score] or 1.0))).otherwise(0.0) for score, share in shares.items()}
+    suspect = (weighed["distrust"] > ratio * weighed["trust"]) & (weighed["distrust"] > least * even)
     judged = cut(known.select("host", "trust", "distrust", suspect.alias("suspect")))
     # A host with a third of all rows is a skewed partition of this join, which AQE splits.
     both = ruled.join(judged, "host", "left")

@@ -261,6 +261,17 @@ def test_distrust_flows_back_to_linkers(spark):
     assert got == {"bad.net": "block", "farm.com": "block", "fine.com": "allow", "ok.example.net": "allow"}
 
 
+def test_hosts_with_a_minority_of_blocked_pages_are_seeds(spark):
+    rows = [(i, f"http://many.example.com/{'de' if i < 3 else 'en'}/{i}", "") for i in range(20)]
+    rows += [(30 + i, f"http://farm.com/{i}", '<a href="//many.example.com/de/1">l</a>') for i in range(2)]
+    rows += [(40, "http://fine.com/", '<a href="http://part.org/fr/1">')] + [(50 + i, f"http://part.org/{'fr' if i < 3 else 'en'}/{i}", "") for i in range(20)]
+    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[30]["verdict"] == got[31]["verdict"] == "block" and got[30]["distrust"] > 0
+    assert got[0]["distrust"] > 0 and got[50]["trust"] > 0
+    assert [got[i]["verdict"] for i in range(20)] == ["block"] * 3 + ["allow"] * 17
+    assert {got[i]["verdict"] for i in (40, *range(50, 70))} == {"allow"}
+
+
 def test_quality_classifier(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     learn = labels.where("doc_id % 2 = 0")
