@@ -12,7 +12,7 @@ from .common import table
 
 
 def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.clean_lines(table(spark, sf_dir, "documents"))
+    return quality_rules.clean_lines(table(spark, sf_dir, "documents")).select(*quality_rules.DIGEST)
 
 
 def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,24 @@ def test_line_rules(spark):
     assert got[5]["n_bad_lines"] == 1
 
 
+def test_cleaned_text_is_the_lines_left(spark, sf):
+    good, bad = "This sentence has quite enough words in it to be é line of prose.", "Click here"
+    texts = [good, bad, f"{bad}\n{good}", f"{good}\n{bad}", f"{good}\n{bad}\n", f"{bad}\n", f"\n{bad}\n \n{bad}\n{bad}", f"{good}\n\n{bad}\n\t{good}\r\n", "", None, "\n", f"{good}\n\n{bad}"]
+    got = {r["doc_id"]: r for r in quality_rules.clean_lines(table(spark, list(enumerate(texts)))).collect()}
+    want = ["\n".join(x for x in (t or "").split("\n") if x != bad) for t in texts]
+    assert [got[i]["cleaned"] for i in range(len(texts))] == want
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    lost = 0
+    for r in quality_rules.clean_lines(docs).join(docs, "doc_id").collect():
+        assert r["kept_chars"] == sum(map(len, WORD.findall(r["cleaned"])))
+        assert r["kept"] == (not r["base_failed"] and r["kept_chars"] >= 0.5 * r["word_chars"])
+        lines, left = r["text"].split("\n"), iter(r["text"].split("\n"))
+        assert not r["cleaned"] or all(x in left for x in r["cleaned"].split("\n"))
+        assert r["n_bad_lines"] == len(lines) - len(r["cleaned"].split("\n")) or not r["cleaned"]
+        lost += r["n_bad_lines"]
+    assert lost
+
+
 def test_row_operators_take_empty_tables(spark):
     none = table(spark, [])
     assert quality_rules.clean_lines(none).count() == 0
