@@ -77,7 +77,7 @@ def stability(df: DataFrame, base: str, variants: Sequence[str], k: int) -> Data
     return flags.agg((sum(terms[1:], terms[0]) / len(terms)).alias("stability"))
 
 
-def random_subset(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+def random_subset(df: DataFrame, key: str, k: int, seed: int | str) -> DataFrame:
     """k rows in the order of md5(seed:key), the same on any engine and partitioning; with rank."""
     drawn = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string").cast("string")).cast("binary")))
     kept = drawn.orderBy("_h", key).limit(k)

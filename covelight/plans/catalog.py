@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import clustering, constraints, curation, greedy, grid, ranking, similarity, subjects
+from ..operators import clustering, constraints, curation, greedy, grid, ranking, reliability, similarity, subjects
 
 FLAGSHIP = "seeded_greedy_select"
 CONFIG = curation.SelectorConfig(budget=40, top_utility_pool=150, top_signal_pool=60, top_facility_pool=60, clusters=8)
@@ -239,6 +239,20 @@ def _(spark, sf):
     return s.select(*[r6(w).alias(n) for n, w in zip(("w_p", "w_g", "w_m"), scoring.softmax([F.col(c) for c in "abc"]), strict=True)])
 
 
+_VARIANTS = f"""{SRC}, {SLICES}, sc as (select s.pos, s.v, unc, fg, li, cons from src s join ss using (pos)), dr as (select d, pos from sup, range(0, 8) x(d) qualify row_number() over (partition by d order by md5('2025:' || d || ':' || pos), pos) <= round(0.8 * (select count(*) from sup))),
+vs as (select -1 as d, pos from sup union all select d, pos from dr), qv as (select vs.d, a.pos, b.weight as w, {SIM} as sim, row_number() over (partition by vs.d, a.pos order by {SIM} desc, b.pos) as rn from sc a, vs join sup b on b.pos = vs.pos),
+raw as (select 'm' as s, d, pos, sum(sim * greatest(w, 1e-6)) / (sum(greatest(w, 1e-6)) + 1e-12) as x from qv where rn <= 8 group by all union all select 'g', -1, pos, (fg + li + cons) / 3.0::double from sc union all select 'g', 0, pos, fg from sc union all select 'g', 1, pos, li from sc union all select 'g', 2, pos, cons from sc),
+nv as (select s, d, pos, (x - min(x) over (partition by s, d)) / (max(x) over (partition by s, d) - min(x) over (partition by s, d)) as x from raw), tv as (select *, row_number() over (partition by s, d order by x desc, pos) <= 15 as t from nv),
+ag as (select a.s, b.d, 0.5 * ({_CORR('a.x', 'b.x')} + 1) as r, sum((a.t and b.t)::int) / least(15, count(*))::double as o from tv a join tv b on a.s = b.s and a.pos = b.pos and a.d = -1 and b.d >= 0 group by all), st as (select s, avg((r + o) / 2) as y from ag group by 1),
+rl as (select (0.5 + 0.5 * (select stddev_pop(unc) from sc)) / 0.5 as p, (select y from st where s = 'g') / 0.5 as g, (select y from st where s = 'm') / 0.5 as m), ex as (select exp(p - greatest(p, g, m)) as p, exp(g - greatest(p, g, m)) as g, exp(m - greatest(p, g, m)) as m from rl)"""
+
+
+@query("adaptive_reliability_weights", f"with {_VARIANTS} select {_r('p / (p + g + m + 1e-12)')} as w_p, {_r('g / (p + g + m + 1e-12)')} as w_g, {_r('m / (p + g + m + 1e-12)')} as w_m from ex")
+def _(spark, sf):
+    got = reliability.adaptive_reliability_weights(slice_scores(spark, sf), source(spark, sf), support(spark, sf), "unc", ["fg", "li", "cons"], top=15, temperature=0.5)
+    return _rounded(got, "w_p", "w_g", "w_m")
+
+
 _RANKED = """rk as (select l_partkey as subject, l_discount, l_tax, l_quantity, row_number() over (partition by l_partkey order by l_tax + 0.25::double * l_discount desc, l_orderkey, l_linenumber, l_suppkey) as r, count(*) over (partition by l_partkey) as n from lineitem)"""
 
 

@@ -1,10 +1,11 @@
+import hashlib
 import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from covelight.operators import clustering, constraints, curation, greedy, grid, ranking, similarity, subjects
+from covelight.operators import clustering, constraints, curation, greedy, grid, ranking, reliability, similarity, subjects
 from covelight.sources import files
 
 
@@ -177,3 +178,31 @@ def test_files(spark, tmp_path):
     runs = grid.method_grid(spark, ["A"], [50]).where("source_method = 'orient'")
     n = files.write_manifest(runs, 50, str(tmp_path / "m.json"))
     assert files.read_manifest(spark, str(tmp_path / "m.json")).count() == n == 7
+
+
+@pytest.mark.parametrize("n_support", [9, 2])
+def test_adaptive_reliability_weights_against_numpy(spark, pool, n_support):
+    v, _, df = pool
+    rng = np.random.default_rng(8)
+    s = rng.random((len(v), 4)).round(2)
+    scores = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(s)], "pos long, P double, a double, b double, c double")
+    w = 1.0 + np.arange(n_support) % 3
+    support = spark.createDataFrame([(i, v[i].tolist(), float(x)) for i, x in enumerate(w)], "pos long, v array<double>, weight double")
+    scale = lambda x: (x - x.min()) / (x.max() - x.min())
+
+    def match(rows):
+        rows = sorted(rows)
+        sim = np.maximum(v @ v[rows].T, 0)
+        top = np.argsort(-sim, axis=1, kind="stable")[:, :8]
+        x, y = np.take_along_axis(sim, top, 1), w[rows][top]
+        return scale((x * y).sum(1) / (y.sum(1) + 1e-12))
+
+    def stable(base, variants, k=12):
+        best = lambda x: set(np.argsort(-x, kind="stable")[:k].tolist())
+        return np.mean([t for x in variants for t in (0.5 * (np.corrcoef(base, x)[0, 1] + 1), len(best(base) & best(x)) / k)]) if variants else 1.0
+
+    draws = [sorted(range(n_support), key=lambda j: hashlib.md5(f"2025:{i}:{j}".encode()).hexdigest())[: round(0.8 * n_support)] for i in range(8)] if n_support > 2 else []
+    r = np.array([0.5 + 0.5 * s[:, 0].std(), stable(scale(s[:, 1:].mean(1)), [scale(x) for x in s[:, 1:].T]), stable(match(range(n_support)), [match(d) for d in draws])])
+    want = np.exp((r - r.max()) / 0.3)
+    got = reliability.adaptive_reliability_weights(scores, df, support, "P", ["a", "b", "c"], top=12, temperature=0.3).first()
+    assert list(got) == pytest.approx((want / want.sum()).tolist(), abs=1e-9)
