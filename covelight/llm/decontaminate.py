@@ -6,7 +6,8 @@ piece stands unchanged in any such passage, so the pieces of all items are sough
 and each hit's surroundings, if they share enough 5-grams with the item, are checked with Myers' bit-parallel edit distance, on integers as wide as the item.
 
 Items are taken in blocks of `block_bytes`, one pass over the documents for each, so no number of items overfills a task.
-Null or empty items (after that normalisation) match nothing; null, empty and whole long texts are fine; equal items all
+Items with a null or empty text (after that normalisation) match nothing; items with a null id cannot be reported, so
+find_leaks passes over them, but drop_leaks seeks them too; null, empty and whole long texts are fine; equal items all
 match; repeated documents get repeated results; other columns are not read. An item too short for an edit must stand
 between spaces or text ends.
 """
@@ -81,13 +82,15 @@ class Matcher:
         there = {window[j : j + _GRAM] for j in range(len(window) - _GRAM + 1)}
         return sum(g in there for g in grams) >= len(grams) - _GRAM * self.items[n][2]
 
-    def find(self, text: bytes) -> dict[int, int]:
-        """{index of item: distance} of the items within their budget of some part of text."""
+    def find(self, text: bytes, first: bool = False) -> dict[int, int]:
+        """{index of item: least distance} of the items within their budget of some part of text; if first, only the first one met."""
         found: dict[int, int] = {}
         tried: set[tuple[int, int]] = set()
         for end, at in self.auto.iter(text.decode("latin-1")) if len(self.auto) else ():
             for n, offset in at:
-                if n in found:
+                if first and found:
+                    return found
+                if found.get(n) == 0:
                     continue
                 _, item, k = self.items[n]
                 start = end + 1 - offset
@@ -101,13 +104,14 @@ class Matcher:
                 tried.add((n, block))
                 window = text[max(0, block * _STRIDE) : (block + 1) * _STRIDE + len(item) + 2 * k]
                 if self.plausible(n, window) and (best := self.distance(n, window)) <= k:
-                    found[n] = best
+                    found[n] = min(best, found.get(n, k))
         return found
 
 
-def _item_blocks(items: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[int, bytes]]]:
+def _item_blocks(items: DataFrame, item_col: str, text_col: str, most: int, nameless: bool = False) -> Iterator[list[tuple[int | None, bytes]]]:
+    """The items in blocks of about `most` characters; those with a null id only if nameless."""
     held, size = [], 0
-    rows = items.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).distinct()
+    rows = items.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull() & (F.col(item_col).isNotNull() | F.lit(nameless))).distinct()
     for item, text in rows.toLocalIterator():
         held.append((item, normalise(text)))
         size += len(text)
@@ -162,18 +166,19 @@ def _search(shared, max_error: float):
 
 
 def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", max_error: float = 0.08, block_bytes: int = 4 << 20) -> DataFrame:
-    """The rows of df, with all their columns, in whose text no item is found."""
+    """The rows of df, with all their columns, in whose text no item is found, items without an id included."""
 
     def keep(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(shared, max_error)
             for batch in batches:
                 texts = batch.column(text_col)
-                yield batch.filter(pa.array([not matcher.find(normalise(x.as_py() or "")) for x in texts], pa.bool_()))
+                yield batch.filter(pa.array([not matcher.find(normalise(x.as_py() or ""), first=True) for x in texts], pa.bool_()))
 
         return run
 
-    for number, block in enumerate(_item_blocks(items, "item_id", "text", block_bytes)):
-        shared = df.sparkSession.sparkContext.broadcast((hash((number, tuple(block))), sorted(block)))
+    for number, block in enumerate(_item_blocks(items, "item_id", "text", block_bytes, nameless=True)):
+        ordered = sorted(block, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        shared = df.sparkSession.sparkContext.broadcast((hash((number, tuple(block))), ordered))
         df = df.mapInArrow(keep(shared), df.schema)
     return df

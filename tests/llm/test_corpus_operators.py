@@ -195,6 +195,28 @@ def test_leaks_against_brute_force(spark, block_bytes):
     assert kept == {d for d in want if not want[d]}
 
 
+def test_least_distances_and_items_without_an_id(spark):
+    rng = random.Random(6)
+    items = [(i, "".join(rng.choice("abcde ") for _ in range(rng.randrange(40, 150)))) for i in range(6)]
+    docs = []
+    for d in range(30):
+        parts = []
+        for edits in rng.sample(range(10), 4):
+            near = list(decontaminate.normalise(items[d % 6][1]).decode())
+            for _ in range(edits):
+                near[rng.randrange(len(near))] = "x"
+            parts += ["".join(near), "fghij " * rng.randrange(40)]
+        docs.append((d, " ".join(parts)))
+    items_df = spark.createDataFrame([*items, (None, "nameless passage")], "item_id long, text string")
+    df = spark.createDataFrame([*docs, (90, "a nameless passage here"), (91, "nothing")], "doc_id long, text string")
+    got = {r["doc_id"]: dict(zip(r["item_ids"], r["distances"], strict=True)) for r in decontaminate.find_leaks(df, items_df).collect()}
+    for d, text in docs:
+        least = {i: edit_distance_in(decontaminate.normalise(t), decontaminate.normalise(text)) for i, t in items}
+        assert got[d] == {i: e for i, e in least.items() if e <= int(0.08 * len(decontaminate.normalise(items[i][1])))}
+    assert got[90] == got[91] == {}
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(df, items_df).collect()} == {91, *(d for d, _ in docs if not got[d])}
+
+
 def test_leaks_without_items_or_documents(spark):
     docs, items = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert [tuple(r) for r in decontaminate.find_leaks(docs, items.limit(0)).collect()] == [(1, False, [], [])]
