@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 
 def top_k(df: DataFrame, value: str, k: int, by: Sequence[str] = (), pos: str = "pos") -> DataFrame:
     """The k rows of largest value (of each group), ties to the lower position, with `rank`. Without groups this is one
@@ -18,6 +20,19 @@ def top_k(df: DataFrame, value: str, k: int, by: Sequence[str] = (), pos: str =
     return df.withColumn("rank", F.row_number().over(window.orderBy(*order))).where(F.col("rank") <= k)
 
 
+def number_rows(df: DataFrame, *order: str | Column, out: str = "pos", first: int = 0) -> DataFrame:
+    """Adds first, first + 1, ... in the given order. Rows are sorted by ranges and written; a row's number is its place in
+    its partition and the number of rows in those before it, so no task sees more than its range."""
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_id", F.monotonically_increasing_id())
+    rows = rows.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_at")).drop("_id")
+    before, at = [], first
+    for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
+        before.append((r["_part"], at))
+        at += r["n"]
+    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    return rows.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def tail_k(df: DataFrame, value: str, k: int, pos: str = "pos") -> DataFrame:
     """The last k rows of an ascending stable sort: at the cut higher positions win; rank ascends with value."""
     kept = df.orderBy(F.desc(value), F.desc(pos)).limit(k)

@@ -552,9 +552,7 @@ def _(spark, sf):
 @query("reorder_subjects", "select vec_id, (row_number() over (order by vec_id desc))::int as pos, label from embeddings")
 def _(spark, sf):
     e = _t(spark, sf, "embeddings")
-    from pyspark.sql import Window
-
-    order = e.select("vec_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("vec_id"))).alias("pos"))
+    order = ranking.number_rows(e.select("vec_id"), F.desc("vec_id"), first=1)
     return constraints.reorder(e.select("vec_id", "label"), order, "vec_id").select("vec_id", "pos", "label")
 
 

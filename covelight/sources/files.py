@@ -11,15 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.scoring import unit
 from ..operators.constraints import duplicate_ids, require
 from ..operators.curation import SelectorConfig
+from ..operators.ranking import number_rows
 
 
 def read_ids(spark: SparkSession, path: str, unique: bool = False) -> DataFrame:
     """(subject_id, pos) of the non-blank trimmed lines, numbered in the order of the file; raises for repeats if unique."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line", "id"))
-    kept = lines.select("line", F.regexp_replace("id", r"^\s+|\s+$", "").alias("subject_id")).where("subject_id <> ''")
-    from pyspark.sql import Window
-
-    out = kept.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("line")) - 1).select("subject_id", "pos")
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("subject_id"))
+    out = number_rows(lines.where("subject_id <> ''"), "file_path", "file_block_start", "line").select("subject_id", "pos")
     if unique:
         require(duplicate_ids(out, ["subject_id"]), f"repeated ids in {path}")
     return out

@@ -206,3 +206,29 @@ def test_adaptive_reliability_weights_against_numpy(spark, pool, n_support):
     want = np.exp((r - r.max()) / 0.3)
     got = reliability.adaptive_reliability_weights(scores, df, support, "P", ["a", "b", "c"], top=12, temperature=0.3).first()
     assert list(got) == pytest.approx((want / want.sum()).tolist(), abs=1e-9)
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Small files' splits and small ranges stay apart."""
+    options = {"spark.sql.files.maxPartitionBytes": 4001, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_rows_are_numbered_by_ranges(spark, many_parts, tmp_path):
+    rows = spark.range(1000).selectExpr("(id * 37) % 1000 as k").repartition(7)
+    got = ranking.number_rows(rows, F.desc("k"), first=1)
+    assert "Window" not in got._jdf.queryExecution().toString()
+    assert got.rdd.getNumPartitions() > 1
+    assert sorted((r["pos"], r["k"]) for r in got.collect()) == [(i + 1, 999 - i) for i in range(1000)]
+    assert ranking.number_rows(rows.limit(0), "k").count() == 0
+    p = tmp_path / "ids.txt"
+    p.write_bytes("".join(f" id{i}" + ("\n", "\r\n", "\r", "\n\n")[i % 4] for i in range(3000)).encode())
+    got = files.read_ids(spark, str(p))
+    assert "Window" not in got._jdf.queryExecution().toString() and got.rdd.getNumPartitions() > 1
+    assert [tuple(r) for r in got.orderBy("pos").collect()] == [(f"id{i}", i) for i in range(3000)]
