@@ -13,6 +13,9 @@ buckets by piece. Sets of one bucket are first linked through pivots and connect
 that are still in different components are compared too, so no link between components is lost. That is done
 block against block on whole parity sketches inside tasks: no pair becomes a row unless its Hamming distance allows a
 link. Every link is verified on the whole shingle sets. Equal sets count as one throughout.
+
+The answer is components only: links between sets already in one component are not formed, so neither the pairs nor
+the number of links of a document can be had from here.
 """
 
 from __future__ import annotations
