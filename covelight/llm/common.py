@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,16 +16,50 @@ BLOCK_BYTES = 1 << 18
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; set a folder of our own only where none is named (tests)."""
+    """Use the cluster's spark.checkpoint.dir; a folder of our own only in local mode, where none is named (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-covelight-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write df to the shared checkpoint folder and go on from there, so a lost executor costs no recomputation.
+
+    The copy is a Parquet table: a reader of few columns reads only those.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+#: A key is hot with more rows than this part of all rows, and than HOT_ROWS; so at most PARTS keys are.
+PARTS, HOT_ROWS = 4096, 1000
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
+    """(key, copies): the keys of df that hold too many rows for one task, at most PARTS, and how often to split them."""
+    share = max(df.count() / PARTS, HOT_ROWS)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).where((F.col("copies") > share) & F.col(key).isNotNull())
+    hot = cut(counts.select(key, F.ceil(F.col("copies") / share).cast("int").alias("copies")))
+    return hot if hot.limit(1).count() else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, hot: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """left joined with right, unique by key, where a few keys may hold much of left.
+
+    Rows of left with a hot key are dealt by `by` too, and right's row is copied for each part. hot: hot_keys of left where
+    they are known; else left is counted, so it should be a written table. At most PARTS hot keys are broadcast.
+    """
+    hot = hot_keys(left, key) if hot is None else hot
+    if hot is None:
+        return left.join(right.hint("merge"), key, how)
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), "copies"), F.lit(0)).cast("int"))
+    copied = right.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
+    return dealt.drop("copies").join(copied.drop("copies").hint("merge"), [key, "_part"], how).drop("_part")
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,9 +1,9 @@
 """A count-min sketch that answers one question: about how often may this key have been seen?
 
-Two rows of 2^bits cells, each cell a counter that stops at 255. Every partition builds its own sketch and gives its
-touched cells as 16-bit offsets within blocks of 65,536 cells, with their counts; past 256 partitions blocks are
-merged in two rounds, so no task holds a block's share of all partitions. What is left at the end is one bit a cell for each level asked for
-(two or more; thirty-two or more), ROWS * levels * 2^bits / 8 bytes. The width follows the number of keys up to
+Two rows of 2^bits cells, each cell a counter that stops at the highest level asked for. Every partition builds its own
+sketch and gives its touched cells as 16-bit offsets within blocks of 65,536 cells, as often as it counted them; past
+256 partitions blocks are merged in two rounds, so no task holds a block's share of all partitions. What is left at the
+end is one bit a cell for each level asked for, ROWS * levels * 2^bits / 8 bytes. The width follows the number of keys up to
 `max_bits`, so the merged sketch has a fixed greatest size. Counters only overestimate: past that width more keys
 look repeated, but none that is repeated is ever missed.
 """
@@ -25,7 +25,7 @@ ROWS = 2
 _BLOCK = 16
 #: Partitions' pieces of a block that one task merges.
 _FAN_IN = 256
-_PARTIAL = "plane int, block int, salt int, cell binary, n binary"
+_PARTIAL = "plane int, block int, salt int, cell binary"
 _FLUSH = 1 << 21
 
 
@@ -60,34 +60,34 @@ class Repeats:
         return self.level(keys) > 0
 
 
-def _partial(keys: np.ndarray, bits: int, salt: int) -> Iterator[tuple]:
+def _partial(keys: np.ndarray, bits: int, salt: int, cap: int) -> Iterator[tuple]:
     for r in range(ROWS):
         cell, n = np.unique(cells(keys, r, bits), return_counts=True)
-        block, n = cell >> _BLOCK, np.minimum(n, 255).astype(np.uint8)
+        cell = np.repeat(cell, np.minimum(n, cap))
+        block = cell >> _BLOCK
         at = np.flatnonzero(np.diff(block, prepend=-1))
         offsets = (cell & 0xFFFF).astype("<u2")
         for a, b in zip(at, [*at[1:], len(cell)], strict=True):
-            yield r, int(block[a]), salt, offsets[a:b].tobytes(), n[a:b].tobytes()
+            yield r, int(block[a]), salt, offsets[a:b].tobytes()
 
 
-def _merge(cell: list[bytes], n: list[bytes]) -> np.ndarray:
-    at, n = np.frombuffer(b"".join(cell), "<u2"), np.frombuffer(b"".join(n), np.uint8)
-    return np.minimum(np.bincount(at, weights=n, minlength=1 << _BLOCK), 255).astype(np.uint8)
+def _merge(cell: list[bytes]) -> np.ndarray:
+    return np.bincount(np.frombuffer(b"".join(cell), "<u2"), minlength=1 << _BLOCK)
 
 
 def count(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, levels: tuple[int, ...] = (2,)) -> Repeats:
     """Sketch all keys that keys_of reads from df's batches."""
-    salts = -(-df.rdd.getNumPartitions() // _FAN_IN)
+    salts, cap = -(-df.rdd.getNumPartitions() // _FAN_IN), max(levels)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) % salts
 
         def give(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            rows = list(_partial(np.concatenate(held), bits, salt))
+            rows = list(_partial(np.concatenate(held), bits, salt, cap))
             for a in range(0, len(rows), 2048):
                 columns = list(zip(*rows[a : a + 2048], strict=True))
-                types = [pa.int32()] * 3 + [pa.binary()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["plane", "block", "salt", "cell", "n"])
+                types = [pa.int32()] * 3 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["plane", "block", "salt", "cell"])
 
         held: list[np.ndarray] = []
         for batch in batches:
@@ -100,12 +100,11 @@ def count(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray
             yield from give(held)
 
     def merge(pdf):
-        n = _merge(list(pdf["cell"]), list(pdf["n"]))
-        at = np.flatnonzero(n)
-        return pdf.iloc[:1].assign(cell=at.astype("<u2").tobytes(), n=n[at].tobytes())
+        n = np.minimum(_merge(list(pdf["cell"])), cap)
+        return pdf.iloc[:1].assign(cell=np.repeat(np.arange(len(n)), n).astype("<u2").tobytes())
 
     def finish(pdf):
-        n = _merge(list(pdf["cell"]), list(pdf["n"]))
+        n = _merge(list(pdf["cell"]))
         return pdf.iloc[:1][["plane", "block"]].assign(bitmap=b"".join(np.packbits(n >= k, bitorder="little").tobytes() for k in levels))
 
     parts = df.mapInArrow(build, _PARTIAL)
