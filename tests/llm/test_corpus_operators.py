@@ -256,10 +256,10 @@ def test_pipeline_against_brute_force(spark, sf):
     matcher = decontaminate.Matcher([(i, t) for i, t in enumerate(items)], 0.08)
     assert all(any(t in decontaminate.normalise(x) for t in items) <= bool(matcher.find(decontaminate.normalise(x))) for _, x in left)
     left = [(d, t) for d, t in left if not matcher.find(decontaminate.normalise(t))]
-    patterns = [re.compile(r.pattern) for r in secret_scan.RULES]
+    patterns = [(re.compile(r.pattern), re.compile(r.strict)) for r in secret_scan.RULES]
 
     def clean(text):
-        spans = sorted((m.start(), m.end()) for p, r in zip(patterns, secret_scan.RULES, strict=True) for m in p.finditer(text) if len(m[r.group]) >= r.least)
+        spans = sorted((m.start(), m.end()) for p, strict in patterns for m in p.finditer(text) if strict.fullmatch(m[0]))
         out, at = [], 0
         for a, b in spans:
             if a >= at:

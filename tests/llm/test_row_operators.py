@@ -112,10 +112,12 @@ def test_secrets_against_plain_regexes(spark, sf, lane):
     from covelight.llm.common import utf8
 
     data, offsets = utf8(pa.array([t for _, t in docs], pa.string()))
-    bits = secret_scan.scan(secret_scan.compile_rules(), data, offsets, lane)
+    scanner = secret_scan.compile_rules()
+    bits = secret_scan.scan(scanner.search, data, offsets, lane)
+    strict = [re.compile(r.strict) for r in secret_scan.RULES]
     for (_, text), found in zip(docs, bits, strict=True):
-        want = sorted((m.start(), k, m.end()) for k, rule in enumerate(secret_scan.RULES) for m in patterns[k].finditer(text or "") if len(m[rule.group]) >= rule.least)
-        assert secret_scan.spans_of((text or "").encode(), int(found), secret_scan.RULES, tuple(re.compile(r.pattern.encode()) for r in secret_scan.RULES)) == want
+        want = sorted((m.start(), k, m.end()) for k in range(len(patterns)) for m in patterns[k].finditer(text or "") if strict[k].fullmatch(m[0]))
+        assert (secret_scan.spans_of(text.encode(), int(found), scanner) if text else []) == want
     assert isinstance(bits, np.ndarray)
 
 
@@ -131,9 +133,26 @@ def test_secret_columns_and_redaction(spark):
 
 
 def test_minimal_automaton_has_the_same_language():
-    auto = secret_scan.compile_rules()
-    rows = auto.next.reshape(len(auto.ends), auto.n_classes) // auto.n_classes
-    assert len({(int(e), *r) for e, r in zip(auto.ends, rows.tolist(), strict=True)}) == len(auto.ends)
+    scanner = secret_scan.compile_rules()
+    for auto in (scanner.search, scanner.match):
+        rows = auto.next.reshape(len(auto.ends), auto.n_classes) // auto.n_classes
+        assert len({(int(e), *r) for e, r in zip(auto.ends, rows.tolist(), strict=True)}) == len(auto.ends)
+
+
+def test_spans_of_random_texts_against_plain_regexes():
+    import random
+
+    import numpy as np
+
+    scanner, rng = secret_scan.compile_rules(), random.Random(3)
+    loose, strict = ([re.compile(getattr(r, p).encode()) for r in secret_scan.RULES] for p in ("pattern", "strict"))
+    parts = ["password", "token", ": ", "=", " ", '"', "AKIA", "0123456789abcdef", "gho_", "xoxb-", "eyJ", ".", "-", "secret", "api_key", "'", "abc", "ZZ9", "é", "-----BEGIN ", "PRIVATE KEY-----", "RSA "]
+    for _ in range(1500):
+        text = ("x" + "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))).encode()
+        at = lambda i: len(text[:i].decode())  # noqa: E731, B023
+        want = sorted((at(m.start()), k, at(m.end())) for k, p in enumerate(loose) for m in p.finditer(text) if strict[k].fullmatch(m[0]))
+        bits = secret_scan.scan(scanner.search, np.frombuffer(text, np.uint8), np.array([0, len(text)]), 16)[0]
+        assert secret_scan.spans_of(text, int(bits), scanner) == want
 
 
 def test_language_held_out_accuracy(spark, sf):
