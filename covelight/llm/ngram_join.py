@@ -7,11 +7,10 @@ every shingle flips one bit of a sketch cut into P = 1.5 (d + 1) pieces. The ske
 the symmetric difference, so at most d pieces differ and linked sets agree in P - d pieces at least.
 
 By the pigeonhole rule it suffices to join on each set's first d + 1 pieces in any order that is the same for all.
-The order here is by level in a count-min sketch over all pieces: pieces that no other set has, pieces that may
-repeat, pieces that very many sets have, empty pieces. A set with d + 1 of the first kind has no partner at all, and
-pieces of the first kind need no row. The others are dealt by piece once, and a piece that only one set turns out to
-have is dropped there, so the result and the cost beyond that one shuffle do not depend on how full the sketch is. Very common
-pieces are dealt by piece and salt.
+The order here is rarest first, by exact counts; then pieces that very many sets have, then empty pieces. A count-min sketch over all
+pieces comes before: a set with d + 1 pieces that it shows to be the set's own has no partner and gives no row, nor do such pieces. All
+other pieces are dealt by piece once and counted there, so the result, and all work after that one shuffle, do
+not depend on how full the sketch is. Very common pieces are dealt by piece and salt.
 
 Sets of one bucket are first linked through pivots and connected; then any two sets of a bucket that are still in
 different components are compared too, so no link between components is lost. That is done block against block on
@@ -92,15 +91,19 @@ def piece_keys(shingles: np.ndarray, t: Fraction) -> Iterator[tuple[int, np.ndar
 
 
 def prefix_keys(shingles: np.ndarray, t: Fraction, seen: Repeats) -> tuple[np.ndarray, np.ndarray]:
-    """The keys under which the set has to meet others, and which of them are very common."""
-    keys_out, common = [], []
-    for d, keys, empty in piece_keys(shingles, t):
+    """The keys among which the set's first d + 1 are, those aside that nobody else has, and a lot for each: -1 for a very
+    common or empty piece, which is wanted; else 2 s + g where all but the s last of those of band pair g are."""
+    keys_out, lots = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for g, (d, keys, empty) in enumerate(piece_keys(shingles, t)):
         level = np.where(empty, 3, seen.level(keys))
-        first = np.lexsort((keys, level))[: d + 1]
-        first = first[level[first] > 0]
-        keys_out.append(keys[first])
-        common.append(level[first] > 1)
-    return np.concatenate(keys_out), np.concatenate(common)
+        alone, some = int((level == 0).sum()), np.flatnonzero(level == 1)
+        spare = alone + len(some) - (d + 1)
+        if spare < len(some):
+            common = np.flatnonzero(level > 1)
+            common = common[np.lexsort((keys[common], level[common]))][: max(-spare, 0)]
+            keys_out += [keys[some], keys[common]]
+            lots += [np.full(len(some), 2 * max(spare, 0) + g), np.full(len(common), -1)]
+    return np.concatenate(keys_out), np.concatenate(lots)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -110,6 +113,11 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def draft(whole: np.ndarray) -> np.ndarray:
+    """A quarter of a whole sketch, which still tells sets far from a link apart."""
+    return _stack([whole.tobytes()], len(whole) // 4)[0]
+
+
 def _stack(sketches: list[bytes], words: int) -> np.ndarray:
     out = np.empty((len(sketches), words), np.uint64)
     for i, raw in enumerate(sketches):
@@ -171,13 +179,13 @@ class _Sets:
         self.first = cut(own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
 
     def describe(self, need: DataFrame, what: str) -> DataFrame:
-        """(sid, n, payload): the "sketch" or the "shingles" of the sets whose sid is in need.
+        """(sid, n, payload, draft): the "sketch" (and its draft) or the "shingles" of the sets whose sid is in need.
 
         Only texts whose doc_id a filter of bounded size lets through are cut into shingles; need takes out the rest.
         """
         ids = self.first.join(need.hint("merge"), "sid").select("doc_id").where("doc_id is not null")
         wanted = cut(ids)
-        filter_ = count(wanted, lambda batch: iter([mix(batch.column("doc_id").to_numpy().view(np.uint64))]), width_for(wanted.count(), 27), (1,))
+        filter_ = count(wanted, lambda batch: iter([mix(batch.column("doc_id").to_numpy().view(np.uint64))]), width_for(wanted.count(), 26), (1,))
         shared, k = self.docs.sparkSession.sparkContext.broadcast(filter_), self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +198,16 @@ class _Sets:
                     for s in shingle_sets(data, offsets, k):
                         if len(s) and (sid := int(set_id(s).view(np.int64))) not in met:
                             met.add(sid)
-                            rows.append((sid, len(s), (sketch(s) if what == "sketch" else s).tobytes()))
+                            whole = sketch(s) if what == "sketch" else s
+                            rows.append((sid, len(s), whole.tobytes(), draft(whole).tobytes() if what == "sketch" else b""))
                     if rows:
-                        columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in columns], ["sid", "n", "payload"])
+                        columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in columns], ["sid", "n", "payload", "draft"])
 
-        found = self.docs.mapInArrow(run, "sid long, n long, payload binary")
-        return cut(found.join(need.hint("merge"), "sid", "left_semi").dropDuplicates(["sid"]))
+        found = self.docs.mapInArrow(run, "sid long, n long, payload binary, draft binary")
+        out = cut(found.join(need.hint("merge"), "sid", "left_semi").dropDuplicates(["sid"]))
+        shared.destroy()
+        return out
 
     def verified(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """The pairs (a, b) of set ids whose sets link; pairs has no repeated row."""
@@ -266,24 +277,30 @@ def join_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         met: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in text_blocks(batch):
-                sids, keys, salts = [], [], []
+                sids, keys, lots = [], [], []
                 for s in shingle_sets(data, offsets, k):
                     if len(s) and (sid := int(set_id(s).view(np.int64))) not in met:
                         met.add(sid)
-                        own, common = prefix_keys(s, t, seen.value)
+                        own, lot = prefix_keys(s, t, seen.value)
                         sids.append(np.full(len(own), sid))
                         keys.append(own.view(np.int64))
-                        salts.append(np.where(common, sid % SALTS, -1))
+                        lots.append(np.where(lot < 0, -1 - sid % SALTS, lot))
                 if sids:
-                    columns = (np.concatenate(sids), np.concatenate(keys), np.concatenate(salts).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sid", "key", "salt"])
+                    columns = (np.concatenate(sids), np.concatenate(keys), np.concatenate(lots).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sid", "key", "lot"])
 
     own = cut(docs.mapInArrow(describe, "doc_id long, n long, sid long"))
-    # Dealt by piece once: buckets of one set end here.
-    bucket = [F.col("key"), F.col("salt")]
+    # Dealt by piece once: what one set alone has ends here. A lot under 0 is the salt of a very common piece.
     ends = "min(sid) over (partition by key, salt) as low", "max(sid) over (partition by key, salt) as high"
-    dealt = docs.select("text").mapInArrow(candidates, "sid long, key long, salt int").repartition(*bucket)
-    met = cut(dealt.selectExpr("*", *ends).where("low <> high or salt >= 0").distinct())
+    dealt = docs.select("text").mapInArrow(candidates, "sid long, key long, lot int").withColumn("salt", F.least("lot", F.lit(0))).repartition("key", "salt")
+    shared = dealt.selectExpr("*", *ends, "count(1) over (partition by key, salt) as times").where("low <> high or lot < 0").select("sid", "key", "lot", "times").distinct()
+    shared = cut(shared)
+    # Of a set's repeated pieces the most frequent are not needed: as many as it has others to spare.
+    ranked = shared.where("lot >= 0").selectExpr("sid", "key", "lot", "row_number() over (partition by sid, lot order by times desc, key desc) as place")
+    wanted = ranked.where("place > shiftright(lot, 1)").select("sid", "key", F.lit(-1).alias("salt"))
+    common = shared.where("lot < 0").select("sid", "key", (-1 - F.col("lot")).alias("salt"))
+    met = cut(wanted.union(common).repartition("key", "salt").selectExpr("*", *ends).where("low <> high or salt >= 0"))
+    seen.destroy()
     tops = met.where("salt >= 0").groupBy("key").agg(F.min("low").alias("a"))
     roots = cut(met.where("salt >= 0").select("key", "low").distinct().join(tops.hint("merge"), "key").select("a", F.col("low").alias("b")).where("a <> b").distinct())
 
@@ -301,7 +318,7 @@ def join_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
             parts = F.when(F.col("top") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
             apart = apart.select("key", F.ceil(F.col("rows") / BLOCK).cast("long").alias("blocks"), F.explode(parts).alias("salt"))
             placed = named.join(apart.hint("merge"), ["key", "salt"]).select("key", "blocks", F.pmod(F.xxhash64("sid"), "blocks").alias("block"), "sid", "component")
-            drawn = placed.join(sketches.select("sid", "n", F.col("payload").alias("sketch")).hint("merge"), "sid")
+            drawn = placed.join(sketches.select("sid", "n", F.col("draft").alias("sketch")).hint("merge"), "sid")
             more = _near_pairs(cut(drawn.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("sid", "component", "n", "sketch")).alias("members"))), t)
         else:
             star = named.select("sid", "component", F.explode(F.array("low", "high")).alias("node")).where("sid <> node")

@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .wordhash import mix
 
 ROWS = 2
@@ -113,7 +114,7 @@ def count(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray
     merged = parts.groupBy("plane", "block").applyInPandas(finish, "plane int, block int, bitmap binary")
     planes = tuple(tuple(np.zeros((1 << bits) // 8, np.uint8) for _ in levels) for _ in range(ROWS))
     size = (1 << _BLOCK) // 8
-    for r, block, bitmap in merged.collect():  # ROWS * levels * 2^bits / 8 bytes at most
+    for r, block, bitmap in cut(merged).toLocalIterator():  # ROWS * levels * 2^bits / 8 bytes at most in all
         for k in range(len(levels)):
             planes[r][k][block * size : (block + 1) * size] = np.frombuffer(bitmap, np.uint8)[k * size : (k + 1) * size]
     return Repeats(bits, levels, planes)
