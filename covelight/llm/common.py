@@ -62,12 +62,24 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, hot: DataF
     return dealt.drop("copies").join(copied.drop("copies").hint("merge"), [key, "_part"], how).drop("_part")
 
 
+#: Rows of whole texts that one Arrow batch holds; Spark's own 10,000 would be tens of MB a batch and a worker.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold BATCH_ROWS rows at most, unless the session already asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, under fixed names; any other column is left in the scan."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

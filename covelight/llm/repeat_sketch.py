@@ -3,7 +3,7 @@
 Two rows of 2^bits cells, each cell a counter that stops at the highest level asked for. Every partition builds its own
 sketch and gives its touched cells as 16-bit offsets within blocks of 65,536 cells, as often as it counted them; past
 256 partitions blocks are merged in two rounds, so no task holds a block's share of all partitions. What is left at the
-end is one bit a cell for each level asked for, ROWS * levels * 2^bits / 8 bytes. The width follows the number of keys up to
+end is one bit a cell for the first level asked for and one for some cells together for others, little over ROWS * 2^bits / 8 bytes. The width follows the number of keys up to
 `max_bits`, so the merged sketch has a fixed greatest size. Counters only overestimate: past that width more keys
 look repeated, but none that is repeated is ever missed.
 """
@@ -27,7 +27,9 @@ _BLOCK = 16
 #: Partitions' pieces of a block that one task merges.
 _FAN_IN = 256
 _PARTIAL = "plane int, block int, salt int, cell binary"
-_FLUSH = 1 << 21
+_FLUSH = 1 << 20
+#: Higher levels are rare: one bit for so many cells (a power of two) tells them.
+_COARSE = 6
 
 
 def width_for(keys: float, max_bits: int, spare: int = 8) -> int:
@@ -41,7 +43,8 @@ def cells(keys: np.ndarray, plane: int, bits: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Repeats:
-    """planes[r][k] has a set bit for each cell of row r that was counted levels[k] times or more."""
+    """planes[r][0] has a set bit for each cell of row r that was counted levels[0] times or more; planes[r][k] one for
+    each 2^_COARSE cells of which one was counted levels[k] times or more."""
 
     bits: int
     levels: tuple[int, ...]
@@ -52,8 +55,8 @@ class Repeats:
         out = np.full(len(keys), len(self.levels), np.int8)
         for r, planes in enumerate(self.planes):
             at = cells(keys, r, self.bits)
-            byte, bit = at >> 3, (at & 7).astype(np.uint8)
-            out = np.minimum(out, sum(((plane[byte] >> bit) & 1).astype(np.int8) for plane in planes))
+            bit = [(plane[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(np.int8) for plane, x in zip(planes, [at] + [at >> _COARSE] * (len(planes) - 1), strict=True)]
+            out = np.minimum(out, bit[0] * sum(bit[1:], start=np.int8(1)))
         return out
 
     def may_repeat(self, keys: np.ndarray) -> np.ndarray:
@@ -106,17 +109,19 @@ def count(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray
 
     def finish(pdf):
         n = _merge(list(pdf["cell"]))
-        return pdf.iloc[:1][["plane", "block"]].assign(bitmap=b"".join(np.packbits(n >= k, bitorder="little").tobytes() for k in levels))
+        return pdf.iloc[:1][["plane", "block"]].assign(bitmap=b"".join(np.packbits(x, bitorder="little").tobytes() for x in [n >= levels[0], *((n >= k).reshape(-1, 1 << _COARSE).any(1) for k in levels[1:])]))
 
     parts = df.mapInArrow(build, _PARTIAL)
     if salts > 1:
         parts = parts.groupBy("plane", "block", "salt").applyInPandas(merge, _PARTIAL)
     merged = parts.groupBy("plane", "block").applyInPandas(finish, "plane int, block int, bitmap binary")
-    planes = tuple(tuple(np.zeros((1 << bits) // 8, np.uint8) for _ in levels) for _ in range(ROWS))
-    size = (1 << _BLOCK) // 8
-    for r, block, bitmap in cut(merged).toLocalIterator():  # ROWS * levels * 2^bits / 8 bytes at most in all
-        for k in range(len(levels)):
-            planes[r][k][block * size : (block + 1) * size] = np.frombuffer(bitmap, np.uint8)[k * size : (k + 1) * size]
+    sizes = [(1 << _BLOCK) // 8] + [(1 << _BLOCK - _COARSE) // 8] * (len(levels) - 1)
+    planes = tuple(tuple(np.zeros(size << bits - _BLOCK, np.uint8) for size in sizes) for _ in range(ROWS))
+    for r, block, bitmap in cut(merged).toLocalIterator():  # little over ROWS * 2^bits / 8 bytes at most in all
+        at = 0
+        for plane, size in zip(planes[r], sizes, strict=True):
+            plane[block * size : (block + 1) * size] = np.frombuffer(bitmap, np.uint8, size, at)
+            at += size
     return Repeats(bits, levels, planes)
 
 
