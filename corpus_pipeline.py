@@ -12,33 +12,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covelight.llm import decontaminate, language_id, ngram_join, piece_codec, secret_scan
-from covelight.llm.common import ensure_checkpoint_dir, table
+from covelight.llm.common import ensure_checkpoint_dir, small_batches, table
 from covelight.llm.queries import MODEL_FILE
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or of no sure language go."""
+    """Documents without a letter (a null text too) or of no sure language go; rows without a lang are judged by text alone."""
+    small_batches(spark)
     return language_id.keep_identified(docs, language_id.fit(docs), min_score=0.5)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share four fifths of their five-word shingles, directly or through others, the least doc_id stays."""
+    """Of documents that share four fifths of their five-word shingles, directly or through others, the least doc_id stays.
+
+    A document without words has no copy and stays; so does a null doc_id.
+    """
+    small_batches(spark)
     return ngram_join.keep_one(docs, k=5, threshold=0.8)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage close to a benchmark item go."""
+    """Documents with a passage close to a benchmark item go; a null text holds none, items without an id count too."""
+    small_batches(spark)
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
+    small_batches(spark)
     clean = secret_scan.redact(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else clean
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text again."""
+    """Token ids of every document, and whether they decode to its text again (null for a null text)."""
+    small_batches(spark)
     coded = piece_codec.encode(docs, MODEL_FILE, check_col="round_trip")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
 
