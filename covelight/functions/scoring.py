@@ -73,9 +73,9 @@ def gate_activation(gate: str | Column, temperature: float = 0.05) -> Column:
     return sigmoid((col(gate) - 0.5) / temperature)
 
 
-def power_gates(strengths: Sequence[Column]) -> list[Column]:
-    """max(s, 1e-8)^4 over their sum."""
-    powers = [F.pow(F.greatest(s, F.lit(STRENGTH_FLOOR)), F.lit(GATE_POWER)) for s in strengths]
+def power_gates(strengths: Sequence[Column], power: float = GATE_POWER) -> list[Column]:
+    """max(s, 1e-8)^power over their sum."""
+    powers = [F.pow(F.greatest(s, F.lit(STRENGTH_FLOOR)), F.lit(power)) for s in strengths]
     total = sum(powers[1:], powers[0]) + SUM_EPSILON
     return [p / total for p in powers]
 

@@ -19,38 +19,44 @@ from .clustering import source_clusters
 LATE_SWITCH = 0.08
 
 
+#: Which greedy each backend's name stands for. `auto` is always coverage: a default must not hang on what is installed.
+BACKENDS = {"auto": "coverage", "numpy": "coverage", "coverage": "coverage", "submodlib": "mutual_information", "mutual_information": "mutual_information"}
+
+
 @dataclass(frozen=True)
 class SelectorConfig:
-    """Constants of the selector."""
+    """Constants of the selector. The first 23 are fixed values: the names and defaults of its configuration files."""
 
     budget: int = 150
     top_utility_pool: int = 500
     top_signal_pool: int = 220
     top_facility_pool: int = 250
-    facility_backend: str = "coverage"
-    facility_eta: float = 1.0
-    facility_stop_at_negative: bool = False
+    facility_backend: str = "auto"
+    facility_magnification_eta: float = 1.0
+    facility_stop_if_negative_gain: bool = False
+    facility_show_progress: bool = False
+    gate_power: float = 4.0
     gate_temperature: float = 0.05
     sparse_rho0: float = 0.60
     sparse_tau: float = 0.08
     coverage_alignment0: float = 0.28
     coverage_alignment_tau: float = 0.04
     barrier_weight: float = 10.0
-    redundancy: float = 0.08
+    redundancy_lambda: float = 0.08
     sparse_match_weight: float = 0.05
     sparse_low_density_weight: float = 0.02
-    multi_quota: int = 45
-    facility_intercept: float = 50.0
-    facility_late_slope: float = 60.0
-    signal_intercept: float = 15.0
-    signal_late_slope: float = 30.0
+    consensus_multi_quota: int = 45
+    consensus_facility_intercept: float = 50.0
+    consensus_facility_late_slope: float = 60.0
+    consensus_signal_intercept: float = 15.0
+    consensus_signal_late_slope: float = 30.0
     clusters: int = 32
     match_top: int = 8
 
     def __post_init__(self) -> None:
         if self.budget <= 0:
             raise ValueError("the budget must be positive")
-        if self.facility_backend not in ("coverage", "mutual_information"):
+        if self.facility_backend not in BACKENDS:
             raise ValueError(f"no facility backend {self.facility_backend!r}")
 
 
@@ -65,9 +71,9 @@ def with_query(source: DataFrame, support: DataFrame) -> DataFrame:
 def facility_order(source: DataFrame, support: DataFrame, config: SelectorConfig) -> DataFrame:
     """(rank, pos, value): the facility pool in the order in which the backend picks it."""
     pool = with_query(source, support)
-    if config.facility_backend == "coverage":
-        return coverage_greedy(pool, config.top_facility_pool, config.redundancy)
-    return mutual_information(pool, config.top_facility_pool, config.facility_eta, config.facility_stop_at_negative)
+    if BACKENDS[config.facility_backend] == "coverage":
+        return coverage_greedy(pool, config.top_facility_pool, config.redundancy_lambda)
+    return mutual_information(pool, config.top_facility_pool, config.facility_magnification_eta, config.facility_stop_if_negative_gain)
 
 
 def signals(source: DataFrame, support: DataFrame, scores: DataFrame, config: SelectorConfig) -> DataFrame:
@@ -104,7 +110,7 @@ def diagnostics(flagged: DataFrame, trust: DataFrame, config: SelectorConfig) ->
     row = row.withColumn("s_coverage", (1 - F.col("s_sparse")) * sigmoid((F.col("alignment") - config.coverage_alignment0) / config.coverage_alignment_tau))
     row = row.withColumn("s_consensus", (1 - F.col("s_sparse")) * (1 - F.col("s_coverage")) * F.col("agreement"))
     names = ("sparse", "coverage", "consensus")
-    for name, gate in zip(names, power_gates([F.col(f"s_{n}") for n in names]), strict=True):
+    for name, gate in zip(names, power_gates([F.col(f"s_{n}") for n in names], config.gate_power), strict=True):
         row = row.withColumn(f"gate_{name}", gate)
     for name in names:
         row = row.withColumn(f"a_{name}", gate_activation(f"gate_{name}", config.gate_temperature))
@@ -123,8 +129,8 @@ def consensus(flagged: DataFrame) -> DataFrame:
 
 def group_quotas(late_distinctness: float, config: SelectorConfig) -> dict[str, int]:
     """Seeds of each group at full scale; halves round to even."""
-    signal = max(0, round(config.signal_intercept + config.signal_late_slope * late_distinctness))
-    return {"multi": config.multi_quota, "facility_only": max(0, round(config.facility_intercept - config.facility_late_slope * late_distinctness)), "reliability_only": signal, "influence_only": signal}
+    signal = max(0, round(config.consensus_signal_intercept + config.consensus_signal_late_slope * late_distinctness))
+    return {"multi": config.consensus_multi_quota, "facility_only": max(0, round(config.consensus_facility_intercept - config.consensus_facility_late_slope * late_distinctness)), "reliability_only": signal, "influence_only": signal}
 
 
 def cluster_quotas(mass: dict[int, float], members: int, budget: int) -> dict[int, int]:
@@ -192,7 +198,7 @@ def select_sources(source: DataFrame, support: DataFrame, scores: DataFrame, con
     seeds = quota_seeds(grouped, quotas).orderBy(F.desc("score"), F.asc("pos")).select("pos").distinct().join(grouped.select("pos", "consensus"), "pos").orderBy(F.desc("consensus"), F.asc("pos")).limit(config.budget)
     order = [r["pos"] for r in seeds.collect()]
     pool = grouped.where("u_top or r_top or h_top or f_top").select("pos", "v", "base")
-    picks = greedy(pool, config.budget, Redundancy(penalty=config.redundancy), order)
+    picks = greedy(pool, config.budget, Redundancy(penalty=config.redundancy_lambda), order)
     keep = ("base", "R", "I", "L", "M", "D", "F", "A", "r_top", "h_top", "f_top", "multi")
     return Selection(picks.select("rank", "pos").join(grouped.select("pos", *keep), "pos").withColumnRenamed("base", "score"), diag, grouped)
 

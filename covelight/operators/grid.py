@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .constraints import require
+
 # Method names.
 SOURCE_METHODS = ("target_only", "full_source", "random1", "random2", "random3", "coreset", "orient", "anchored")
 TARGET_METHODS = ("random1", "random2", "random3", "coreset", "lada", "aada", "ada_clue", "anchored")
@@ -66,6 +69,54 @@ def config_records(grid: DataFrame, root: str = "data") -> DataFrame:
     return grid.select("run_id", F.array_compact(F.array(source, target)).alias("domains"), evaluation.alias("eval_split"), F.concat_ws("/", F.lit("results"), F.col("run_id")).alias("save_dir"))
 
 
+#: The training run's constants.
+MODEL = {"name": "efficientvit_l1", "in_channels": 4, "num_classes": 4, "pretrained": True}
+OPTIMIZER = {"lr": 0.0001, "weight_decay": 1.0e-05}
+SCHEDULER = {"T_max": 20, "eta_min": 1.0e-06}
+IMG_SIZE, BATCH_SIZE, WORKERS, EPOCHS = 512, 4, 4, 20
+
+
+def _constants(values: dict) -> Column:
+    return F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
+
+
+def run_configs(grid: DataFrame, counts: DataFrame, root: str = "data", data_path: str = "data/slices", strict: bool = False) -> DataFrame:
+    """(run_id, model, data, optimizer, scheduler, training): the whole config of each runnable row of the grid.
+
+    counts: split, n, of the splits that exist, evaluation lists included. A row with a split that is missing or of another size than the
+    budget (TARGET_BUDGET for a target; any for the full source), or without its evaluation list, is left out, or raises if strict.
+    """
+    records = config_records(grid, root).join(grid.select("run_id", "source_method"), "run_id")
+    parts = records.select("run_id", "source_method", F.explode("domains").alias("d")).join(counts.select(F.col("split").alias("_split"), "n"), F.col("d.split") == F.col("_split"), "left")
+    whole = (F.col("source_method") == "full_source") & (F.col("d.name") == "source")
+    wrong = parts.where(F.col("n").isNull() | (~whole & (F.col("n") != F.col("d.count")))).select("run_id", F.col("d.split").alias("split"), "n")
+    lists = counts.select(F.col("split").alias("eval_split"))
+    bad = wrong.select("run_id", "split").union(records.join(lists, "eval_split", "left_anti").select("run_id", "eval_split"))
+    if strict:
+        require(bad, "splits that are missing or of a wrong size")
+    kept = records.join(bad.select("run_id").distinct(), "run_id", "left_anti")
+    side = lambda part: F.struct(F.lit(data_path).alias("path"), F.lit(part).alias("split"), F.col("eval_split").alias("split_txt"))
+    domains = F.transform("domains", lambda d: F.struct(d["name"].alias("name"), F.lit(data_path).alias("path"), F.lit("train").alias("split"), d["split"].alias("split_txt")))
+    data = F.struct(
+        F.lit(True).alias("skip_empty_train"), F.lit(False).alias("skip_empty_val"), domains.alias("domains"), side("val").alias("val"), side("test").alias("test"),
+        F.lit(IMG_SIZE).alias("img_size"), F.lit(BATCH_SIZE).alias("batch_size"), F.lit(WORKERS).alias("num_workers"),
+    )
+    training = F.struct(F.lit(EPOCHS).alias("epochs"), F.col("save_dir"), F.lit(False).alias("feature_mode"))
+    return kept.select("run_id", _constants(MODEL).alias("model"), data.alias("data"), _constants(OPTIMIZER).alias("optimizer"), _constants(SCHEDULER).alias("scheduler"), training.alias("training"))
+
+
+def read_grid(path: str) -> dict[str, list]:
+    """budgets, targets, source_methods and target_methods of a grid's JSON file, the method common to both lists that no
+    baseline goes by, is read as `anchored`; its own name is returned beside."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    own = [m for m in found["source_methods"] if m in found["target_methods"] and m not in SOURCE_METHODS]
+    if len(own) > 1:
+        raise ValueError(f"more than one method of the grid is unknown: {own}")
+    swap = lambda names: ["anchored" if n in own else n for n in names]
+    return {**found, "source_methods": swap(found["source_methods"]), "target_methods": swap(found["target_methods"]), "anchored": own[0] if own else "anchored"}
+
+
 def filter_manifest(manifest: DataFrame, wanted: dict[str, Sequence[str]] | None = None, tokens: Sequence[str] = ()) -> DataFrame:
     """Rows whose fields are in all non-empty lists and that have every token among their fields; raises for a token no row has."""
     for field, values in (wanted or {}).items():

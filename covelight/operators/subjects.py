@@ -94,6 +94,37 @@ def entropy_of(probabilities: str) -> Column:
     return F.aggregate(F.col(probabilities), F.lit(0.0), lambda s, p: s - p * F.log(p + 1e-8))
 
 
+def mean_probabilities(rows: DataFrame, keys: Sequence[str], probabilities: str) -> DataFrame:
+    """keys and `probabilities`: the mean of the class-probability arrays of each group, class by class."""
+    parts = rows.select(*keys, F.posexplode(probabilities).alias("_i", "_p")).groupBy(*keys, "_i").agg(F.avg("_p").alias("_p"))
+    return parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_p"))).alias("_a")).select(*keys, F.transform("_a", lambda s: s["_p"]).alias(probabilities))
+
+
+def foreground_score(probabilities: str) -> Column:
+    """One minus the background's (first class's) probability, as the sum of the other classes'."""
+    p = F.col(probabilities)
+    return F.aggregate(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(1))), F.lit(0.0), lambda s, x: s + x)
+
+
+def top_class(probabilities: str) -> Column:
+    """The number of the largest class probability, the first of equal ones."""
+    return (F.array_position(F.col(probabilities), F.array_max(probabilities)) - 1).cast("int")
+
+
+def class_agreement(a: str, b: str) -> Column:
+    """Share of the places at which two arrays of classes agree; 0 for empty ones."""
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return F.coalesce(F.try_divide(same, F.greatest(F.size(a), F.size(b))), F.lit(0.0))
+
+
+def noise_view(vector: str, view: str, scale: float, key: str) -> Column:
+    """The vector under view 2 (plus) or 3 (minus) of deterministic noise in [-scale, scale), drawn by key and place; other
+    views leave it as it is."""
+    sign = F.when(F.col(view) == 2, 1.0).when(F.col(view) == 3, -1.0).otherwise(0.0)
+    noise = lambda i: F.pmod(F.xxhash64(F.col(key), i), F.lit(1 << 20)) / float(1 << 19) - 1.0
+    return F.transform(vector, lambda x, i: x + sign * scale * noise(i))
+
+
 def schedule(progress: str, scale: float = 1.0) -> Column:
     """scale * (2 / (1 + exp(-10 p)) - 1)."""
     return scale * (2.0 / (1.0 + F.exp(-10.0 * F.col(progress))) - 1.0)

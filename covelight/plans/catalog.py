@@ -559,3 +559,6 @@ def _(spark, sf):
 @query("manifest_violations", "select 'row_count' as \"check\", '912' as detail")
 def _(spark, sf):
     return constraints.manifest_violations(grid.config_records(_grid(spark, sf)), 900)
+
+
+from . import experiment  # noqa: E402, F401  (its queries use the tables above)
