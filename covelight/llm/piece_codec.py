@@ -17,6 +17,7 @@ and sent to the tasks (a vocabulary, whose size does not follow the data). encod
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from bisect import bisect_left
@@ -267,41 +268,55 @@ def compose(a: Matrix, b: Matrix) -> Matrix:
 
 
 def scan_states(matrices: list[Matrix], length: int) -> list[tuple[State, State]]:
-    """(entry, exit) of each chunk on the best path that ends at `length`."""
-    prefix = [matrices[0]]
-    for m in matrices[1:]:
-        prefix.append(compose(prefix[-1], m))
-    (start, last), states = next(iter(prefix[-1].items())), []
-    leave = max((v for v in last if v[1] == length), key=lambda v: (last[v], -v[0]))
-    for k in range(len(matrices) - 1, -1, -1):
-        if k == 0:
-            entry = start
-        else:
-            before = prefix[k - 1][start]
-            entry = max((u for u in matrices[k] if u in before and leave in matrices[k][u]), key=lambda u: (before[u] + matrices[k][u][leave], -u[0]))
-        states.append((entry, leave))
-        leave = entry
-    return states[::-1]
+    """(entry, exit) of each chunk on the best path that ends at `length`, by a scan over a balanced tree: products of
+    neighbours go up level by level, then each node hands its children the state between them."""
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        low = levels[-1]
+        levels.append([compose(*low[i : i + 2]) if i + 1 < len(low) else low[i] for i in range(0, len(low), 2)])
+    (start, last) = next(iter(levels[-1][0].items()))
+    spans = [(start, max((v for v in last if v[1] == length), key=lambda v: (last[v], -v[0])))]
+    for low in reversed(levels[:-1]):
+        below = []
+        for i, (entry, leave) in enumerate(spans):
+            if 2 * i + 1 == len(low):
+                below.append((entry, leave))
+                continue
+            left, right = low[2 * i][entry], low[2 * i + 1]
+            middle = max((m for m in left if leave in right.get(m, {})), key=lambda m: (left[m] + right[m][leave], -m[0]))
+            below += [(entry, middle), (middle, leave)]
+        spans = below
+    return spans
 
 
 def combined(matrices: list[Matrix]) -> Matrix:
     return reduce(compose, matrices)
 
 
-_models: dict[int, Model] = {}
+_models: dict[str, Model] = {}
 
 
 def _model(shared) -> Model:
-    raw = shared.value
-    if len(raw) not in _models:
+    digest, raw = shared.value
+    if digest not in _models:
         _models.clear()
-        _models[len(raw)] = Model(raw)
-    return _models[len(raw)]
+        _models[digest] = Model(raw)
+    return _models[digest]
 
 
 def _share(df: DataFrame, model_file: str):
+    """(digest, bytes) of the model's file, read by the driver: a file of a few MB whatever the input."""
     with open(model_file, "rb") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())
+        raw = f.read()
+    return df.sparkSession.sparkContext.broadcast((hashlib.sha256(raw).hexdigest(), raw))
+
+
+def _free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that df has not, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 _CHUNKS = "key long, number int, first long, before int, size int, length long, window string"
@@ -384,11 +399,11 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str
     matrices = matrices.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     fixed = matrices.groupBy("key").applyInPandas(fix, "key long, number int, us long, ue long, vs long, ve long")
     traced = chunks.join(fixed.hint("merge"), ["key", "number"]).mapInArrow(trace, "key long, number int, ids array<int>")
-    whole = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("number", "ids"))).alias("parts")).select(F.col("key").alias("_key"), F.flatten("parts.ids").alias(ids_col))
-    long_rows = df.where(long).withColumn("_key", key).join(whole.hint("merge"), "_key").select(*df.columns, ids_col)
+    whole = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("number", "ids"))).alias("parts")).select(F.col("key").alias(own := _free_name(df, "_key")), F.flatten("parts.ids").alias(ids_col))
+    long_rows = df.where(long).withColumn(own, key).join(whole.hint("merge"), own).select(*df.columns, ids_col)
     if check_col:
-        decoded = decode(long_rows, model_file, ids_col, "_decoded")
-        long_rows = decoded.withColumn(check_col, F.col("_decoded") == F.translate(text_col, SPACE, " ")).drop("_decoded")
+        decoded = decode(long_rows, model_file, ids_col, back := _free_name(long_rows, "_decoded"))
+        long_rows = decoded.withColumn(check_col, F.col(back) == F.translate(text_col, SPACE, " ")).drop(back)
     return short_rows.union(long_rows)
 
 

@@ -326,3 +326,20 @@ def test_sparse_sites_shrink_to_the_prior(spark):
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(200)] + [(900, 0)], "doc_id long, quality int")
     got = {r["doc_id"]: r for r in quality_classifier.classify(docs, labels).collect()}
     assert 0.3 < got[900]["path_rate"] < 0.8 and got[1]["kept"] and not got[0]["kept"]
+
+
+def test_codec_of_a_giant_text_beside_clashing_columns(spark):
+    import random
+
+    import sentencepiece
+    from covelight.llm import queries
+
+    rng = random.Random(5)
+    words = ["river", "Straße", "naïve", "東京", "x" * 90, "the", "of", "3.14", "\n", "😀"]
+    giant = " ".join(rng.choice(words) for _ in range(60_000))
+    rows = [(1, giant, 7, "a"), (2, "short one", 8, "b"), (3, None, 9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key long, _decoded string")
+    got = {r["doc_id"]: r for r in piece_codec.encode(df, queries.MODEL_FILE, check_col="ok").collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL_FILE)
+    assert list(got[1]["ids"]) == sp.encode(giant) and got[1]["ok"] and got[3]["ids"] is None
+    assert [(got[i]["_key"], got[i]["_decoded"]) for i in (1, 2, 3)] == [(7, "a"), (8, "b"), (9, None)]
