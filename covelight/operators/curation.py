@@ -25,13 +25,13 @@ BACKENDS = {"auto": "coverage", "numpy": "coverage", "coverage": "coverage", "su
 
 @dataclass(frozen=True)
 class SelectorConfig:
-    """Constants of the selector. The first 23 are fixed values: the names and defaults of its configuration files."""
+    """Constants of the selector. The first 23 have the names, fixed values, of its configuration files, and their values but for the backend, `auto` there."""
 
     budget: int = 150
     top_utility_pool: int = 500
     top_signal_pool: int = 220
     top_facility_pool: int = 250
-    facility_backend: str = "auto"
+    facility_backend: str = "coverage"
     facility_magnification_eta: float = 1.0
     facility_stop_if_negative_gain: bool = False
     facility_show_progress: bool = False

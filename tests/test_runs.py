@@ -57,7 +57,7 @@ def test_run_summary_and_state(spark, sf, tmp_path):
     picks = spark.createDataFrame(rows, "pos long, rank int, score double, R double, I double, L double, M double, D double, F double, A double, r_top boolean, h_top boolean, f_top boolean, multi boolean")
     diag = spark.createDataFrame([(0.1, 0.2, 0.7)], "a_sparse double, a_coverage double, a_consensus double")
     ids = spark.createDataFrame([(i, f"s{9 - i}") for i in range(4)], "pos long, subject_id string")
-    config = curation.SelectorConfig(budget=3)
+    config = curation.SelectorConfig(budget=3, facility_backend="auto")
     record = runs.write_run(curation.Selection(picks, diag, picks), ids, config, "T1", str(tmp_path / "data"), str(tmp_path / "res"))
     assert [r["subject_id"] for r in files.read_ids(spark, record["source_split"]).orderBy("pos").collect()] == ["s9", "s8", "s7"]
     saved = json.loads((tmp_path / "res/T1/run_config.json").read_text())
