@@ -308,10 +308,12 @@ def join_ngrams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     for last in (False, True):
         named = met.join(label.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
         if last:
-            apart = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("rows"), F.max("salt").alias("top")).where("c1 <> c2")
+            # The least and the greatest set of an unsalted bucket have met all others of it as pivots; a bucket of three is done.
+            rest = named.where("salt >= 0 or (sid <> low and sid <> high)")
+            apart = rest.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("rows"), F.max("salt").alias("top")).where("c1 <> c2")
             parts = F.when(F.col("top") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
             apart = apart.select("key", F.ceil(F.col("rows") / BLOCK).cast("long").alias("blocks"), F.explode(parts).alias("salt"))
-            placed = named.join(apart.hint("merge"), ["key", "salt"]).select("key", "blocks", F.pmod(F.xxhash64("sid"), "blocks").alias("block"), "sid", "component")
+            placed = rest.join(apart.hint("merge"), ["key", "salt"]).select("key", "blocks", F.pmod(F.xxhash64("sid"), "blocks").alias("block"), "sid", "component")
             drawn = placed.join(sketches.select("sid", "n", F.col("payload").alias("sketch")).hint("merge"), "sid")
             more = _near_pairs(cut(drawn.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("sid", "component", "n", "sketch")).alias("members"))), t)
         else:
