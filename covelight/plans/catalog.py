@@ -475,8 +475,9 @@ def _select(spark, sf):
 
 @query("quota_seed")
 def _(spark, sf):
-    grouped = curation.consensus(_flagged(spark, sf))
-    return _rounded(curation.quota_seeds(grouped, curation.group_quotas(0.1, CONFIG)), "score")
+    flagged = _flagged(spark, sf)
+    late = flagged.agg(F.max("late_distinctness")).first()[0]
+    return _rounded(curation.quota_seeds(curation.consensus(flagged), curation.group_quotas(late, CONFIG)), "score")
 
 
 @query("seeded_greedy_select")
