@@ -62,15 +62,20 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, hot: DataF
     return dealt.drop("copies").join(copied.drop("copies").hint("merge"), [key, "_part"], how).drop("_part")
 
 
-#: Rows of whole texts that one Arrow batch holds; Spark's own 10,000 would be tens of MB a batch and a worker.
-BATCH_ROWS = 512
+#: Rows and bytes of whole texts that one Arrow batch holds, a longer row apart; Spark's own 10,000 rows or 64 MB would be
+#: held several times over in each worker.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold BATCH_ROWS rows at most, unless the session already asks for fewer."""
+    """Let Arrow batches hold BATCH_ROWS rows at most, unless the session already asks for fewer, and end them at
+    BATCH_BYTES, unless the session has a limit of its own instead of Spark's."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in (f"{64 << 20}b", "64MB"):
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
