@@ -46,3 +46,38 @@ reach(x, y) as (select x, y from e union select reach.x, e.y from reach join e o
 c as (select x as doc_id, min(y) as least from reach group by 1)
 select d.doc_id, coalesce(z.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) as component_id from d left join z using (doc_id) left join c using (doc_id)
 """
+
+_CRC = """xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda x: ord(x)::bigint)),
+lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda c, i: xor(c >> 1, 3988292384::bigint * (c & 1)))), 4294967295)"""
+
+CONVERSATION_TRIE = rf"""with t as materialized (select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, sha256(concat_ws(':', length(role), role, text))) - 1 as i
+from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),
+c as materialized (select conv_id, {_CRC} % 4 as h from t group by 1),
+r as (select c.conv_id, t.i, t.role, t.text from c join t on t.conv_id = c.conv_id - c.conv_id % 20 and t.i < c.h union all select c.conv_id, t.i, t.role, t.text from c join t using (conv_id) where t.i >= c.h),
+x as materialized (select conv_id, row_number() over w as depth, list({{'r': role, 't': text}}) over w as pre, text as last from r window w as (partition by conv_id order by i)
+union all select conv_id, 0, []::struct(r varchar, t varchar)[], '' from c),
+l as (select conv_id, max(depth) as length from x group by 1),
+n as materialized (select min(conv_id) as conv_id, depth, pre, count(*) as n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(last), '[^\x20\x09-\x0D]+')) as own, coalesce(string_agg(case when depth = length then conv_id::varchar end, ',' order by conv_id), '') as ends from x join l using (conv_id) group by depth, pre),
+p as materialized (select a.conv_id, a.depth, b.conv_id as parent_conv_id from n a join n b on b.depth = a.depth - 1 and b.pre = a.pre[1:a.depth - 1]),
+k as (select parent_conv_id as conv_id, depth - 1 as depth, count(*) as n_children from p group by 1, 2),
+s as (select a.conv_id, a.depth, sum(d.own)::bigint as saved_tokens, count(*) filter (k.n_children is null) as n_leaves from n a join n d on d.depth >= a.depth and d.pre[1:a.depth] = a.pre left join k on k.conv_id = d.conv_id and k.depth = d.depth group by 1, 2)
+select n.conv_id, n.depth, p.parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::bigint as n_children, s.n_leaves, s.saved_tokens, sha256(n.ends) as ends_sha256
+from n join s using (conv_id, depth) left join p using (conv_id, depth) left join k using (conv_id, depth)"""
+
+
+def vector_codes(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """Nearest entries and floored means, each round as tables of its own."""
+    d = "list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i])))::bigint"
+    sql = f"""with p as materialized (select vec_id, label, part, list_slice(q, part * (len(q) // {parts}) + 1, (part + 1) * (len(q) // {parts})) as v
+from (select vec_id, label, list_transform(embedding::double[], lambda x: floor(4096 * x)::bigint) as q from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0), range({parts}) y(part)),
+b0 as materialized (select part, row_number() over (partition by part order by vec_id) - 1 as e, v from p qualify e < {entries})"""
+    for k in range(rounds + 1):
+        sql += f""", a{k} as materialized (select p.vec_id, p.part, any_value(p.label) as label, any_value(p.v) as v, min({{'d': {d}, 'e': b.e}}) as m from p join b{k} b using (part) group by 1, 2)"""
+        if k < rounds:
+            sql += f""", s{k} as (select part, e, list(x order by i) as v from (select part, e, i, floor(sum(x) / count(*))::bigint as x from (select part, m.e as e, unnest(v) as x, unnest(range(len(v))) as i from a{k}) group by 1, 2, 3) group by 1, 2),
+b{k + 1} as materialized (select b.part, b.e, coalesce(s.v, b.v) as v from b{k} b left join s{k} s using (part, e))"""
+    return sql + f""", f as (select vec_id, any_value(label) as label, string_agg(printf('%02x', m.e), '' order by part) as code, sum(m.d)::bigint as error from a{rounds} group by 1)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, (select sha256(string_agg(array_to_string(v, ','), ',' order by part, e)) from b{rounds}) as codebooks_sha256 from f"""
+
+
+VECTOR_CODES = vector_codes()

@@ -1,4 +1,4 @@
-"""Queries op1_ to op10_: each applies one operator to its whole table."""
+"""Queries op1_ to op13_: each applies one operator to its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, ngram_join, oracles, piece_codec, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter
+from . import conversation_trie, decontaminate, html_extract, language_id, ngram_join, oracles, piece_codec, quality_classifier, quality_rules, secret_scan, substring_dedup, token_shards, url_filter, vector_codes
 from .common import table
 
 
@@ -61,6 +61,23 @@ def secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+WORD_FILE = f"{TOKENIZERS}/word_bpe_49k.json"
+
+
+def token_shards_query(spark: SparkSession, sf_dir: str, tokenizer_file: str = WORD_FILE) -> DataFrame:
+    """All documents written to shard files below the checkpoint folder and read back from them."""
+    index = token_shards.write_shards(table(spark, sf_dir, "documents"), token_shards.new_place(spark), tokenizer_file)
+    return token_shards.read_documents(index, ids=False)
+
+
+def conversation_trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def vector_codes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": quality_rules_query,
     "op2_language_id": language_id_query,
@@ -72,5 +89,8 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup_query,
     "op9_quality_classifier": quality_classifier_query,
     "op10_secret_scan": secret_scan_query,
+    "op11_token_shards": token_shards_query,
+    "op12_conversation_trie": conversation_trie_query,
+    "op13_vector_codes": vector_codes_query,
 }
-ORACLES = {"op1_quality_rules": oracles.QUALITY_RULES, "op7_ngram_join": oracles.NGRAM_JOIN, "op8_substring_dedup": oracles.SUBSTRING_DEDUP}
+ORACLES = {"op1_quality_rules": oracles.QUALITY_RULES, "op7_ngram_join": oracles.NGRAM_JOIN, "op8_substring_dedup": oracles.SUBSTRING_DEDUP, "op12_conversation_trie": oracles.CONVERSATION_TRIE, "op13_vector_codes": oracles.VECTOR_CODES}
