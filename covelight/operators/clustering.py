@@ -1,9 +1,4 @@
-"""Deterministic weighted k-means and the target selectors built on it.
-
-Seeds come farthest first, so no random state is involved; centres are then moved a fixed number of times. Each move is
-one pass: tasks add up their rows by cluster and a sum by (cluster, dimension) of k * d rows comes back. Centres are
-rounded to twelve digits, so that the order in which partial sums are added does not show.
-"""
+"""The source's clusters and the target selectors built on k-means (operators/kmeans.py)."""
 
 from __future__ import annotations
 
@@ -14,41 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .greedy import k_center
-
-ITERATIONS = 20
+from .kmeans import MOVES, SEED, STARTS, kmeans, squared_distances
 
 
 def _distances(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((v[:, None, :] - centres[None, :, :]) ** 2).sum(2), 0.0))
-
-
-def lloyd(rows: DataFrame, k: int, iterations: int = ITERATIONS) -> np.ndarray:
-    """Centres (k x d) of rows (pos, v, weight)."""
-    seeds = k_center(rows.select("pos", "v"), k).collect()
-    vectors = {r["pos"]: r["v"] for r in rows.where(F.col("pos").isin([s["pos"] for s in seeds])).select("pos", "v").collect()}
-    centres = np.array([vectors[s["pos"]] for s in sorted(seeds, key=lambda s: s["rank"])], np.float64)
-    for _ in range(iterations):
-        now = centres
-
-        def add(parts: Iterator[pd.DataFrame], now: np.ndarray = now) -> Iterator[pd.DataFrame]:
-            total = np.zeros((len(now), now.shape[1] + 1))
-            for pdf in parts:
-                v, w = np.array(pdf["v"].tolist()), pdf["weight"].to_numpy(np.float64)
-                label = _distances(v, now).argmin(1)
-                np.add.at(total, label, np.column_stack([v * w[:, None], w]))
-            cluster, dim = np.indices(total.shape)
-            yield pd.DataFrame({"cluster": cluster.ravel(), "dim": dim.ravel(), "x": total.ravel()})
-
-        sums = np.zeros((len(now), now.shape[1] + 1))
-        for c, d, x in rows.select("v", "weight").mapInPandas(add, "cluster int, dim int, x double").groupBy("cluster", "dim").agg(F.sum("x")).collect():
-            sums[c, d] = x
-        full = sums[:, -1] > 0
-        centres = now.copy()
-        centres[full] = np.round(sums[full, :-1] / sums[full, -1:], 12)
-        if np.array_equal(centres, now):
-            break
-    return centres
+    return np.sqrt(squared_distances(v, centres))
 
 
 def assign(rows: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -62,13 +27,13 @@ def assign(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     return rows.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", cluster int, distances array<double>")
 
 
-def source_clusters(rows: DataFrame, k: int = 32, iterations: int = ITERATIONS) -> DataFrame:
+def source_clusters(rows: DataFrame, k: int = 32, starts: int = STARTS, moves: int = MOVES, seed: int = SEED) -> DataFrame:
     """(pos, cluster); everything is cluster 0 when at most one cluster is possible."""
     k = min(k, rows.count())
     if k <= 1:
         return rows.select("pos", F.lit(0).alias("cluster"))
     rows = rows.select("pos", "v", F.lit(1.0).alias("weight"))
-    return assign(rows, lloyd(rows, k, iterations)).select("pos", "cluster")
+    return assign(rows, kmeans(rows, k, starts, moves, seed=seed).centres).select("pos", "cluster")
 
 
 def _filled(chosen: list[int], rows: DataFrame, budget: int, weight: str) -> DataFrame:
@@ -79,10 +44,10 @@ def _filled(chosen: list[int], rows: DataFrame, budget: int, weight: str) -> Dat
     return rows.sparkSession.createDataFrame([(i + 1, p) for i, p in enumerate(chosen[:budget])], "rank int, pos long")
 
 
-def weighted_support(rows: DataFrame, budget: int, iterations: int = ITERATIONS) -> DataFrame:
+def weighted_support(rows: DataFrame, budget: int, starts: int = STARTS, moves: int = MOVES, seed: int = SEED) -> DataFrame:
     """(rank, pos): per cluster its member of best 0.7 (1 - N(distance)) + 0.3 N(weight); rows: pos, v, weight."""
     rows = rows.select("pos", "v", F.greatest(F.col("weight").cast("double"), F.lit(1e-6)).alias("weight"))
-    placed = assign(rows, lloyd(rows, budget, iterations))
+    placed = assign(rows, kmeans(rows, budget, starts, moves, seed=seed).centres)
     spread = placed.select(F.posexplode("distances").alias("cluster", "d")).groupBy("cluster").agg(F.min("d").alias("low"), F.max("d").alias("high"))
     bounds = rows.agg(F.min("weight").alias("w0"), F.max("weight").alias("w1"))
     own = placed.withColumn("d", F.element_at("distances", F.col("cluster") + 1)).join(F.broadcast(spread), "cluster").crossJoin(F.broadcast(bounds))
@@ -103,20 +68,20 @@ def _nearest_unused(rows: DataFrame, centres: np.ndarray, budget: int, order: st
     return chosen
 
 
-def uncertainty_clusters(rows: DataFrame, budget: int, iterations: int = ITERATIONS) -> DataFrame:
+def uncertainty_clusters(rows: DataFrame, budget: int, starts: int = STARTS, moves: int = MOVES, seed: int = SEED) -> DataFrame:
     """Clustering weighted by uncertainty, then the nearest unused row of each centre (CLUE)."""
     scaled = rows.select("pos", "v", F.greatest(F.col("weight").cast("double"), F.lit(1e-8)).alias("weight"))
     total = scaled.agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("n"))
     scaled = scaled.crossJoin(F.broadcast(total)).select("pos", "v", (F.col("weight") / (F.col("s") + 1e-8) * F.col("n")).alias("weight"))
-    return _filled(_nearest_unused(scaled, lloyd(scaled, budget, iterations), budget), scaled, budget, "weight")
+    return _filled(_nearest_unused(scaled, kmeans(scaled, budget, starts, moves, seed=seed).centres, budget), scaled, budget, "weight")
 
 
-def inconsistent_clusters(rows: DataFrame, budget: int, factor: int = 10, iterations: int = ITERATIONS) -> DataFrame:
+def inconsistent_clusters(rows: DataFrame, budget: int, factor: int = 10, starts: int = STARTS, moves: int = MOVES, seed: int = SEED) -> DataFrame:
     """Clustering of the (1 + factor) * budget rows of largest local inconsistency (`weight`), ties going to the higher
     position, then the nearest unused candidate of each centre (LADA)."""
     near = rows.select("pos", "v", "weight").orderBy(F.desc("weight"), F.desc("pos")).limit((1 + factor) * budget)
     near = near.select("pos", "v", F.lit(1.0).alias("weight"), F.struct(F.col("weight").alias("a"), F.col("pos").alias("b")).alias("o"))
-    return _filled(_nearest_unused(near, lloyd(near.select("pos", "v", "weight"), budget, iterations), budget, "o"), rows, budget, "weight")
+    return _filled(_nearest_unused(near, kmeans(near.select("pos", "v", "weight"), budget, starts, moves, seed=seed).centres, budget, "o"), rows, budget, "weight")
 
 
 def domain_selection(source: DataFrame, target: DataFrame, budget: int) -> DataFrame:

@@ -61,7 +61,7 @@ def orient(source: DataFrame, target: DataFrame, picks: DataFrame, budget: int)
     return coverage_greedy(cut(with_query(source, chosen)), budget, ORIENT_PENALTY).select("rank", "pos")
 
 
-def target_methods(state: DataFrame, source: DataFrame, name: str, iterations: int = 10, factor: int = 10) -> dict[str, Callable[[int], DataFrame]]:
+def target_methods(state: DataFrame, source: DataFrame, name: str, factor: int = 10) -> dict[str, Callable[[int], DataFrame]]:
     """Each target method as a function of its budget that gives (rank, pos). state: pos, v, uncertainty, foreground,
     inconsistency, consistency and, where it is known, domain_score; name: the target's, from which random draws are seeded."""
     scored = lambda weight: state.select("pos", "v", F.col(weight).alias("weight"))
@@ -74,14 +74,14 @@ def target_methods(state: DataFrame, source: DataFrame, name: str, iterations: i
 
     def anchored(budget: int) -> DataFrame:
         weighed = acquisition_weights(state, "uncertainty", "foreground", "inconsistency", "consistency")
-        return weighted_support(weighed.select("pos", "v", "weight"), budget, iterations)
+        return weighted_support(weighed.select("pos", "v", "weight"), budget)
 
     return {
         **{f"random{i}": (lambda budget, i=i: random_subset(state.select("pos"), "pos", budget, f"{i}:{name}").select("rank", "pos")) for i in (1, 2, 3)},
         "coreset": lambda budget: k_center(state.select("pos", "v"), budget).select("rank", "pos"),
-        "lada": lambda budget: inconsistent_clusters(scored("inconsistency"), budget, factor, iterations),
+        "lada": lambda budget: inconsistent_clusters(scored("inconsistency"), budget, factor),
         "aada": domain,
-        "ada_clue": lambda budget: uncertainty_clusters(scored("uncertainty"), budget, iterations),
+        "ada_clue": lambda budget: uncertainty_clusters(scored("uncertainty"), budget),
         "anchored": anchored,
     }
 
@@ -91,12 +91,12 @@ def _rows(picks: DataFrame, kind: str, method: str, budget: int | None) -> DataF
 
 
 def all_splits(
-    source: DataFrame, state: DataFrame, name: str, budgets: Sequence[int], anchored: Callable[[int], DataFrame] | None = None, methods: Sequence[str] | None = None, target_budget: int = TARGET_BUDGET, iterations: int = 10
+    source: DataFrame, state: DataFrame, name: str, budgets: Sequence[int], anchored: Callable[[int], DataFrame] | None = None, methods: Sequence[str] | None = None, target_budget: int = TARGET_BUDGET
 ) -> DataFrame:
     """Every split of one target, rows of SCHEMA: the target methods' splits, the source baselines at each budget (the
     whole source once, with a null budget), the anchored selection (a function of the budget, if given) and, for each
     target method but the anchored one, the oriented baseline towards its picks."""
-    found = target_methods(state, source, name, iterations)
+    found = target_methods(state, source, name)
     out = [_rows(found[m](target_budget), "target", m, target_budget) for m in (methods or found)]
     picks = dict(zip(methods or found, out, strict=True))
     out.append(_rows(full_source(source), "source", "full_source", None))

@@ -388,7 +388,7 @@ def _(spark, sf):
 
 @query("source_clusters")
 def _(spark, sf):
-    return clustering.source_clusters(source(spark, sf), 8, 10)
+    return clustering.source_clusters(source(spark, sf), 8)
 
 
 def _weighted(spark, sf):
@@ -397,17 +397,17 @@ def _weighted(spark, sf):
 
 @query("weighted_kmeans_support")
 def _(spark, sf):
-    return clustering.weighted_support(_weighted(spark, sf), 6, 10)
+    return clustering.weighted_support(_weighted(spark, sf), 6)
 
 
 @query("clue_select")
 def _(spark, sf):
-    return clustering.uncertainty_clusters(_weighted(spark, sf), 6, 10)
+    return clustering.uncertainty_clusters(_weighted(spark, sf), 6)
 
 
 @query("lada_select")
 def _(spark, sf):
-    return clustering.inconsistent_clusters(_weighted(spark, sf), 6, 4, 10)
+    return clustering.inconsistent_clusters(_weighted(spark, sf), 6, 4)
 
 
 @query("domain_classifier")

@@ -77,7 +77,7 @@ def _(spark, sf):
 
 @query("split_dispatch")
 def _(spark, sf):
-    return splits.all_splits(source(spark, sf), _state(spark, sf), "T1", (8,), iterations=4)
+    return splits.all_splits(source(spark, sf), _state(spark, sf), "T1", (8,))
 
 
 @query("eval_splits", "select lang as target, case when doc_id % 5 = 0 then 'test' else 'val' end as kind, doc_id as rank, source as subject_id from documents where doc_id % 5 < 2")

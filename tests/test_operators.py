@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from covelight.operators import clustering, constraints, curation, greedy, grid, ranking, reliability, similarity, subjects
+from covelight.operators import constraints, curation, greedy, grid, ranking, reliability, similarity, subjects
 from covelight.sources import files
 
 
@@ -129,20 +129,6 @@ def test_late_influence_uses_the_last_steps(spark):
     assert [r["influence"] for r in got] == [0.0, 1.0] and [r["late"] for r in got] == [0.0, 1.0]
 
 
-def test_clusters_do_not_depend_on_partitions(pool):
-    _, _, df = pool
-    a = {r["pos"]: r["cluster"] for r in clustering.source_clusters(df, 5, 5).collect()}
-    b = {r["pos"]: r["cluster"] for r in clustering.source_clusters(df.repartition(1), 5, 5).collect()}
-    assert a == b and set(a.values()) == set(range(5))
-    assert {r["cluster"] for r in clustering.source_clusters(df.where("pos = 1"), 5).collect()} == {0}
-
-
-@pytest.mark.parametrize("select", [clustering.weighted_support, clustering.uncertainty_clusters, clustering.inconsistent_clusters])
-def test_selectors_give_distinct_picks(pool, select):
-    got = [r["pos"] for r in select(pool[2].select("pos", "v", (F.col("pos") % 7).cast("double").alias("weight")), 6, iterations=4).collect()]
-    assert len(got) == len(set(got)) == 6
-
-
 def test_grid_size_and_filter_errors(spark):
     runs = grid.method_grid(spark, ["A"], [50])
     assert runs.count() == 57
