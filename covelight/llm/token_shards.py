@@ -17,6 +17,7 @@ memory depends on neither the table nor a document. No rule goes across a docume
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -31,101 +32,155 @@ from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir
 
-SEGMENT_IDS, STEP, LEAST = 1 << 20, 1024, 16
+SEGMENT_IDS, STEP, LEAST, FALL, WORTH = 1 << 20, 1024, 16, 64, 64
 MARK = b"COVLRP01"
-#: A worker remembers the ids of so many words of at most so many bytes each.
-WORDS, WORD_BYTES = 1 << 19, 48
+#: A worker remembers the ids of so many pieces of at most so many characters each.
+WORDS, WORD_CHARS = 3 << 18, 48
+HASH = np.int64(-7046029254386353131)  # odd, for multiplicative hashing
 
 
 # Encoding
 
+#: Fixed values of the word tokenizer: how it normalises and cuts texts.
+NORMAL = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters for which the cutting rule is short: ASCII, Latin letters that are composed and change case one by one, and
+#: common punctuation. No other letters, digits or white space are among them.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u012f\u0131-\u017e"
+PLAIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018-\u201d\u2026]*")
+PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\t-\r {LETTERS}0-9]+")
+SPACE = re.compile("[\t-\r ]+")
+
 
 @lru_cache(maxsize=2)
 def _tokenizer(text: str):
+    """The tokenizer of a JSON text, and whether it normalises and cuts as NORMAL and PATTERN say."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_str(text)
+    rules = json.loads(text)
+    normal, cut = (rules.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+    steps = [x.get("type") for x in normal.get("normalizers", [])]
+    first = (cut.get("pretokenizers") or [{}])[0]
+    return Tokenizer.from_str(text), steps == NORMAL and (first.get("pattern") or {}).get("Regex") == PATTERN
 
 
-_KNOWN: dict[str, dict[bytes, bytes]] = {}
+_WORKER: dict[str, dict[str, bytes]] = {}
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, without special tokens added.
 
-    With by_word, a text is cut at ASCII white space first, and each distinct piece is encoded once. This is right where
-    no token or normalisation reaches across white space, as in a tokenizer that drops it.
+    A tokenizer that cuts words as PATTERN says, and never looks across them, sees each distinct word once: texts of PLAIN
+    characters are cut here by the same rule, other texts at white space alone. Any other tokenizer gets whole texts.
     """
 
-    def __init__(self, model: str, by_word: bool = True):
-        self.tokenizer, self.by_word = _tokenizer(model), by_word
-        self.size = self.tokenizer.get_vocab_size()
+    def __init__(self, model: str):
+        tokenizer, self.by_word = _tokenizer(model)
+        self.size = tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size < 1 << 16 else "<u4")
-        self.known = _KNOWN.setdefault(hashlib.sha256(model.encode()).hexdigest(), {})
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
+        self.tokenizer, self.known = tokenizer, _WORKER.setdefault(hashlib.sha256(model.encode()).hexdigest(), {})
+        self.special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+
+    def _pieces(self, text: str, odd: set[str]) -> list[str]:
+        """The pieces of a text; those that PIECE did not cut go into `odd` as well."""
+        special = any(x in text for x in self.special)
+        if not special and PLAIN.fullmatch(text):
+            return PIECE.findall(text.lower())
+        out = []
+        for w in SPACE.split(text):
+            if not special and PLAIN.fullmatch(w):
+                out += PIECE.findall(w.lower())
+            else:
+                out.append(w)
+                odd.add(w)
+        return out
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str], odd: set[str]) -> dict[str, bytes]:
+        """Ids of new pieces. Those cut by PIECE are whole words to the tokenizer: they are encoded as one text and told apart
+        by their word numbers."""
+        whole = list(new - odd)
+        found = self.tokenizer.encode(" ".join(whole), add_special_tokens=False)
+        words = np.array(found.word_ids, np.int64)
+        ends = np.searchsorted(words, np.arange(len(whole)), "right")
+        if len(whole) and (ends[-1] != len(words) or (np.diff(ends, prepend=0) <= 0).any()):
+            whole, ends = [], ends[:0]
+        ids, size = np.array(found.ids, self.kind).tobytes(), self.kind.itemsize
+        at = [0, *(ends * size).tolist()]
+        rest = list(new.difference(whole))
+        return dict(zip(whole, map(ids.__getitem__, map(slice, at[:-1], at[1:])), strict=True)) | dict(zip(rest, self._whole(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
-            return [np.frombuffer(x, self.kind) for x in self._ids(texts)]
+            return [np.frombuffer(x, self.kind) for x in self._whole(texts)]
         if len(self.known) > WORDS:
             self.known.clear()
-        pieces, known = [t.encode().split() for t in texts], self.known
-        new = list({w for p in pieces for w in p if w not in known})
-        extra = dict(zip(new, self._ids([w.decode() for w in new]), strict=True))
-        known.update((w, x) for w, x in extra.items() if len(w) <= WORD_BYTES)
-        long = {w: x for w, x in extra.items() if len(w) > WORD_BYTES}
-        return [np.frombuffer(b"".join([known[w] if w in known else long[w] for w in p] if long else [known[w] for w in p]), self.kind) for p in pieces]
+        odd: set[str] = set()
+        pieces = [self._pieces(t, odd) for t in texts]
+        known = [list(map(self.known.get, p)) for p in pieces]  # one look-up a piece; gaps are filled from what is learnt
+        new = {w for p, k in zip(pieces, known, strict=True) if None in k for w, x in zip(p, k, strict=True) if x is None}
+        found = self._learn(new, odd) if new else {}
+        self.known.update((w, x) for w, x in found.items() if len(w) <= WORD_CHARS)
+        return [np.frombuffer(b"".join([found[w] if x is None else x for w, x in zip(p, k, strict=True)] if None in k else k), self.kind) for p, k in zip(pieces, known, strict=True)]
 
 
 # The grammar
 
 
-def _pair_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys that occur `least` times or more, ascending, and how often."""
     keys = np.sort(keys)
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.diff(np.append(first, len(keys)))
+    counts = np.diff(np.append(first, len(keys)))
+    often = counts >= least
+    return keys[first[often]], counts[often]
 
 
 def compress(symbols: np.ndarray, size: int, most: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules) of the Re-Pair grammar of one segment; `size` is the end mark, rule k is symbol size + 1 + k.
 
-    Each round counts all neighbouring pairs and takes those with a quarter of the top pair's count or more (`least` at
-    least), most frequent first, ties by symbols. Where two occurrences overlap, the more frequent pair gets its place; in
-    a run of one symbol every second pair is taken. Rounds end when no pair occurs `least` times or `most` rules are made.
+    Each round counts neighbouring pairs and replaces those with about a FALL-th of the top pair's count or more (`least`
+    at least), most frequent first, ties by symbols. Where two occurrences overlap, the more frequent pair gets its place; in
+    a run of one symbol every second pair is taken. Rounds end when `most` rules are made or pairs that
+    may occur `least` times are less than one in WORTH.
+    A table of counts by hash, never too low, leaves few pairs to be counted exactly.
     """
     s, rules = symbols.astype(np.int64), np.zeros((0, 2), np.int64)
     none = np.iinfo(np.int32).max
     while len(s) > 1 and len(rules) < most:
-        valid = (s[:-1] != size) & (s[1:] != size)
         keys = s[:-1] << 32 | s[1:]
-        if not valid.any():
-            break
-        pairs, counts = _pair_counts(keys[valid])
-        if counts.max() < least:
+        spots = ((keys * HASH) >> 44) & 0xFFFFF
+        ends = np.flatnonzero(s == size)
+        spots[ends[ends < len(spots)]] = spots[ends[ends > 0] - 1] = 1 << 20
+        table = np.bincount(spots, minlength=(1 << 20) + 1)
+        table[-1] = 0
+        floor = max(least, int(table.max()) // FALL)
+        while True:
+            at = np.flatnonzero((table >= floor)[spots])
+            pairs, counts = _frequent(keys[at], floor) if len(at) else (keys[:0], keys[:0])
+            if len(pairs) or floor == least:
+                break
+            floor = max(least, floor // FALL)
+        if not len(pairs) or len(at) * WORTH < len(s):
             break
-        chosen = np.flatnonzero(counts >= max(least, counts.max() // 4))
-        chosen = chosen[np.lexsort((pairs[chosen], -counts[chosen]))][: most - len(rules)]
-        rank_of = np.argsort(pairs[chosen], kind="stable")
-        ordered = pairs[chosen][rank_of]
-        # a small table of hashes leaves few places for the search
-        spot = lambda k: ((k * np.int64(-7046029254386353131)) >> 44) & 0xFFFFF
-        maybe = np.zeros(1 << 20, bool)
-        maybe[spot(ordered)] = True
-        at = np.flatnonzero(valid & maybe[spot(keys)])
+        order = np.lexsort((pairs, -counts))[: most - len(rules)]
+        chosen = pairs[order]
+        rank_of = np.argsort(chosen)
+        ordered = chosen[rank_of]
         found = np.minimum(np.searchsorted(ordered, keys[at]), len(ordered) - 1)
         hit = ordered[found] == keys[at]
-        at, rank = at[hit], rank_of[found[hit]]
         r = np.full(len(s) + 1, none, np.int32)  # r[i + 1]: the rank of the pair at i
-        r[at + 1] = rank
+        r[at[hit] + 1] = rank_of[found[hit]]
         same = np.flatnonzero((r[1:] == r[:-1]) & (r[1:] != none))
-        if len(same):  # pairs of a run: keep the even ones
+        if len(same):  # pairs of a run: keep every second one
             begins = np.concatenate(([True], same[1:] != same[:-1] + 1))
             start = same[np.flatnonzero(begins)][np.cumsum(begins) - 1]
             r[same[(same - start) % 2 == 0] + 1] = none
-        take = np.flatnonzero((r[1:-1] != none) & (r[1:-1] < r[:-2]) & (r[1:-1] < r[2:]))
+        spot = at[hit]
+        mine = r[spot + 1]
+        take = spot[(mine != none) & (mine < r[spot]) & (mine < r[spot + 2])]
         used = np.bincount(r[take + 1], minlength=len(chosen))
         kept = used >= max(2, least // 2)
         if not kept.any():
@@ -133,7 +188,7 @@ def compress(symbols: np.ndarray, size: int, most: int, least: int = LEAST) -> t
         number = np.cumsum(kept) - 1 + size + 1 + len(rules)
         take = take[kept[r[take + 1]]]
         s[take] = number[r[take + 1]]
-        new = pairs[chosen][kept]
+        new = chosen[kept]
         rules = np.concatenate((rules, np.stack((new >> 32, new & 0xFFFFFFFF), 1)))
         stay = np.ones(len(s), bool)
         stay[take + 1] = False
@@ -298,7 +353,7 @@ class ShardReader:
 # Spark
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, by_word: bool = True, segment_ids: int = SEGMENT_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, segment_ids: int = SEGMENT_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every whole text, appends end_id to each and writes all in ascending order of the ids below `path`.
 
     Returns the index, also written to path/index: part, file, n_docs, n_ids and start (ids in all files before), a row a
@@ -315,7 +370,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, writer, name = Encoder(model.value, by_word), None, ""
+        encoder, writer, name = Encoder(model.value), None, ""
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for doc_id, found in zip(ids, encoder.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
