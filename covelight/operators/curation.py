@@ -12,7 +12,7 @@ from ..functions.lineage import cut
 from ..functions.scoring import gate_activation, power_gates, sigmoid
 from .greedy import Redundancy, coverage_greedy, greedy, mutual_information, rank_scores
 from .ranking import agreement, membership, overlap_fraction, top_k
-from .similarity import centroid_alignment, coverage_trust, query_match, source_density, top_similar
+from .similarity import centroid_alignment, coverage_trust, low_density_flag, query_match, source_density, support_similarities
 from .clustering import source_clusters
 
 #: Above this share of the influence top that the late top lacks, late influence takes over.
@@ -62,15 +62,12 @@ class SelectorConfig:
 
 def with_query(source: DataFrame, support: DataFrame) -> DataFrame:
     """source with q: its clipped similarities to the support rows (a stated set of a few rows), in their pos order."""
-    n = support.count()
-    near = top_similar(source, support, n)
-    q = near.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "sim"))), lambda s: s["sim"]).alias("q"))
-    return source.join(q, F.col("pos") == F.col("i"), "left").drop("i")
+    return support_similarities(source, support)
 
 
 def facility_order(source: DataFrame, support: DataFrame, config: SelectorConfig) -> DataFrame:
     """(rank, pos, value): the facility pool in the order in which the backend picks it."""
-    pool = with_query(source, support)
+    pool = cut(with_query(source, support))  # each scan of the greedy reads it again
     if BACKENDS[config.facility_backend] == "coverage":
         return coverage_greedy(pool, config.top_facility_pool, config.redundancy_lambda)
     return mutual_information(pool, config.top_facility_pool, config.facility_magnification_eta, config.facility_stop_if_negative_gain)
@@ -169,13 +166,12 @@ def quota_seeds(grouped: DataFrame, quotas: dict[str, int]) -> DataFrame:
 
 def base_scores(grouped: DataFrame, diag: DataFrame, config: SelectorConfig) -> DataFrame:
     """grouped with low_density, sparse and base."""
-    tenth = grouped.agg(F.percentile("density_raw", 0.1).alias("_cut"))
-    rows = grouped.crossJoin(F.broadcast(tenth)).crossJoin(F.broadcast(diag.select("a_sparse", "a_coverage", "a_consensus")))
-    rows = rows.withColumn("low_density", (F.col("density_raw") <= F.col("_cut")).cast("double"))
+    rows = low_density_flag(grouped).withColumn("low_density", F.col("low_density").cast("double"))
+    rows = rows.crossJoin(F.broadcast(diag.select("a_sparse", "a_coverage", "a_consensus")))
     sparse = F.col("R") + config.sparse_match_weight * F.col("M") + config.sparse_low_density_weight * F.col("low_density")
     barrier = lambda flag: config.barrier_weight * (1.0 - F.col(flag).cast("double"))
     base = F.col("a_sparse") * (sparse - barrier("u_top")) + F.col("a_coverage") * (F.col("R") - barrier("f_top")) + F.col("a_consensus") * F.col("consensus")
-    return rows.withColumn("sparse", sparse).withColumn("base", base).drop("_cut")
+    return rows.withColumn("sparse", sparse).withColumn("base", base)
 
 
 @dataclass

@@ -1,8 +1,9 @@
-"""Similarity operators: nearest rows in blocks, density, query match, local inconsistency, prototype margin.
+"""Similarity operators: nearest rows, density, query match, local inconsistency, prototype margin.
 
-All-pairs work is done block against block: rows are packed into blocks of a bounded number of vectors, every block of
-one side meets every block of the other in a task of its own as one matrix product, and only each row's best k of each block go
-on. No pair is ever a row, no side is broadcast and no task holds more than two blocks.
+Neighbours within one table are looked up with pruning (operators/neighbours.py). Against a support of at most SUPPORT rows
+each task holds the support's vectors and works on its own rows, without a shuffle. A larger other side is compared in
+blocks: rows are packed into blocks of a bounded number of vectors, every block of one side meets every block of the other
+in a task of its own as one matrix product, and only each row's best k of each block go on.
 """
 
 from __future__ import annotations
@@ -11,10 +12,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.scoring import SUM_EPSILON, clipped_cosine, mean_vector, normalize, unit
+from .neighbours import nearest
+from .quantiles import quantiles
 
 #: Vectors in a block.
 BLOCK = 2048
@@ -37,8 +41,44 @@ def _packed(df: DataFrame, key: str, vector: str, name: str, block: int) -> Data
     return rows.groupBy("_b").applyInPandas(pack, f"{name}_block long, {name}_ids binary, {name}_v binary")
 
 
-def top_similar(left: DataFrame, right: DataFrame, k: int, key: str = "pos", vector: str = "v", exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
+#: Rows and numbers of a support that every task may hold (32 MB).
+SUPPORT, SUPPORT_NUMBERS = 4096, 1 << 22
+
+
+def held_support(right: DataFrame, key: str = "pos", vector: str = "v", *more: str) -> pd.DataFrame | None:
+    """The rows of a support by ascending key, or None where they are more than a task should hold. SUPPORT + 1 rows are read at most."""
+    rows = right.select(F.col(key).cast("long").alias("pos"), F.col(vector).alias("v"), *more).limit(SUPPORT + 1).collect()
+    if len(rows) > SUPPORT or sum(len(r["v"] or ()) for r in rows) > SUPPORT_NUMBERS:
+        return None
+    found = pd.DataFrame([r.asDict() for r in rows], columns=["pos", "v", *more])
+    return found[found["v"].notna()].sort_values("pos", kind="stable").reset_index(drop=True)
+
+
+def _rows(column: pd.Series, n: int) -> np.ndarray:
+    return np.array(column.tolist(), np.float64).reshape(n, -1)
+
+
+def top_similar(left: DataFrame, right: DataFrame, k: int, key: str = "pos", vector: str = "v", block: int = BLOCK) -> DataFrame:
     """(i, j, sim, rank): for each left row its k right rows of largest clipped cosine, ties by lower j."""
+    few = held_support(right, key, vector)
+    if few is None:
+        return _top_by_blocks(left, right, k, key, vector, block)
+    j, n = few["pos"].to_numpy(np.int64), len(few)
+    y = _rows(few["v"], n) if n else None
+
+    def against(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if n and len(pdf):
+                sim = np.maximum(_rows(pdf["v"], len(pdf)) @ y.T, 0.0)
+                best = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # j ascends, so ties keep the lower
+                m = best.shape[1]
+                yield pd.DataFrame({"i": np.repeat(pdf["pos"].to_numpy(np.int64), m), "j": j[best.ravel()], "sim": np.take_along_axis(sim, best, 1).ravel(), "rank": np.tile(np.arange(1, m + 1, dtype=np.int32), len(pdf))})
+
+    rows = left.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("pos"), F.col(vector).alias("v"))
+    return rows.mapInPandas(against, "i long, j long, sim double, rank int")
+
+
+def _top_by_blocks(left: DataFrame, right: DataFrame, k: int, key: str, vector: str, block: int) -> DataFrame:
     a, b = _packed(left, key, vector, "l", block), _packed(right, key, vector, "r", block)
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,39 +87,76 @@ def top_similar(left: DataFrame, right: DataFrame, k: int, key: str = "pos", vec
                 i, j = np.frombuffer(row.l_ids, np.int64), np.frombuffer(row.r_ids, np.int64)
                 x, y = np.frombuffer(row.l_v).reshape(len(i), -1), np.frombuffer(row.r_v).reshape(len(j), -1)
                 sim = np.maximum(x @ y.T, 0.0)
-                if exclude_self:
-                    sim[i[:, None] == j[None, :]] = -1.0
-                best = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # j ascends, so ties keep the lower
-                value = np.take_along_axis(sim, best, 1)
-                keep = value.ravel() >= 0
-                yield pd.DataFrame({"i": np.repeat(i, best.shape[1])[keep], "j": j[best.ravel()][keep], "sim": value.ravel()[keep]})
+                best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"i": np.repeat(i, best.shape[1]), "j": j[best.ravel()], "sim": np.take_along_axis(sim, best, 1).ravel()})
+
+    met = blocks_met(a, b).mapInPandas(compare, "i long, j long, sim double")
+    first = Window.partitionBy("i").orderBy(F.desc("sim"), "j")
+    return met.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+
 
-    # Block numbers only grow with rows / BLOCK; this join pairs blocks, not rows.
-    met = a.join(b, F.lit(True)).repartition("l_block", "r_block").mapInPandas(compare, "i long, j long, sim double")
-    best = met.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("d"), "j"))), 1, k).alias("best"))
-    return best.select("i", F.posexplode("best").alias("rank", "b")).select("i", F.col("b.j").alias("j"), (-F.col("b.d")).alias("sim"), (F.col("rank") + 1).alias("rank"))
+def blocks_met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Each of _packed's blocks of a with each of b, dealt by pairs: a block of a is copied for every number of a block of b."""
+    last = b.agg(F.max("r_block")).first()[0]
+    copied = a.withColumn("r_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))) if last is not None else a.withColumn("r_block", F.lit(None).cast("long"))
+    return copied.join(b.hint("merge"), "r_block").repartition("l_block", "r_block")
 
 
 def source_density(source: DataFrame, k: int = 20) -> DataFrame:
     """(pos, density_raw, density): mean of the min(k, n - 1) largest clipped cosines to other rows; 0 for a single row."""
-    near = top_similar(source, source, k, exclude_self=True)
-    raw = near.groupBy("i").agg(F.avg("sim").alias("density_raw"))
+    raw = nearest(source, k).groupBy("i").agg(F.avg("sim").alias("density_raw"))
     every = source.select(F.col("pos")).join(raw, F.col("pos") == F.col("i"), "left").select("pos", F.coalesce("density_raw", F.lit(0.0)).alias("density_raw"))
     return normalize(every, "density_raw", "density")
 
 
 def low_density_flag(density: DataFrame) -> DataFrame:
     """Adds low_density: density_raw at or under its tenth percentile (linear)."""
-    cut = density.agg(F.percentile("density_raw", 0.1).alias("_cut"))
-    return density.crossJoin(F.broadcast(cut)).withColumn("low_density", F.col("density_raw") <= F.col("_cut")).drop("_cut")
+    return density.withColumn("low_density", F.col("density_raw") <= F.lit(quantiles(density, "density_raw", [0.1])[0]))
 
 
 def query_match(source: DataFrame, support: DataFrame, top: int = 8, weight: str = "weight") -> DataFrame:
     """(pos, match_raw, match): weighted mean of each row's `top` support similarities, weights floored at 1e-6; then min-max."""
-    near = top_similar(source, support, top)
-    w = support.select(F.col("pos").alias("j"), F.greatest(F.col(weight).cast("double"), F.lit(1e-6)).alias("w"))
-    scored = near.join(w, "j").groupBy("i").agg((F.sum(F.col("sim") * F.col("w")) / (F.sum("w") + SUM_EPSILON)).alias("match_raw"))
-    return normalize(scored.select(F.col("i").alias("pos"), "match_raw"), "match_raw", "match")
+    w = F.greatest(F.col(weight).cast("double"), F.lit(1e-6)).alias("w")
+    few = held_support(support.withColumn("w", w), "pos", "v", "w")
+    if few is None:
+        near = top_similar(source, support, top)
+        scored = spread(near, support.select(F.col("pos").alias("j"), w))
+        return normalize(scored.select(F.col("i").alias("pos"), "match_raw"), "match_raw", "match")
+    n, weights = len(few), few["w"].to_numpy(np.float64)
+    y = _rows(few["v"], n) if n else None
+
+    def match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if n and len(pdf):
+                sim = np.maximum(_rows(pdf["v"], len(pdf)) @ y.T, 0.0)
+                best = np.argsort(-sim, axis=1, kind="stable")[:, :top]
+                x = weights[best]
+                yield pd.DataFrame({"pos": pdf["pos"].to_numpy(np.int64), "match_raw": (np.take_along_axis(sim, best, 1) * x).sum(1) / (x.sum(1) + SUM_EPSILON)})
+
+    return normalize(cut(source.where("v is not null").select(F.col("pos").cast("long").alias("pos"), "v").mapInPandas(match, "pos long, match_raw double")), "match_raw", "match")
+
+
+def spread(near: DataFrame, weights: DataFrame) -> DataFrame:
+    """(i, match_raw): the weighted mean of each row's similarities; weights: j, w."""
+    return near.join(weights, "j").groupBy("i").agg((F.sum(F.col("sim") * F.col("w")) / (F.sum("w") + SUM_EPSILON)).alias("match_raw"))
+
+
+def support_similarities(source: DataFrame, support: DataFrame) -> DataFrame:
+    """source with q: its clipped similarities to a support of at most SUPPORT rows, in their pos order; null for a null vector."""
+    few = held_support(support)
+    if few is None:
+        raise ValueError(f"a support has at most {SUPPORT} rows")
+    y = _rows(few["v"], len(few)) if len(few) else None
+
+    @F.pandas_udf("array<double>")
+    def similar(v: pd.Series) -> pd.Series:
+        have = v.notna().to_numpy()
+        out = pd.Series([None] * len(v), index=v.index, dtype=object)
+        if have.any():
+            out[have] = list(np.maximum(_rows(v[have], int(have.sum())) @ y.T, 0.0))
+        return out
+
+    return source.withColumn("q", similar("v")) if len(few) else source.withColumn("q", F.array().cast("array<double>"))
 
 
 def coverage_trust(source: DataFrame, support: DataFrame) -> DataFrame:
@@ -90,7 +167,7 @@ def coverage_trust(source: DataFrame, support: DataFrame) -> DataFrame:
 def local_inconsistency(rows: DataFrame, probabilities: str = "probs", k: int = 10) -> DataFrame:
     """(pos, own, inconsistency): one minus the similarity-weighted agreement of class probabilities with the k nearest rows,
     then one smoothing pass over the same neighbours. A single row has 0."""
-    near = top_similar(rows, rows, k, exclude_self=True)
+    near = cut(nearest(rows, k))
     total = near.groupBy("i").agg((F.sum("sim") + 1e-8).alias("total"))
     weights = near.join(total, "i").select("i", "j", (F.col("sim") / F.col("total")).alias("w"))
     p = rows.select(F.col("pos"), F.col(probabilities).alias("p"))
@@ -104,9 +181,8 @@ def local_inconsistency(rows: DataFrame, probabilities: str = "probs", k: int =
 
 def tercile_bins(scores: DataFrame, reference: DataFrame, column: str) -> DataFrame:
     """Adds bin: 0, 1, 2 by the reference's quantiles at one and two thirds; a value on a bound goes up."""
-    cuts = reference.agg(F.percentile(column, 1 / 3).alias("_a"), F.percentile(column, 2 / 3).alias("_b"))
-    binned = F.when(F.col(column) < F.col("_a"), 0).when(F.col(column) < F.col("_b"), 1).otherwise(2)
-    return scores.crossJoin(F.broadcast(cuts)).withColumn("bin", binned).drop("_a", "_b")
+    low, high = quantiles(reference, column, [1 / 3, 2 / 3])
+    return scores.withColumn("bin", F.when(F.col(column) < F.lit(low), 0).when(F.col(column) < F.lit(high), 1).otherwise(2))
 
 
 def prototypes(target: DataFrame, by: Sequence[str] = ("bin",), vector: str = "v") -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from covelight.operators import constraints, curation, greedy, grid, ranking, reliability, similarity, subjects
+from covelight.operators import constraints, curation, greedy, grid, neighbours, ranking, reliability, similarity, subjects
 from covelight.sources import files
 
 
@@ -89,7 +89,7 @@ def test_blocks_do_not_change_neighbours(pool):
     np.fill_diagonal(sim, -1)
     want = {(i, int(j)) for i in range(90) for j in np.argsort(-sim[i], kind="stable")[:5]}
     for block in (16, 2048):
-        assert {(r["i"], r["j"]) for r in similarity.top_similar(df, df, 5, exclude_self=True, block=block).collect()} == want
+        assert {(r["i"], r["j"]) for r in neighbours.nearest(df, 5, block=block).collect()} == want
 
 
 def test_density_of_a_single_row_is_zero(spark):
