@@ -10,9 +10,11 @@ are the page's template, the text between their tokens is slots. A block's text
 word of the template inside a sentence stays. The slots under an article or main element of the page are its text, or,
 where there is none, all slots. Slots inside menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments are left out, known by element, role or a whole class or id. A name never leaves out html, body, main, the
-page's main element or what holds it; other articles go by the names of reader comments alone. The main element is the
-first main, or else article, that is not left out, or the first of all. Where the template would leave no text at all, as on a host
-of copies, its own text stays.
+page's main element or what holds it; other articles go by the names of reader comments alone; under the main element the
+names of things that are none of these (sharing, related, search, widgets, pages) leave nothing out. The main element is the
+first main, or else article, that is not left out, or the first of all. Versions of one article on a host look like a template:
+so under a main element classes of texts alone do not count, nor does a template that would take more than two thirds of
+its words. Where the template would leave no text at all, as on a host of copies, its own text stays.
 
 A null or empty page, or one of mark-up alone, gives "" and 0. A null or odd url puts the page on the empty host; a
 host of one or two pages has no template. Repeated rows count as pages of their own and get equal results. Pages of
@@ -39,7 +41,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAMING = frozenset(("class", "id", "role"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end by themselves; they bound blocks but do not nest.
@@ -79,6 +82,10 @@ LEFT_OUT_NAMES = _COMMENTS | frozenset(
 _HEADS = frozenset("header masthead banner site-header main-header top-header page-header global-header site-banner site-masthead".split())
 
 _NOT_HEADS = LEFT_OUT_NAMES - _HEADS
+#: Parts of names that say nothing of a menu, header, footer, sidebar, notice, advert, form or comment: under the main element
+#: they leave nothing out.
+_BESIDE = frozenset("share sharing social related widget widgets modal popup pagination page-numbers toolbar search".split())
+_IN_MAIN = frozenset(n for n in _NOT_HEADS if _BESIDE.isdisjoint((n, n.split("-")[0])) or n.endswith("-form"))
 _PAGE = frozenset(("", "html", "body"))
 
 
@@ -92,7 +99,7 @@ class _Element:
         inside = parent is not None and parent.main
         self.main = inside or name in MAIN or (name not in _PAGE and not names.isdisjoint(MAIN_NAMES))
         self.by_kind = name in LEFT_OUT or (name == "header" and not self.main)
-        known = _COMMENTS if name == "article" else _NOT_HEADS
+        known = _COMMENTS if name == "article" else _IN_MAIN if inside else _NOT_HEADS
         head = name != "article" and not self.main and not names.isdisjoint(_HEADS)
         self.by_name = name not in _PAGE and name != "main" and (head or not names.isdisjoint(known))
         self.dropped = (parent is not None and parent.dropped) or self.by_kind or self.by_name
@@ -154,7 +161,7 @@ def parse(page: str) -> list[tuple[str, bool, bool, bool]]:
                         loose.pop()
                     break
             continue
-        names = {w for got in _NAMES.findall(rest) for w in "".join(got).lower().replace("_", "-").split()} if rest else frozenset()
+        names = {w for a in _ATTRIBUTE.finditer(rest) if a[1].lower() in _NAMING for w in (a[2] or a[3] or a[4] or "").lower().replace("_", "-").split()} if rest else frozenset()
         if name in LOOSE:
             e = _Element(name, stack[-1].path, inner(), names, len(stack)) if names else None
             if e and e.by_name:
@@ -174,15 +181,15 @@ def parse(page: str) -> list[tuple[str, bool, bool, bool]]:
 
 
 def _keys(tokens: list[tuple[str, bool, bool, bool]]) -> list[int]:
-    """A signed 64-bit key of each token: a tag's path, or a text node's words under the tag before it; 0 for neither."""
+    """A signed 64-bit key of each token: a tag's path (even), or a text node's words under the tag before it (odd); 0 for neither."""
     out, path = [], ""
     for token, is_text, _, _ in tokens:
         if not is_text:
             path = token or path
-            out.append(_hash(token) if token else 0)
+            out.append(_hash(token) & ~1 or 2 if token else 0)
         else:
             words = " ".join(token.split())
-            out.append(_hash(f"{path}\n{words}") if words else 0)
+            out.append(_hash(f"{path}\n{words}") | 1 if words else 0)
     return out
 
 
@@ -228,6 +235,13 @@ def _nested(a: tuple[list[tuple[int, ...]], list[int]], b: tuple[list[tuple[int,
     return any(all(bisect(outer, r[0]) == bisect(outer, r[-1]) for r in rounds) for rounds, outer in ((a[0], b[1]), (b[0], a[1])))
 
 
+def tagged_tokens(template: list[dict]) -> set[int]:
+    """The tokens of classes that hold a tag. A class of texts alone is what some pages of the host say alike, as versions of one
+    article do."""
+    tagged = {t["class"] for t in template if t["token"] % 2 == 0}
+    return {t["token"] for t in template if t["class"] in tagged}
+
+
 def valid_tokens(keys: list[int], template: list[dict]) -> set[int]:
     """The tokens of the template's classes that are valid on a page."""
     places = _places(keys)
@@ -270,6 +284,11 @@ def extract(page: str, template: list[dict]) -> str:
     has_main = any(main and not dropped for _, _, dropped, main in tokens)
     keys = _keys(tokens) if template else [0] * len(tokens)
     own = valid_tokens(keys, template) if template else set()
+    if own and has_main:
+        own &= tagged_tokens(template)
+        kept = [(len(token.split()), key in own) for (token, is_text, dropped, main), key in zip(tokens, keys, strict=True) if is_text and main and not dropped]
+        if 3 * sum(n for n, theirs in kept if theirs) > 2 * sum(n for n, _ in kept):
+            own = set()
     blocks: list[list[tuple[str, bool]]] = [[]]
     for (token, is_text, dropped, main), key in zip(tokens, keys, strict=True):
         if not is_text:

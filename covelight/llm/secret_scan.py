@@ -296,9 +296,18 @@ def scan(auto: Automaton, data: np.ndarray, offsets: np.ndarray, lane: int = 102
     return found
 
 
+#: Bytes that a walk may go beyond its last end before it is checked against the walks that found none.
+_SURE = 32
+
+
 def spans_of(text: bytes, bits: int, scanner: Scanner) -> list[tuple[int, int, int]]:
-    """(start, rule, end) in code points of the spans of the rules that `bits` names, sorted."""
+    """(start, rule, end) in code points of the spans of the rules that `bits` names, sorted.
+
+    From each place where a rule can begin, the automaton is walked to the last end. Where a walk goes on past _SURE bytes and
+    finds no further end, its states and places are kept; a later walk that comes by one of them stops there. So no
+    place is walked twice in one state, and time grows with the text's length, whatever it holds."""
     step, ends, live, classes = scanner.match.lists
+    width = len(step)
     data, n, many = np.frombuffer(text, np.uint8), len(text), len(scanner.rules)
     pairs = data.astype(np.uint16) << 8
     pairs[:-1] |= data[1:]
@@ -307,17 +316,26 @@ def spans_of(text: bytes, bits: int, scanner: Scanner) -> list[tuple[int, int, i
         if not bits >> k & 1:
             continue
         own, good, free = 1 << k, 1 << k + many, 0
+        vain: set[int] = set()  # place * number of states + state: no end from there on
         # A rule that begins with the last byte alone has no second byte to go by; that byte is always tried.
         for i in np.flatnonzero(scanner.begins[k][pairs[:-1]]).tolist() + [n - 1]:
             if i < free:
                 continue
-            s, last, passed = 0, -1, False
+            s, last, passed, sure = 0, -1, False, i + _SURE
+            trail: list[int] = []
             for j in range(i, n):
                 s = step[s + read[j]]
                 if not live[s] & own:
                     break
                 if ends[s] & own:
-                    last, passed = j + 1, bool(ends[s] & good)
+                    last, passed, sure = j + 1, bool(ends[s] & good), j + _SURE
+                    if trail:
+                        trail.clear()
+                elif j >= sure:
+                    if (spot := j * width + s) in vain:
+                        break
+                    trail.append(spot)
+            vain.update(trail)
             if last > 0:
                 free = last
                 if passed:

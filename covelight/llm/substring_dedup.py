@@ -8,7 +8,8 @@ document loses it. Later starts within a document are found again beside the tex
 
 A null, empty or short text has no window and loses nothing; the whole text is read whatever its length. Rows that
 share a doc_id count as one document (identical rows get identical results; if their texts differ, the positions
-that either loses are lost in both). A null doc_id counts as larger than any other. Other columns are not read.
+that either loses are lost in both). Each row with a null doc_id is a document of its own, after all others and in
+the order of its text. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import number_rows
 from .common import id_text, text_blocks
 from .repeat_sketch import Repeats, count, total_bytes, width_for
 from .wordhash import Words, covered, mix, span_hashes, windows_of, words_of
@@ -28,6 +30,22 @@ from .wordhash import Words, covered, mix, span_hashes, windows_of, words_of
 _LAST = 2**63 - 1
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with doc_key: doc_id, and for each null doc_id a key of its own above all of them. Rows without an id are numbered
+    and written, so both passes see the same keys; with none, nothing is."""
+    nameless = F.count(F.when(F.col("doc_id").isNull(), 1))
+    least, most, nulls = docs.agg(F.min("doc_id"), F.max("doc_id"), nameless).first()
+    if not nulls:
+        return docs.withColumn("doc_key", F.col("doc_id"))
+    least, most = (least, most) if most is not None else (0, 0)
+    down = max(0, most + nulls - _LAST)
+    if least - down < -_LAST:
+        raise ValueError("the ids fill all 64 bits and leave no key for rows without one")
+    numbered = number_rows(docs.where("doc_id is null"), F.xxhash64("text"), "text", out="doc_key", first=most - down + 1)
+    known = docs.where("doc_id is not null").withColumn("doc_key", F.col("doc_id") - F.lit(down))
+    return known.unionByName(numbered.select("doc_id", "text", F.col("doc_key").cast("long").alias("doc_key")))
+
+
 def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     """pick over each `width` consecutive entries, by doubling."""
     have = 1
@@ -74,7 +92,7 @@ def _first_in_row(words: Words, begin: np.ndarray, hashes: np.ndarray) -> np.nda
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20, gram: int = 8, max_bits: int = 28) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_text (the words left, joined by one space)."""
     spark = df.sparkSession
-    docs = id_text(df, id_col, text_col).withColumn("doc_key", F.coalesce("doc_id", F.lit(_LAST)))
+    docs = _keyed(id_text(df, id_col, text_col))
     seen = spark.sparkContext.broadcast(sketch_windows(docs.select("doc_id", "text"), size, gram, max_bits))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

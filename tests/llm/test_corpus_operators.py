@@ -147,6 +147,16 @@ def test_substring_dedup_edges(spark):
     assert got == [("1", 0), ("1", 0), ("2", 30), ("None", 30)]
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    schema = "doc_id long, text string"
+    a, c = " ".join(f"a{i}" for i in range(30)), " ".join(f"c{i}" for i in range(30))
+    run = lambda rows: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["kept_text"][:2], r["n_removed"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, schema).repartition(3)).collect())
+    assert run([(1, a), (None, a), (None, c)]) == [(False, 1, "a0", 0), (True, 0, "", 30), (True, 0, "c0", 0)]
+    assert run([(1, a), (None, a), (None, c), (None, c), (None, None)]) == [(False, 1, "a0", 0), (True, 0, "", 0), (True, 0, "", 30), (True, 0, "", 30), (True, 0, "c0", 0)]
+    assert run([(2**63 - 1, a), (5, a), (None, a + " x"), (None, c)]) == [(False, 5, "a0", 0), (False, 2**63 - 1, "", 30), (True, 0, "c0", 0), (True, 0, "x", 30)]
+    assert run([(None, a), (None, a)]) == [(True, 0, "", 30), (True, 0, "a0", 0)]
+
+
 def edit_distance_in(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):

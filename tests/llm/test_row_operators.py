@@ -155,6 +155,26 @@ def test_spans_of_random_texts_against_plain_regexes():
         assert secret_scan.spans_of(text, int(bits), scanner) == want
 
 
+@pytest.mark.parametrize("part", ["eyJ", "eyJhbGci.", "password", "xoxb-", "AKIA", "-----BEGIN ", "ab12", "token=", "gho_a"])
+def test_spans_take_time_that_grows_with_the_text(part):
+    import time
+
+    import numpy as np
+
+    scanner = secret_scan.compile_rules()
+    real = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.abcdefghijklmnopqrstuvwxyz0123456789ABCDEFG password=hunter22 "
+    text = (real + part * (1_000_000 // len(part))).encode()
+    bits = secret_scan.scan(scanner.search, np.frombuffer(text, np.uint8), np.array([0, len(text)]), 1024)[0]
+    began = time.process_time()
+    spans = secret_scan.spans_of(text, int(bits), scanner)
+    assert time.process_time() - began < 8
+    short = (real + part * 40).encode()
+    bits = secret_scan.scan(scanner.search, np.frombuffer(short, np.uint8), np.array([0, len(short)]), 1024)[0]
+    loose, strict = ([re.compile(getattr(r, p).encode()) for r in secret_scan.RULES] for p in ("pattern", "strict"))
+    assert secret_scan.spans_of(short, int(bits), scanner) == sorted((m.start(), k, m.end()) for k, p in enumerate(loose) for m in p.finditer(short) if strict[k].fullmatch(m[0]))
+    assert spans[0] == secret_scan.spans_of(short, int(bits), scanner)[0]
+
+
 def test_language_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = language_id.fit(docs)
@@ -169,6 +189,16 @@ def test_language_held_out_accuracy(spark, sf):
     assert kept.columns == table(spark, []).columns and 1 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_every_language_is_learnt(spark):
+    """Far more languages than any table has: each of one word, and each is told again."""
+    import zlib
+
+    rows = [(i, f"{chr(0x4E00 + i % 600)}{chr(0x4E01 + i % 600)} " * 9, f"lang{i % 600}") for i in range(3600)]
+    model = language_id.fit(table(spark, []).sparkSession.createDataFrame(rows, "doc_id long, text string, lang string"), max_train=20_000)
+    learnt = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert set(model.langs) == learnt and len(learnt) > 590
+
+
 def test_language_learns_nothing_from_held_out_rows(spark):
     rows = [(i, "only held out rows have this language", "xx") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -242,6 +272,28 @@ def test_names_leave_out_whole_parts_only():
     assert html_extract.extract("<ul><li class='comment'>no</li><li>yes</li></ul><p class=ad>no</p>too<p>and<p class=ad>no<hr>this", []) == "yes too and this"
 
 
+def test_names_are_read_from_whole_attributes_and_keep_to_their_kinds_inside_main():
+    text = "<p>Body words here</p>"
+    kept = [
+        f'<main><div data-id="ad">{text}</div></main>', f'<div data-role="sidebar">{text}</div>', f'<div title="the class=ad word">{text}</div>', f"<div title='id=\"menu\"'>{text}</div>",
+        f'<div data-x=1 class-name="ad" aria-label="role=banner">{text}</div>', f'<main><div class="related">{text}</div></main>', f'<article><section class="search">{text}</section></article>',
+        f'<main><div class="widget"><div class="share social modal pagination">{text}</div></div></main>', f"<main><div CLASS = ad>no</div><div class='cookie-banner'>no</div>{text}<div role=navigation>no</div></main>",
+    ]
+    assert [html_extract.extract(page, []) for page in kept] == ["Body words here"] * len(kept)
+    assert html_extract.extract(f'<div class="related">no</div><div class="x" id=\'sidebar\'>no</div>{text}', []) == "Body words here"
+
+
+@pytest.mark.parametrize("others", [0, 2, 4])
+def test_versions_of_one_article_keep_what_they_share(spark, others):
+    page = "<body><main><h1>The flood, update at {t} o clock</h1><p>Updated at {t} o clock</p><p>{a}</p><p>{b}</p></main></body>"
+    shared = ("The river rose over night and the lower town was cleared by noon.", "Roads to the north stay closed until the bridge has been looked at.")
+    rows = [(i, f"http://news.x/{i}", page.format(t=i, a=shared[0], b=shared[1])) for i in range(3)]
+    rows += [(10 + i, f"http://news.x/other{i}", page.format(t=i + 7, a=f"Story {i} is of something else, number {i}.", b=f"It ends as story {i} must.")) for i in range(others)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(3):
+        assert got[i] == f"The flood, update at {i} o clock Updated at {i} o clock {shared[0]} {shared[1]}"
+
+
 def test_template_applies_inside_the_main_element(spark):
     """Site text in unclassed divs of an article goes, what differs stays; so do copies of one page and words in a sentence."""
     words = ("Alpha", "Beta", "Gamma", "Delta")
