@@ -58,12 +58,3 @@ def manifest_violations(manifest: DataFrame, expected_rows: int, root: str = "re
     outside = manifest.where(~F.col("save_dir").startswith(f"{root}/")).select(F.lit("save_dir").alias("check"), F.col("save_dir").alias("detail"))
     empty = manifest.where(F.size("domains") == 0).select(F.lit("domains").alias("check"), F.col("run_id").alias("detail"))
     return size.unionByName(twice).unionByName(outside).unionByName(empty)
-
-
-def config_violations(configs: DataFrame, expected: DataFrame, counts: DataFrame) -> DataFrame:
-    """(run_id, split, found, count): domains of configs whose split is not the expected one or has another number of rows.
-    expected: run_id, name, split; counts: split, found."""
-    domains = configs.select("run_id", F.explode("domains").alias("d")).select("run_id", "d.name", "d.split", F.col("d.count").alias("count"))
-    joined = domains.join(expected.withColumnRenamed("split", "want"), ["run_id", "name"], "full").join(counts, "split", "left")
-    wrong = ~F.col("split").eqNullSafe(F.col("want")) | ~F.col("found").eqNullSafe(F.col("count").cast("long"))
-    return joined.where(wrong).select("run_id", "name", "split", "found", "count")

@@ -1,4 +1,4 @@
-"""Reading and writing the method's files: id lists, score tables, configs, manifests and summaries."""
+"""Reading and writing the method's files: id lists, arrays of vectors and scores, configs and manifests."""
 
 from __future__ import annotations
 
@@ -8,10 +8,13 @@ from dataclasses import fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scoring import unit
+from ..functions.lineage import cut
+from ..functions.scoring import normalize, unit
 from ..operators.constraints import duplicate_ids, require
 from ..operators.curation import SelectorConfig
 from ..operators.ranking import number_rows
+from ..operators.subjects import parent_subject
+from . import npy
 
 
 def read_ids(spark: SparkSession, path: str, unique: bool = False) -> DataFrame:
@@ -23,22 +26,77 @@ def read_ids(spark: SparkSession, path: str, unique: bool = False) -> DataFrame:
     return out
 
 
-def read_state(spark: SparkSession, path: str, vector: str = "embedding") -> DataFrame:
-    """A subject table with its vectors scaled to unit length."""
-    rows = spark.read.parquet(path)
-    return rows.withColumn("v", unit(vector))
+#: File names of a target's state, fixed values: its vectors and one score a subject each; the last one may be missing.
+TARGET_IDS, TARGET_VECTORS = "target_subject_ids.txt", "target_subject_vecs.npy"
+TARGET_SCORES = {"uncertainty": "target_uncertainty.npy", "foreground": "target_subject_fg_score.npy", "inconsistency": "lada_li_scores.npy", "consistency": "target_consistency.npy"}
+TARGET_OPTIONAL = {"importance": "aada_importance_scores.npy"}
+#: File names of a target's source cache, fixed values.
+SOURCE_IDS, SOURCE_VECTORS, SOURCE_SPEC = "source_ids.txt", "source_embeddings_l2.npy", "reliability_spec.json"
+SOURCE_SCORES = {"influence": "influence.npy", "late_influence": "late_influence.npy"}
+
+
+def _exists(path: str) -> bool:
+    from pyarrow.fs import FileType
+
+    system, place = npy.open_place(path)
+    return system.get_file_info(place).type == FileType.File
+
+
+def read_state(spark: SparkSession, folder: str) -> DataFrame:
+    """A target's subjects: subject_id, pos, v (scaled to unit length), uncertainty, foreground, inconsistency, consistency and,
+    where the file is there, importance. Every array must have one row an id; lengths come from the files' headers."""
+    ids = cut(read_ids(spark, f"{folder}/{TARGET_IDS}", unique=True))
+    rows = npy.read_array(spark, f"{folder}/{TARGET_VECTORS}", ids, "embedding").withColumn("v", unit("embedding")).drop("embedding")
+    extra = {name: file for name, file in TARGET_OPTIONAL.items() if _exists(f"{folder}/{file}")}
+    for name, file in (TARGET_SCORES | extra).items():
+        rows = rows.join(npy.read_scores(spark, f"{folder}/{file}", ids, name).select("pos", name), "pos")
+    return rows
+
+
+def read_source(spark: SparkSession, folder: str) -> DataFrame:
+    """A target's source pool: subject_id, pos, v, R (the reliability components by their weights, min-max scaled), I and L."""
+    ids = cut(read_ids(spark, f"{folder}/{SOURCE_IDS}", unique=True))
+    spec = read_record(spark, f"{folder}/{SOURCE_SPEC}")
+    rows = npy.read_array(spark, f"{folder}/{SOURCE_VECTORS}", ids, "embedding").withColumn("v", unit("embedding")).drop("embedding")
+    score = F.lit(0.0)
+    for name in ("P", "G", "M"):
+        part = npy.read_scores(spark, f"{folder}/{spec['component_files'][name]}", ids, name)
+        rows = rows.join(part.select("pos", F.col(name).cast("double").alias(name)), "pos")
+        score = score + float(spec["weights"][name]) * F.col(name)
+    rows = rows.withColumn("_r", score)
+    for name, out in (("influence", "I"), ("late_influence", "L")):
+        part = npy.read_scores(spark, f"{folder}/{SOURCE_SCORES[name]}", ids, out)
+        rows = rows.join(part.select("pos", F.col(out).cast("double").alias(out)), "pos")
+    return normalize(rows, "_r", "R").select("subject_id", "pos", "v", "R", "I", "L")
+
+
+def write_state_arrays(state: DataFrame, folder: str) -> None:
+    """A target's state (subject_id, pos, v, scores) as the files that read_state reads."""
+    write_ids(state.select("subject_id", F.col("pos").alias("rank")), f"{folder}/{TARGET_IDS}")
+    npy.write_array(state, f"{folder}/{TARGET_VECTORS}", "v")
+    for name, file in (TARGET_SCORES | TARGET_OPTIONAL).items():
+        if name in state.columns:
+            npy.write_array(state, f"{folder}/{file}", F.col(name).cast("double"))
+
+
+def read_record(spark: SparkSession, path: str) -> dict:
+    """One small JSON file, from any of Spark's file systems."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def read_index(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(subject_id, files): the folder's files, sorted, by the subject their names begin with. Contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"))
-    return files.groupBy(F.substring_index("file", "_slice", 1).alias("subject_id")).agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return files.groupBy(parent_subject("file").alias("subject_id")).agg(F.sort_array(F.collect_list("file")).alias("files"))
 
 
-def read_config(path: str, budget: int | None = None) -> SelectorConfig:
-    """Selector constants from a JSON file; an unknown key is an error."""
-    with open(path) as f:
-        values = json.load(f)
+def read_config(path: str, budget: int | None = None, spark: SparkSession | None = None) -> SelectorConfig:
+    """Selector constants from a JSON file (read by Spark where a session is given); an unknown key is an error."""
+    if spark is not None:
+        values = read_record(spark, path)
+    else:
+        with open(path) as f:
+            values = json.load(f)
     unknown = set(values) - {x.name for x in fields(SelectorConfig)}
     if unknown:
         raise ValueError(f"unknown settings: {sorted(unknown)}")
@@ -61,8 +119,9 @@ def write_ids(selection: DataFrame, path: str) -> None:
 
 
 def write_selection(selection: DataFrame, path: str) -> None:
-    """(rank, subject_id, score) as Parquet."""
+    """(rank, subject_id, score) as Parquet, and the scores in rank order as an array beside it (.npy in place of .parquet)."""
     selection.select("rank", "subject_id", "score").write.mode("overwrite").parquet(path)
+    npy.write_array(selection, path.removesuffix(".parquet") + ".npy", F.col("score").cast("double"), F.col("rank") - 1)
 
 
 def write_manifest(rows: DataFrame, budget: int, path: str) -> int:
@@ -79,18 +138,3 @@ def write_yaml(record: dict, path: str) -> None:
 
     with open(path, "w") as f:
         yaml.safe_dump(record, f, sort_keys=False)
-
-
-def run_record(diagnostics: DataFrame, means: DataFrame, counts: DataFrame, config: SelectorConfig, target: str) -> dict:
-    """What one selection was made with and gave."""
-    row = lambda df: df.first().asDict()
-    return {"target": target, "config": {x.name: getattr(config, x.name) for x in fields(config)}, "diagnostics": row(diagnostics), "signal_means": row(means), "selected_counts": row(counts)}
-
-
-def summary_markdown(records: list[dict]) -> str:
-    """A table of activations and counts, one row a target."""
-    lines = ["| target | sparse | coverage | consensus | selected |", "|---|---:|---:|---:|---:|"]
-    for r in records:
-        d = r["diagnostics"]
-        lines.append(f"| {r['target']} | {d['a_sparse']:.3f} | {d['a_coverage']:.3f} | {d['a_consensus']:.3f} | {r['selected_counts']['n']} |")
-    return "\n".join(lines) + "\n"

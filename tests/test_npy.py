@@ -1,12 +1,13 @@
 """The .npy data source: files of NumPy's own, written and read back."""
 
+import json
 import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from covelight.sources import npy
+from covelight.sources import files, npy
 
 ARRAYS = {
     "f8": np.linspace(-1, 1, 37), "f4": np.arange(12, dtype="<f4") / 7, "big": np.arange(9, dtype=">f8") * 1.5, "big4": np.arange(6, dtype=">f4").reshape(3, 2), "ints": np.arange(-3, 20, dtype="<i4"),
@@ -96,3 +97,71 @@ def test_a_task_that_writes_again_changes_nothing(tmp_path):
     assert lost.runs == kept[1].runs == [(0, 3)] and not (tmp_path / "x.npy").exists()
     writer.commit(kept)
     assert np.load(tmp_path / "x.npy").tolist() == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+@pytest.fixture
+def target_folder(tmp_path):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(6, 4)).astype("<f4")
+    (tmp_path / files.TARGET_IDS).write_text("".join(f"s{i}\n" for i in range(6)))
+    np.save(tmp_path / files.TARGET_VECTORS, v)
+    scores = {name: rng.uniform(size=6).astype("<f4") for name in files.TARGET_SCORES}
+    for name, file in files.TARGET_SCORES.items():
+        np.save(tmp_path / file, scores[name].reshape(6, 1) if name == "consistency" else scores[name])
+    return tmp_path, v, scores
+
+
+def test_target_state(spark, target_folder):
+    folder, v, scores = target_folder
+    got = files.read_state(spark, str(folder)).orderBy("pos").collect()
+    assert [r["subject_id"] for r in got] == [f"s{i}" for i in range(6)] and "importance" not in got[0]
+    assert np.allclose([r["v"] for r in got], v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-8), atol=1e-6)
+    for name, x in scores.items():
+        assert [r[name] for r in got] == x.tolist()
+    np.save(folder / files.TARGET_OPTIONAL["importance"], np.arange(6.0))
+    state = files.read_state(spark, str(folder))
+    assert sorted(r["importance"] for r in state.collect()) == list(range(6))
+    files.write_state_arrays(state, str(folder / "copy"))
+    back = files.read_state(spark, str(folder / "copy"))
+    assert np.allclose([r["v"] for r in back.orderBy("pos").collect()], [r["v"] for r in state.orderBy("pos").collect()], atol=1e-6)
+    assert {(r["subject_id"], r["uncertainty"]) for r in back.collect()} == {(r["subject_id"], r["uncertainty"]) for r in state.collect()}
+
+
+def test_target_state_of_uneven_or_repeated_parts_raises(spark, target_folder):
+    folder, _, scores = target_folder
+    np.save(folder / files.TARGET_SCORES["foreground"], np.zeros(5))
+    with pytest.raises(ValueError, match="5 rows, not 6"):
+        files.read_state(spark, str(folder))
+    (folder / files.TARGET_IDS).write_text("a\na\n")
+    with pytest.raises(ValueError, match="repeated"):
+        files.read_state(spark, str(folder))
+
+
+def test_source_pool(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    (tmp_path / files.SOURCE_IDS).write_text("b\n\na\nc\n")
+    np.save(tmp_path / files.SOURCE_VECTORS, rng.normal(size=(3, 5)))
+    parts = {name: rng.uniform(size=3) for name in "PGM"}
+    for name, x in parts.items():
+        np.save(tmp_path / f"reliability_{name}.npy", x)
+    for name, file in files.SOURCE_SCORES.items():
+        np.save(tmp_path / file, np.array([0.0, 0.5, 1.0]))
+    weights = {"P": 0.5, "G": 0.3, "M": 0.2}
+    (tmp_path / files.SOURCE_SPEC).write_text(json.dumps({"weights": weights, "component_files": {k: f"reliability_{k}.npy" for k in "PGM"}}, indent=1))
+    got = files.read_source(spark, str(tmp_path)).orderBy("pos").collect()
+    raw = sum(weights[k] * parts[k] for k in "PGM")
+    assert [r["subject_id"] for r in got] == ["b", "a", "c"] and [r["L"] for r in got] == [0.0, 0.5, 1.0]
+    assert [r["R"] for r in got] == pytest.approx(((raw - raw.min()) / np.ptp(raw)).tolist())
+
+
+def test_selection_scores_are_written_in_rank_order(spark, tmp_path):
+    picks = spark.createDataFrame([(2, "b", 0.25), (1, "a", 0.75), (3, "c", -1.5)], "rank int, subject_id string, score double")
+    files.write_selection(picks, str(tmp_path / "selected_scores.parquet"))
+    assert np.load(tmp_path / "selected_scores.npy").tolist() == [0.75, 0.25, -1.5]
+
+
+def test_index_of_slices(spark, tmp_path):
+    for name in ("s1_slice002.npy", "s1_slice001.npy", "s2_slice001.npy", "note.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    got = {r["subject_id"]: r["files"] for r in files.read_index(spark, str(tmp_path), "*.npy").collect()}
+    assert got == {"s1": ["s1_slice001.npy", "s1_slice002.npy"], "s2": ["s2_slice001.npy"]}
