@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 #: Fixed values of the selection method.
 PRIORITY_WEIGHT = 0.05
 REDUNDANCY = 0.08
@@ -162,67 +164,120 @@ def rank_scores(order: DataFrame, pool: DataFrame) -> DataFrame:
     return pool.select("pos").join(ranked, "pos", "left").na.fill(0.0, ["facility"])
 
 
-def mutual_information(pool: DataFrame, budget: int, eta: float = 1.0, stop_at_negative: bool = False, batch: int = BATCH) -> DataFrame:
+#: Rows that one pass of mutual_information looks at pair by pair.
+PAIRED = 64
+
+
+def mutual_information(pool: DataFrame, budget: int, eta: float = 1.0, stop_at_negative: bool = False, batch: int = PAIRED) -> DataFrame:
     """(rank, pos, value): greedy facility-location mutual information with the support: the sum over pool rows i of
-    min(best similarity of i to a pick, eta times its best similarity to the support).
+    min(best similarity of i to a pick, eta times its best similarity to the support). Ties go to the lower pos."""
+    chosen, _ = lazy_mutual_information(pool, budget, eta, batch)
+    if stop_at_negative:
+        chosen = chosen[: next((i for i, (_, x) in enumerate(chosen) if x < 0), len(chosen))]
+    return pool.sparkSession.createDataFrame([(i + 1, p, x) for i, (p, x) in enumerate(chosen)], "rank int, pos long, value double")
+
 
-    First gains come from block products; they bound all later gains, so the `batch` best rows are candidates until one falls
-    under the best row left behind, when the batch doubles. Each pick is one pass over the pool with the candidates.
+def lazy_mutual_information(pool: DataFrame, budget: int, eta: float = 1.0, batch: int = PAIRED) -> tuple[list[tuple[int, float]], int]:
+    """The picks with their gains, and how many passes over the pool they took.
+
+    Gains only fall, so each row's last known gain bounds the present one. A table keeps these bounds; the `batch` rows of the
+    highest ones come to the driver, and a pass gives their present gains and, for each two of them, the gain of one once the
+    other is picked. So a pass settles two picks, and more while no other row's upper bound reaches a row's lower one, or
+    none when a row left behind may be better; then the fresh gains are the new bounds of the batch. The driver holds
+    `batch` rows, their pairs and `budget` picks, whatever the size of the pool.
     """
-    from .similarity import BLOCK, _packed
+    from .similarity import BLOCK, _packed, blocks_met
 
-    pool = pool.select(F.col("pos").cast("long").alias("pos"), "v", F.greatest(F.array_max("q"), F.lit(0.0)).alias("cap"))
-    blocks = max(1, -(-pool.count() // BLOCK))
+    spark = pool.sparkSession
+    pool = cut(pool.where("v is not null").select(F.col("pos").cast("long").alias("pos"), F.col("v").cast("array<double>").alias("v"), F.greatest(F.array_max("q"), F.lit(0.0)).cast("double").alias("cap")))
     left = _packed(pool, "pos", "v", "l", BLOCK)
+    right = _packed(pool.withColumn("v", F.concat("v", F.array("cap"))), "pos", "v", "r", BLOCK)
 
     def first(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for row in pdf.itertuples():
                 ids = np.frombuffer(row.l_ids, np.int64)
                 x = np.frombuffer(row.l_v).reshape(len(ids), -1)
-                y, cap = _matrix(row.rows_v, len(row.rows_v)), np.array(row.caps)
-                yield pd.DataFrame({"pos": ids, "gain": np.minimum(np.maximum(x @ y.T, 0.0), eta * cap[None, :]).sum(1)})
+                y = np.frombuffer(row.r_v).reshape(-1, x.shape[1] + 1)
+                yield pd.DataFrame({"pos": ids, "gain": np.minimum(np.maximum(x @ y[:, :-1].T, 0.0), eta * y[None, :, -1]).sum(1)})
+
+    bounds = cut(blocks_met(left, right).mapInPandas(first, "pos long, gain double").groupBy("pos").agg(F.round(F.sum("gain"), 9).alias("gain")).join(pool.select("pos", "v"), "pos"))
+    picks: list[tuple[int, np.ndarray]] = []
+    known: dict[int, float] = {}
+    passes, end = 0, min(budget, bounds.count())
+    while len(picks) < end:
+        fresh = spark.createDataFrame(list(known.items()), "pos long, now double")  # a batch a pass
+        present = bounds.join(F.broadcast(fresh), "pos", "left").where(~F.col("pos").isin([p for p, _ in picks])) if known else bounds
+        bound = F.coalesce("now", "gain") if known else F.col("gain")
+        rows = present.select("pos", "v", bound.alias("gain")).orderBy(F.desc("gain"), F.asc("pos")).limit(batch + 1).collect()
+        rest = (rows[batch]["gain"], -rows[batch]["pos"]) if len(rows) > batch else (-np.inf, 0)
+        rows = rows[:batch]
+        own, after = _paired_gains(pool, np.array([r["v"] for r in rows]), [v for _, v in picks], eta)
+        passes += 1
+        known.update(zip((r["pos"] for r in rows), own.tolist(), strict=True))
+        free, upper, lower = np.ones(len(rows), bool), own.copy(), own.copy()
+        while free.any() and len(picks) < end:
+            order = sorted(np.flatnonzero(free).tolist(), key=lambda c: (-lower[c], rows[c]["pos"]))
+            best = order[0]
+            key = lambda c, x: (x[c], -rows[c]["pos"])
+            if key(best, lower) < rest or any(key(c, upper) > key(best, lower) for c in order[1:]):
+                break
+            free[best] = False
+            picks.append((rows[best]["pos"], np.array(rows[best]["v"])))
+            lost = own - after[:, best]
+            upper, lower = np.minimum(upper, after[:, best]), lower - lost
+            if (~free).sum() == 1:
+                lower = upper.copy()  # after one pick both are the gain itself
+            upper, lower = np.round(upper, 9), np.round(lower, 9)
+    values = _gains_in_order(pool, [v for _, v in picks], eta)
+    return [(p, x) for (p, _), x in zip(picks, values, strict=True)], passes + 1
 
-    right = pool.groupBy(F.pmod(F.xxhash64("pos", F.lit(1)), F.lit(blocks)).alias("r_block")).agg(F.collect_list(F.struct("v", "cap")).alias("r"))
-    met = left.join(right.select("r_block", F.col("r.v").alias("rows_v"), F.col("r.cap").alias("caps")), F.lit(True)).repartition("l_block", "r_block")
-    gains = met.mapInPandas(first, "pos long, gain double").groupBy("pos").agg(F.sum("gain").alias("gain")).persist()
 
-    chosen: list[tuple[int, float]] = []
-    picks: list[np.ndarray] = []
-    best, rest = [], None
-    while len(chosen) < budget:
-        if not best:
-            rows = gains.join(pool, "pos").orderBy(F.desc("gain"), F.asc("pos")).limit(batch + len(chosen) + 1).collect()
-            rest = rows[-1]["gain"] if len(rows) > batch + len(chosen) else None
-            taken = {p for p, _ in chosen}
-            best = [r for r in (rows[:-1] if rest is not None else rows) if r["pos"] not in taken]
-            if not best:
-                break
-            matrix = np.array([r["v"] for r in best])
+def _capped(v: np.ndarray, cap: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """What each row has already: its best similarity to the picks, up to its cap."""
+    return np.minimum(np.maximum((v @ np.array(others).T).max(1), 0.0), cap) if others else np.zeros(len(v))
 
-        def exact(parts: Iterator[pd.DataFrame], c: np.ndarray = matrix, had: list[np.ndarray] = picks) -> Iterator[pd.DataFrame]:
-            total = np.zeros(len(c))
-            for pdf in parts:
+
+def _paired_gains(pool: DataFrame, c: np.ndarray, had: list[np.ndarray], eta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gains of the candidates c, and after[a, b], the gain of a once b is picked too: a row adds the part of its gain from a that
+    exceeds its gain from b."""
+    k = len(c)
+
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, after = np.zeros(k), np.zeros((k, k))
+        for pdf in parts:
+            for at in range(0, len(pdf), 512):
+                part = pdf.iloc[at : at + 512]
+                v, cap = _matrix(part["v"], len(part)), eta * part["cap"].to_numpy(np.float64)
+                now = _capped(v, cap, had)
+                gain = np.maximum(np.minimum(v @ c.T, cap[:, None]) - now[:, None], 0.0)
+                own += gain.sum(0)
+                after += np.maximum(gain[:, :, None] - gain[:, None, :], 0.0).sum(0)
+        a, b = np.indices((k, k))
+        yield pd.DataFrame({"a": np.append(a.ravel(), np.arange(k)), "b": np.append(b.ravel(), np.full(k, -1)), "x": np.append(after.ravel(), own)})
+
+    own, after = np.zeros(k), np.zeros((k, k))
+    for a, b, x in pool.select("v", "cap").mapInPandas(add, "a int, b int, x double").groupBy("a", "b").agg(F.sum("x")).collect():
+        if b < 0:
+            own[a] = round(x, 9)
+        else:
+            after[a, b] = round(x, 9)
+    return own, after
+
+
+def _gains_in_order(pool: DataFrame, picks: list[np.ndarray], eta: float) -> list[float]:
+    """What each pick adds to those before it."""
+
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(picks))
+        for pdf in parts:
+            if len(pdf):
                 v, cap = _matrix(pdf["v"], len(pdf)), eta * pdf["cap"].to_numpy(np.float64)
-                now = np.maximum((v @ np.array(had).T).max(1), 0.0) if had else np.zeros(len(pdf))
-                total += (np.minimum(np.maximum(v @ c.T, now[:, None]), cap[:, None]) - np.minimum(now, cap)[:, None]).sum(0)
-            yield pd.DataFrame({"k": np.arange(len(c)), "gain": total})
-
-        value = np.full(len(best), -np.inf)
-        for k, gain in pool.mapInPandas(exact, "k int, gain double").groupBy("k").agg(F.sum("gain")).collect():
-            value[k] = round(gain, 9)
-        for k, r in enumerate(best):
-            if r["pos"] in {p for p, _ in chosen}:
-                value[k] = -np.inf
-        k = max(range(len(best)), key=lambda k: (value[k], -best[k]["pos"]))
-        if value[k] == -np.inf or (rest is not None and value[k] < rest):
-            if rest is None:
-                break
-            batch, best = 2 * batch, []
-            continue
-        if stop_at_negative and value[k] < 0:
-            break
-        chosen.append((best[k]["pos"], float(value[k])))
-        picks.append(np.array(best[k]["v"]))
-    gains.unpersist()
-    return pool.sparkSession.createDataFrame([(i + 1, p, x) for i, (p, x) in enumerate(chosen)], "rank int, pos long, value double")
+                best = np.maximum.accumulate(np.minimum(np.maximum(v @ np.array(picks).T, 0.0), cap[:, None]), axis=1)
+                total += np.diff(best, axis=1, prepend=0.0).sum(0)
+        yield pd.DataFrame({"k": np.arange(len(picks)), "gain": total})
+
+    if not picks:
+        return []
+    found = dict(pool.select("v", "cap").mapInPandas(add, "k int, gain double").groupBy("k").agg(F.round(F.sum("gain"), 9)).collect())
+    return [found[k] for k in range(len(picks))]

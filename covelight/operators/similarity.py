@@ -150,11 +150,9 @@ def support_similarities(source: DataFrame, support: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def similar(v: pd.Series) -> pd.Series:
-        have = v.notna().to_numpy()
-        out = pd.Series([None] * len(v), index=v.index, dtype=object)
-        if have.any():
-            out[have] = list(np.maximum(_rows(v[have], int(have.sum())) @ y.T, 0.0))
-        return out
+        have = v.notna()
+        found = iter(np.maximum(_rows(v[have], int(have.sum())) @ y.T, 0.0) if have.any() else ())
+        return pd.Series([next(found) if h else None for h in have], index=v.index, dtype=object)
 
     return source.withColumn("q", similar("v")) if len(few) else source.withColumn("q", F.array().cast("array<double>"))
 

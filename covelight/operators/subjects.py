@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.scoring import clipped_cosine, mean_vector, normalize, unit
+from .ranking import number_rows
 from .similarity import bounded
 
 
@@ -15,21 +17,58 @@ def slice_ranking(foreground: str, entropy: str, weight: float = 0.25) -> Column
     return F.col(foreground) + weight * F.col(entropy)
 
 
+#: A subject is hot with more slices than this, and than one in HOT_PART of all; so at most HOT_PART subjects are.
+HOT_ROWS, HOT_PART = 1_000_000, 4096
+
+
+def _best_fraction(slices: DataFrame, subject: str, pos: Sequence[str], ranking: str, ratio: float, least: int) -> DataFrame:
+    """The min(max(ceil(ratio * n), least), n) best-ranked slices of each subject; earlier slices win ties.
+
+    A subject's slices are ranked where they meet, but for hot subjects: theirs are counted in a histogram between their lowest
+    and highest value, bins above the one that holds the last slice go in as a whole, and the slices of that bin alone
+    are ranked, by ranges. No task sorts a hot subject."""
+    wanted = F.least(F.greatest(F.ceil(F.lit(ratio) * F.col("_n")), F.lit(least)), F.col("_n"))
+    sizes = slices.groupBy(subject).agg(F.count(F.lit(1)).alias("_n"), F.min(F.col(ranking).cast("double")).alias("_low"), F.max(F.col(ranking).cast("double")).alias("_high"))
+    most, total = sizes.where(F.col(subject).isNotNull()).agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if most <= (share := max(HOT_ROWS, total / HOT_PART)):
+        return _ranked(slices, subject, pos, ranking).where(F.col("_r") <= wanted).drop("_n", "_r")
+    hot = F.broadcast(cut(sizes.where((F.col("_n") > share) & F.col(subject).isNotNull()).withColumn("_k", wanted)))
+    rest = _ranked(slices.join(hot.select(subject), subject, "left_anti"), subject, pos, ranking).where(F.col("_r") <= wanted)
+    return rest.drop("_n", "_r").unionByName(_best_of_hot(slices.join(hot, subject), subject, pos, ranking))
+
+
+def _ranked(slices: DataFrame, subject: str, pos: Sequence[str], ranking: str) -> DataFrame:
+    w = Window.partitionBy(subject)
+    return slices.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc(ranking), *[F.asc(p) for p in pos])))
+
+
+def _best_of_hot(slices: DataFrame, subject: str, pos: Sequence[str], ranking: str, bins: int = 4096) -> DataFrame:
+    """slices: with _n, _low, _high and _k, the number wanted. Null and NaN rankings come last and first, as in a sort."""
+    x = F.col(ranking).cast("double")
+    scaled = F.floor((x - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * bins)
+    place = F.when(x.isNull(), -1).when(F.isnan(x), bins + 1).otherwise(F.coalesce(scaled, F.lit(0))).cast("int")
+    slices = cut(slices.withColumn("_bin", place))
+    counts = slices.groupBy(subject, "_bin").agg(F.count(F.lit(1)).alias("_c"), F.max("_k").alias("_k"))  # at most bins + 2 rows a hot subject
+    above = F.coalesce(F.sum("_c").over(Window.partitionBy(subject).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = counts.withColumn("_above", above).where((F.col("_above") < F.col("_k")) & (F.col("_above") + F.col("_c") >= F.col("_k")))
+    marked = slices.drop("_k").join(F.broadcast(cut(edge.select(subject, F.col("_bin").alias("_edge"), (F.col("_k") - F.col("_above")).alias("_left")))), subject)
+    close = number_rows(marked.where("_bin = _edge"), F.col(subject), F.desc(ranking), *[F.asc(p) for p in pos], out="_place")
+    first = cut(close.groupBy(subject).agg(F.min("_place").alias("_first")))  # a row a hot subject
+    inside = close.join(F.broadcast(first), subject).where("_place - _first < _left").drop("_place", "_first")
+    extra = ("_n", "_low", "_high", "_bin", "_edge", "_left")
+    return marked.where("_bin > _edge").drop(*extra).unionByName(inside.drop(*extra))
+
+
 def top_fraction(slices: DataFrame, subject: str, pos: Sequence[str], ranking: str, values: Sequence[str], ratio: float = 0.3, least: int = 1) -> DataFrame:
     """(subject, values..., k): means over the k = min(max(ceil(ratio * n), least), n) best-ranked slices of each subject;
     earlier slices win ties."""
-    w = Window.partitionBy(subject)
-    n = F.count(F.lit(1)).over(w)
-    ranked = slices.withColumn("_n", n).withColumn("_r", F.row_number().over(w.orderBy(F.desc(ranking), *[F.asc(p) for p in pos])))
-    k = F.least(F.greatest(F.ceil(F.lit(ratio) * F.col("_n")), F.lit(least)), F.col("_n"))
-    return ranked.where(F.col("_r") <= k).groupBy(subject).agg(*[F.avg(v).alias(v) for v in values], F.count(F.lit(1)).alias("k"))
+    kept = _best_fraction(slices.select(subject, *dict.fromkeys([*pos, ranking, *values])), subject, pos, ranking, ratio, least)
+    return kept.groupBy(subject).agg(*[F.avg(v).alias(v) for v in values], F.count(F.lit(1)).alias("k"))
 
 
 def top_fraction_vectors(slices: DataFrame, subject: str, pos: Sequence[str], ranking: str, vector: str, ratio: float = 0.3, least: int = 1) -> DataFrame:
     """(subject, vector): element-wise means over the same slices."""
-    w = Window.partitionBy(subject)
-    ranked = slices.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc(ranking), *[F.asc(p) for p in pos])))
-    kept = ranked.where(F.col("_r") <= F.least(F.greatest(F.ceil(F.lit(ratio) * F.col("_n")), F.lit(least)), F.col("_n")))
+    kept = _best_fraction(slices.select(subject, *dict.fromkeys([*pos, ranking, vector])), subject, pos, ranking, ratio, least)
     return mean_vector(kept, [subject], vector, vector)
 
 
@@ -54,9 +93,9 @@ def morphology_score(stats: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def influence(scores: DataFrame, key: str = "pos", step: str = "step", score: str = "score", last: int = 3) -> DataFrame:
-    """(key, influence, late): min-max of the mean score over all checkpoints, and over the last `last`."""
-    final = scores.agg((F.max(step) - last).alias("_cut"))  # steps are consecutive numbers
-    sums = scores.crossJoin(F.broadcast(final)).groupBy(key).agg(F.avg(score).alias("influence"), F.avg(F.when(F.col(step) > F.col("_cut"), F.col(score))).alias("late"))
+    """(key, influence, late): min-max of the mean score over all checkpoints, and over the last `last` that there are."""
+    final = scores.select(step).distinct().orderBy(F.desc(step)).limit(last).agg(F.min(step).alias("_cut"))  # a few checkpoints
+    sums = scores.crossJoin(F.broadcast(final)).groupBy(key).agg(F.avg(score).alias("influence"), F.avg(F.when(F.col(step) >= F.col("_cut"), F.col(score))).alias("late"))
     return normalize(normalize(sums, "influence"), "late")
 
 

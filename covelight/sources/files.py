@@ -14,7 +14,7 @@ from ..operators.constraints import duplicate_ids, require
 from ..operators.curation import SelectorConfig
 from ..operators.ranking import number_rows
 from ..operators.subjects import parent_subject
-from . import npy
+from . import npy, places
 
 
 def read_ids(spark: SparkSession, path: str, unique: bool = False) -> DataFrame:
@@ -35,19 +35,12 @@ SOURCE_IDS, SOURCE_VECTORS, SOURCE_SPEC = "source_ids.txt", "source_embeddings_l
 SOURCE_SCORES = {"influence": "influence.npy", "late_influence": "late_influence.npy"}
 
 
-def _exists(path: str) -> bool:
-    from pyarrow.fs import FileType
-
-    system, place = npy.open_place(path)
-    return system.get_file_info(place).type == FileType.File
-
-
 def read_state(spark: SparkSession, folder: str) -> DataFrame:
     """A target's subjects: subject_id, pos, v (scaled to unit length), uncertainty, foreground, inconsistency, consistency and,
     where the file is there, importance. Every array must have one row an id; lengths come from the files' headers."""
     ids = cut(read_ids(spark, f"{folder}/{TARGET_IDS}", unique=True))
     rows = npy.read_array(spark, f"{folder}/{TARGET_VECTORS}", ids, "embedding").withColumn("v", unit("embedding")).drop("embedding")
-    extra = {name: file for name, file in TARGET_OPTIONAL.items() if _exists(f"{folder}/{file}")}
+    extra = {name: file for name, file in TARGET_OPTIONAL.items() if places.exists(f"{folder}/{file}")}
     for name, file in (TARGET_SCORES | extra).items():
         rows = rows.join(npy.read_scores(spark, f"{folder}/{file}", ids, name).select("pos", name), "pos")
     return rows
@@ -124,17 +117,7 @@ def write_selection(selection: DataFrame, path: str) -> None:
     npy.write_array(selection, path.removesuffix(".parquet") + ".npy", F.col("score").cast("double"), F.col("rank") - 1)
 
 
-def write_manifest(rows: DataFrame, budget: int, path: str) -> int:
-    """{budget, generated_count, rows} as one JSON file; a manifest has one small row a run."""
-    found = [json.loads(r[0]) for r in rows.select(F.to_json(F.struct("*"))).collect()]
-    with open(path, "w") as f:
-        json.dump({"budget": budget, "generated_count": len(found), "rows": found}, f, indent=2)
-        f.write("\n")
-    return len(found)
-
-
 def write_yaml(record: dict, path: str) -> None:
     import yaml
 
-    with open(path, "w") as f:
-        yaml.safe_dump(record, f, sort_keys=False)
+    places.write_text(path, yaml.safe_dump(record, sort_keys=False))

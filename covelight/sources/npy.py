@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, StructType
 
+from .places import open_place
+
 FORMAT, MAGIC = "npy", b"\x93NUMPY"
 #: Bytes of rows that one partition reads, and of the header that is written.
 PART_BYTES, HEADER_BYTES = 32 << 20, 128
@@ -28,14 +30,6 @@ PART_BYTES, HEADER_BYTES = 32 << 20, 128
 TYPES = {"b1": "boolean", "i1": "byte", "i2": "short", "i4": "int", "i8": "long", "u1": "short", "u2": "int", "u4": "long", "f2": "float", "f4": "float", "f8": "double"}
 
 
-def open_place(path: str):
-    """(file system, path in it) of any place that pyarrow reaches; a bare path or Hadoop's file:/x is local."""
-    from pyarrow import fs
-
-    local = re.sub(r"^file:/+", "/", path)
-    return fs.FileSystem.from_uri(local) if "://" in local else (fs.LocalFileSystem(), os.path.abspath(local))
-
-
 @dataclass(frozen=True)
 class Header:
     """What a file says of itself; width: numbers in a row, None for one dimension; start: where the numbers begin."""

@@ -1,7 +1,7 @@
 """A run's files: where they are, what must be there, and what a selection leaves behind.
 
-Records, summaries and configs are small (one a target or run) and written by the driver; subjects, scores, states and
-gradients are tables and written by tasks.
+Records and summaries are small (one a target) and written by the driver, to any place that places.py reaches; subjects, scores,
+states, gradients and configs are written by tasks.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ import os
 from collections.abc import Sequence
 from dataclasses import asdict
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.curation import Selection, SelectorConfig, selected_counts, signal_means
+from . import places
 from .files import write_ids, write_selection
 
 SUMMARY, POINTER = "SELECTION_SUMMARY.md", "SUMMARY_POINTER.md"
@@ -49,20 +51,17 @@ def require_paths(spark: SparkSession, paths: Sequence[str], what: str = "inputs
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:
     """(path, record): each YAML file below path as a JSON text, for from_json or get_json_object; one small file a row."""
 
-    @F.udf("string")
-    def as_json(content: bytearray) -> str:
+    @F.pandas_udf("string")
+    def as_json(content: pd.Series) -> pd.Series:
         import yaml
 
-        return json.dumps(yaml.safe_load(bytes(content)), sort_keys=True)
+        return content.map(lambda c: json.dumps(yaml.safe_load(bytes(c)), sort_keys=True))
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.y*ml").load(path).select("path", as_json("content").alias("record"))
 
 
 def write_json(record: object, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(record, f, indent=2, sort_keys=True)
-        f.write("\n")
+    places.write_text(path, json.dumps(record, indent=2, sort_keys=True) + "\n")
 
 
 def write_run(selection: Selection, ids: DataFrame, config: SelectorConfig, target: str, data_root: str, results_root: str, method: str = "anchored") -> dict:
@@ -99,8 +98,7 @@ def write_summary(records: Sequence[dict], results_root: str, config: SelectorCo
         lines.append(f"| {r['target']} | {r['selected_total']} | {d['facility_backend']} | {d['a_sparse']:.3f} | {d['a_coverage']:.3f} | {d['a_consensus']:.3f} | {n['n_r_top']} | {n['n_h_top']} | {n['n_f_top']} | {n['n_multi']} |")
     text = "\n".join(lines) + "\n"
     for name, body in ((SUMMARY, text), (POINTER, f"See `{SUMMARY}`.\n")):
-        with open(f"{results_root}/{name}", "w", encoding="utf-8") as f:
-            f.write(body)
+        places.write_text(f"{results_root}/{name}", body)
     return text
 
 

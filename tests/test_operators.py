@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from covelight.operators import constraints, curation, greedy, grid, neighbours, ranking, reliability, similarity, subjects
-from covelight.sources import files
+from covelight.sources import files, sinks
 
 
 @pytest.fixture(scope="module")
@@ -65,16 +65,38 @@ def test_greedy_takes_all_of_a_small_pool(pool):
     assert greedy.coverage_greedy(pool[2].where("pos < 0"), 10).count() == 0
 
 
-def test_mutual_information(pool):
-    v, q, df = pool
-    cap, kk, now, chosen = q.max(1), np.maximum(v @ v.T, 0), np.zeros(90), []
-    for _ in range(6):
+def plain_mutual_information(v, cap, k):
+    kk, now, chosen, gains = np.maximum(v @ v.T, 0), np.zeros(len(v)), [], []
+    for _ in range(k):
         gain = np.round((np.minimum(np.maximum(kk, now[:, None]), cap[:, None]) - np.minimum(now, cap)[:, None]).sum(0), 9)
         gain[chosen] = -np.inf
         chosen.append(int(gain.argmax()))
+        gains.append(gain.max())
         now = np.maximum(now, kk[chosen[-1]])
-    for batch in (3, 1000):
-        assert [r["pos"] for r in greedy.mutual_information(df, 6, batch=batch).orderBy("rank").collect()] == chosen
+    return chosen, gains
+
+
+@pytest.mark.parametrize("batch", [3, 20, 1000])
+def test_mutual_information(pool, batch):
+    v, q, df = pool
+    chosen, gains = plain_mutual_information(v, q.max(1), 12)
+    got = greedy.mutual_information(df, 12, batch=batch).orderBy("rank").collect()
+    assert [r["pos"] for r in got] == chosen
+    assert [r["value"] for r in got] == pytest.approx(gains, abs=1e-7)
+
+
+def test_mutual_information_of_copies_goes_by_position(spark, pool):
+    v, q, _ = pool
+    v, q = np.repeat(v[:8], 4, axis=0), np.repeat(q[:8], 4, axis=0)
+    df = spark.createDataFrame([(i, v[i].tolist(), q[i].tolist()) for i in range(32)], "pos long, v array<double>, q array<double>").repartition(3)
+    for batch in (2, 5, 64):
+        assert [r["pos"] for r in greedy.mutual_information(df, 32, batch=batch).orderBy("rank").collect()] == plain_mutual_information(v, q.max(1), 32)[0]
+
+
+def test_mutual_information_takes_less_than_a_pass_a_pick(pool):
+    _, _, df = pool
+    _, passes = greedy.lazy_mutual_information(df, 24)
+    assert passes <= 0.7 * 24
 
 
 def test_last_pick_scores_nothing(spark):
@@ -117,6 +139,32 @@ def test_flat_correlation_is_zero(spark):
     assert df.where("a > 5").agg(ranking.safe_correlation("a", "b").alias("r")).first()["r"] == 0.0
 
 
+@pytest.mark.parametrize("values", ["many", "ties", "one", "odd"])
+def test_hot_subjects_are_ranked_by_ranges(spark, monkeypatch, values):
+    monkeypatch.setattr(subjects, "HOT_ROWS", 50)
+    rng = np.random.default_rng(4)
+    n = 900
+    x = {"many": rng.normal(size=n), "ties": rng.integers(0, 4, n) / 4, "one": np.full(n, 2.5), "odd": np.where(rng.random(n) < 0.2, np.inf, rng.normal(size=n))}[values]
+    s = np.where(rng.random(n) < 0.5, "hot", rng.choice(list("abcdefgh"), n))
+    rows = [(str(a), i, float(b), float(i % 13)) for i, (a, b) in enumerate(zip(s, x, strict=True))]
+    df = spark.createDataFrame(rows, "s string, i int, rank double, y double").withColumn("_bin", F.lit("clash")).repartition(6)
+    got = {r["s"]: (r["y"], r["k"]) for r in subjects.top_fraction(df, "s", ["i"], "rank", ["y"]).collect()}
+    monkeypatch.setattr(subjects, "HOT_ROWS", 10**6)
+    want = {r["s"]: (r["y"], r["k"]) for r in subjects.top_fraction(df, "s", ["i"], "rank", ["y"]).collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0]) for k in want)
+    own = sorted((-b, i) for a, i, b, _ in rows if a == "hot")
+    k = int(np.ceil(0.3 * len(own)))
+    assert got["hot"] == (pytest.approx(np.mean([i % 13 for _, i in own[:k]])), k)
+
+
+def test_late_influence_uses_the_steps_that_there_are(spark):
+    rows = [(p, s, float(p * 10 + s)) for p in (0, 1) for s in (1, 2, 40, 90)]
+    got = subjects.influence(spark.createDataFrame(rows, "pos long, step int, score double"), last=3)
+    assert got.count() == 2 and got.agg(F.max("late")).first()[0] == 1.0
+    plain = subjects.influence(spark.createDataFrame([(0, 1, 9.0), (0, 40, 0.0), (1, 1, 0.0), (1, 40, 1.0)], "pos long, step int, score double"), last=1).orderBy("pos").collect()
+    assert [r["late"] for r in plain] == [0.0, 1.0]
+
+
 def test_top_fraction_rounds_up(spark):
     rows = [("a", i, float(i), float(i)) for i in range(10)] + [("b", 0, 1.0, 7.0)]
     got = {r["s"]: (r["x"], r["k"]) for r in subjects.top_fraction(spark.createDataFrame(rows, "s string, i int, rank double, x double"), "s", ["i"], "rank", ["x"]).collect()}
@@ -162,7 +210,7 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         files.read_config(str(c))
     runs = grid.method_grid(spark, ["A"], [50]).where("source_method = 'orient'")
-    n = files.write_manifest(runs, 50, str(tmp_path / "m.json"))
+    n = sinks.write_manifest(runs, 50, str(tmp_path / "m.json"))
     assert files.read_manifest(spark, str(tmp_path / "m.json")).count() == n == 7
 
 
