@@ -48,13 +48,20 @@ def target_split(method: Column, budget: int = TARGET_BUDGET) -> Column:
     return F.when(method == NONE, F.lit(None).cast("string")).when(method == "ada_clue", f"clue_{budget}").otherwise(F.concat(method, F.lit(f"_{budget}")))
 
 
-def method_grid(spark: SparkSession, targets: Sequence[str], budgets: Sequence[int], source_methods: Sequence[str] = SOURCE_METHODS, target_methods: Sequence[str] = TARGET_METHODS) -> DataFrame:
-    """(budget, target, source_method, target_method, run_id, source_split, target_split, n_domains): a few literals each."""
-    methods = ([NONE] if "full_source" in source_methods else []) + list(target_methods)
-    rows = spark.range(1)
-    for name, values in (("budget", list(budgets)), ("target", list(targets)), ("source_method", list(source_methods)), ("target_method", methods)):
+def pair_methods(source_methods: Sequence[str] = SOURCE_METHODS, target_methods: Sequence[str] = TARGET_METHODS) -> list[str]:
+    """The target methods of a grid; the full source goes without one, too."""
+    return ([NONE] if "full_source" in source_methods else []) + list(target_methods)
+
+
+def method_grid(spark: SparkSession, targets: Sequence[str] | DataFrame, budgets: Sequence[int], source_methods: Sequence[str] = SOURCE_METHODS, target_methods: Sequence[str] = TARGET_METHODS) -> DataFrame:
+    """(budget, target, source_method, target_method, run_id, source_split, target_split, n_domains). targets: a few names, or a
+    table with a column target, whose rows are expanded where they lie."""
+    methods = pair_methods(source_methods, target_methods)
+    rows = targets.select("target") if isinstance(targets, DataFrame) else spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in targets])).alias("target"))
+    for name, values in (("budget", list(budgets)), ("source_method", list(source_methods)), ("target_method", methods)):
         rows = rows.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    grid = rows.drop("id").where(pair_allowed("source_method", "target_method"))
+    rows = rows.select("budget", "target", "source_method", "target_method")
+    grid = rows.where(pair_allowed("source_method", "target_method"))
     b, t, s, m = (F.col(c) for c in ("budget", "target", "source_method", "target_method"))
     grid = grid.withColumns({"run_id": run_id(b, t, s, m), "source_split": source_split(s, m, b), "target_split": target_split(m)})
     return grid.withColumn("n_domains", F.col("source_split").isNotNull().cast("int") + F.col("target_split").isNotNull().cast("int"))

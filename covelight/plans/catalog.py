@@ -1,7 +1,8 @@
 """Every query of the library by name, with its SQL twin where there is one.
 
 Test tables stand in for the method's: embeddings are subjects (label below 8: source; the others: target, the first ten
-of them the support), lineitem rows are slices of the subject l_partkey, events are labelled pixels of user_id.
+of them the support), lineitem rows are slices of the subject l_partkey, events are labelled pixels of user_id, suppliers are
+the targets of the method grid.
 """
 
 from __future__ import annotations
@@ -506,11 +507,15 @@ def _list(values) -> str:
 
 
 _ALLOWED = "case when s = 'anchored' then t = 'anchored' when s = 'orient' and t = 'anchored' then false when s = 'target_only' then t <> 'none' when s = 'full_source' then true else t <> 'none' end"
-GRID = f"""gr as (select b as budget, g as target, s as source_method, t as target_method, 'B' || b || '_' || g || '_S' || s || '_T' || t as run_id from {_list(BUDGETS)} x(b), {_list(TARGETS)} y(g), {_list(grid.SOURCE_METHODS)} z(s), {_list((grid.NONE, *grid.TARGET_METHODS))} w(t) where {_ALLOWED})"""
+GRID = f"""gr as (select b as budget, g as target, s as source_method, t as target_method, 'B' || b || '_' || g || '_S' || s || '_T' || t as run_id from {_list(BUDGETS)} x(b), (select 'T' || s_suppkey from supplier) y(g), {_list(grid.SOURCE_METHODS)} z(s), {_list((grid.NONE, *grid.TARGET_METHODS))} w(t) where {_ALLOWED})"""
+
+
+def targets(spark, sf):
+    return _t(spark, sf, "supplier").select(F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("target"))
 
 
 def _grid(spark, sf):
-    return grid.method_grid(spark, TARGETS, BUDGETS)
+    return grid.method_grid(spark, targets(spark, sf), BUDGETS)
 
 
 @query("method_grid", f"""with {GRID} select budget::int as budget, target, source_method, target_method, run_id, case when source_method = 'target_only' then null when source_method = 'full_source' then 'full_source' when source_method = 'orient' then 'orient_' || target_method || '_' || budget else source_method || '_' || budget end as source_split,
@@ -519,10 +524,10 @@ def _(spark, sf):
     return _grid(spark, sf)
 
 
-@query("pair_predicate", f"select s as source_method, t as target_method, {_ALLOWED} as allowed from {_list(grid.SOURCE_METHODS)} z(s), {_list((grid.NONE, *grid.TARGET_METHODS))} w(t)")
+@query("pair_predicate", f"select g as target, s as source_method, t as target_method, {_ALLOWED} as allowed from (select 'T' || s_suppkey from supplier) y(g), {_list(grid.SOURCE_METHODS)} z(s), {_list((grid.NONE, *grid.TARGET_METHODS))} w(t)")
 def _(spark, sf):
-    rows = spark.range(1).withColumn("source_method", F.explode(F.array(*map(F.lit, grid.SOURCE_METHODS)))).withColumn("target_method", F.explode(F.array(*map(F.lit, (grid.NONE, *grid.TARGET_METHODS)))))
-    return rows.select("source_method", "target_method", grid.pair_allowed("source_method", "target_method").alias("allowed"))
+    rows = targets(spark, sf).withColumn("source_method", F.explode(F.array(*map(F.lit, grid.SOURCE_METHODS)))).withColumn("target_method", F.explode(F.array(*map(F.lit, grid.pair_methods()))))
+    return rows.select("target", "source_method", "target_method", grid.pair_allowed("source_method", "target_method").alias("allowed"))
 
 
 @query("config_records", f"""with {GRID} select run_id, 'results/' || run_id as save_dir, 'data/target_splits/' || target || '/eval' as eval_split, ((source_method <> 'target_only')::int + (target_method <> 'none')::int)::int as n_domains from gr""")
@@ -545,9 +550,9 @@ def _(spark, sf):
     return constraints.split_cardinality(_t(spark, sf, "documents").withColumn("want", F.lit(30).cast("long")), ["source", "lang"], "want", "doc_id")
 
 
-@query("set_difference_groups", "select c_custkey as k, 'left' as side from customer where c_custkey not in (select o_custkey from orders) union all select distinct o_custkey, 'right' from orders where o_custkey not in (select c_custkey from customer)")
+@query("set_difference_groups", "select vec_id as k, 'left' as side from embeddings where vec_id not in (select l_partkey from lineitem) union all select distinct l_partkey, 'right' from lineitem where l_partkey not in (select vec_id from embeddings)")
 def _(spark, sf):
-    return constraints.set_difference(_t(spark, sf, "customer").select(F.col("c_custkey").alias("k")), _t(spark, sf, "orders").select(F.col("o_custkey").alias("k")), "k")
+    return constraints.set_difference(_t(spark, sf, "embeddings").select(F.col("vec_id").alias("k")), _t(spark, sf, "lineitem").select(F.col("l_partkey").alias("k")), "k")
 
 
 @query("reorder_subjects", "select vec_id, (row_number() over (order by vec_id desc))::int as pos, label from embeddings")
@@ -557,7 +562,7 @@ def _(spark, sf):
     return constraints.reorder(e.select("vec_id", "label"), order, "vec_id").select("vec_id", "pos", "label")
 
 
-@query("manifest_violations", "select 'row_count' as \"check\", '912' as detail")
+@query("manifest_violations", f"with {GRID} select 'row_count' as \"check\", count(*)::varchar as detail from gr having count(*) <> 900")
 def _(spark, sf):
     return constraints.manifest_violations(grid.config_records(_grid(spark, sf)), 900)
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import grid, splits, subjects, validation
 from ..sources import runs
-from .catalog import GRID, SRC, TARGETS, E, _cover, _grid, _r, _t, embedded, query, r6, slice_scores, source, support, target
+from .catalog import GRID, SRC, TARGETS, E, _cover, _grid, _r, _t, embedded, query, r6, slice_scores, source, support, target, targets
+
 
 @query("target_filter", "select doc_id, lang from documents where lang in (select min(lang) from documents)")
 def _(spark, sf):
@@ -126,7 +127,7 @@ def _(spark, sf):
     manifest = grid.config_records(runs_).join(runs_.select("run_id", "target", "budget", "source_method", "target_method"), "run_id")
     odd = (F.col("target") == "T3") & (F.col("source_method") == "orient") & (F.col("target_method") == "lada")
     manifest = manifest.withColumn("save_dir", F.when(odd, F.concat(F.lit("elsewhere/"), "run_id")).otherwise(F.col("save_dir")))
-    pools = spark.createDataFrame([(t, 500) for t in TARGETS], "target string, pool long")
+    pools = targets(spark, sf).withColumn("pool", F.lit(500).cast("long"))
     return validation.grid_violations(manifest, 900, _counts(spark, sf), pools, keys=("budget", "rows", "skipped_count"))
 
 
@@ -156,6 +157,7 @@ def _(spark, sf):
 @query("run_configs", f"""with {GRID} select run_id, 'efficientvit_l1' as model, 512 as img_size, 20 as t_max, 20 as epochs, 'results/' || run_id as save_dir, ((source_method <> 'target_only')::int + (target_method <> 'none')::int)::int as n_domains, 'data/target_splits/' || target || '/eval' as val_split
 from gr where not (source_method = 'coreset' and target = 'T2' and budget = 50)""")
 def _(spark, sf):
-    got = grid.run_configs(_grid(spark, sf), _counts(spark, sf).union(spark.createDataFrame([(f"data/target_splits/{t}/eval", 5) for t in TARGETS], "split string, n long")))
+    lists = targets(spark, sf).select(F.concat(F.lit("data/target_splits/"), "target", F.lit("/eval")).alias("split"), F.lit(5).cast("long").alias("n"))
+    got = grid.run_configs(_grid(spark, sf), _counts(spark, sf).union(lists))
     return got.select("run_id", F.col("model.name").alias("model"), "data.img_size", F.col("scheduler.T_max").alias("t_max"), "training.epochs", "training.save_dir", F.size("data.domains").alias("n_domains"), F.col("data.val.split_txt").alias("val_split"))
 
