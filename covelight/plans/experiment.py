@@ -161,3 +161,33 @@ def _(spark, sf):
     got = grid.run_configs(_grid(spark, sf), _counts(spark, sf).union(lists))
     return got.select("run_id", F.col("model.name").alias("model"), "data.img_size", F.col("scheduler.T_max").alias("t_max"), "training.epochs", "training.save_dir", F.size("data.domains").alias("n_domains"), F.col("data.val.split_txt").alias("val_split"))
 
+
+
+def _maps(spark, sf):
+    """Each embedding as scores of four classes at sixteen places."""
+    from ..operators import tensors
+
+    scores = _t(spark, sf, "embeddings").select("vec_id", "label", tensors.tensor("embedding", 4, 4, 4).alias("scores"))
+    return scores.withColumn("probs", tensors.softmax_maps("scores"))
+
+
+_MAPS = """x as (select vec_id, label, p, list_transform(range(4), lambda c: exp(embedding[c * 16 + p + 1]::double)) as z from embeddings, range(16) t(p)),
+q as (select vec_id, label, p, list_transform(z, lambda a: a / list_sum(z)) as q from x)"""
+
+
+@query("slice_tensors", f"""with {_MAPS} select vec_id, {_r('avg(0.0 - list_sum(list_transform(q, lambda a: a * ln(a + 1e-8))))')} as entropy, {_r('avg(q[2] + q[3] + q[4])')} as foreground,
+{_r('avg(q[1])')} as p0, {_r('avg(q[4])')} as p3 from q group by 1""")
+def _(spark, sf):
+    from ..operators import tensors
+
+    got = _maps(spark, sf).select("vec_id", tensors.probability_summary("probs").alias("s"))
+    return got.select("vec_id", r6("s.entropy").alias("entropy"), r6("s.foreground").alias("foreground"), r6(F.get("s.mean_probs", F.lit(0))).alias("p0"), r6(F.get("s.mean_probs", F.lit(3))).alias("p3"))
+
+
+@query("tensor_morphology", f"""with {_MAPS}, c as (select label, list_position(q, list_max(q)) - 1 as c from q)
+select label as subject_id, count(*) as total, sum((c > 0)::int)::bigint as whole, sum((c in (1, 3))::int)::bigint as core, sum((c = 3)::int)::bigint as enhancing, {_r('avg((c > 0)::int)')} as whole_ratio from c group by 1""")
+def _(spark, sf):
+    from ..operators import tensors
+
+    slices = _maps(spark, sf).select(F.col("label").alias("subject_id"), tensors.class_map("probs").alias("tensor"))
+    return tensors.subject_morphology(slices).select("subject_id", "total", "whole", "core", "enhancing", r6("whole_ratio").alias("whole_ratio"))
