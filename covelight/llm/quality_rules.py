@@ -28,10 +28,17 @@ from .wordhash import covered, per_row, repeats, span_hashes, windows_of, words_
 SYMBOLS = "#*$%&|<>"
 CLOSERS = ".!?:;)]\"'"
 SEPARATORS = ("|", "»", "›", "•", "·", "/", "-")
+#: Phrases of site text in the corpus' four languages: English, German, French, Spanish.
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "accept cookies",
     "enable javascript", "subscribe to our", "sign up for our", "click here", "read more", "skip to content",
     "share on facebook", "follow us on",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "javascript aktivieren", "newsletter abonnieren",
+    "hier klicken", "weiterlesen", "zum inhalt springen", "auf facebook teilen", "folgen sie uns",
+    "tous droits réservés", "politique de confidentialité", "conditions générales", "accepter les cookies", "activer javascript", "abonnez-vous",
+    "cliquez ici", "lire la suite", "aller au contenu", "partager sur facebook", "suivez-nous sur",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "política de cookies", "aceptar cookies", "habilitar javascript",
+    "suscríbete a", "haz clic aquí", "leer más", "saltar al contenido", "compartir en facebook", "síguenos en",
 )
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "

@@ -61,6 +61,13 @@ def test_line_rules(spark):
     assert got[5]["n_bad_lines"] == 1
 
 
+def test_site_text_in_each_language_goes(spark):
+    prose = "Ein Satz mit ganz genug Wörtern, um eine Zeile Prosa zu sein."
+    site = ("Alle Rechte vorbehalten, 2020 bei uns.", "Lesen Sie unsere Datenschutzerklärung.", "Tous droits réservés à nos auteurs.", "Cliquez ici pour lire la suite.", "Todos los derechos reservados por ellos.", "Haz clic aquí para leer más.", "Read more of this here.")
+    got = {r["doc_id"]: r for r in quality_rules.clean_lines(table(spark, [(i, f"{prose}\n{line}") for i, line in enumerate(site)])).collect()}
+    assert all(got[i]["n_bad_lines"] == 1 and got[i]["cleaned"] == prose for i in range(len(site)))
+
+
 def test_cleaned_text_is_the_lines_left(spark, sf):
     good, bad = "This sentence has quite enough words in it to be é line of prose.", "Click here"
     texts = [good, bad, f"{bad}\n{good}", f"{good}\n{bad}", f"{good}\n{bad}\n", f"{bad}\n", f"\n{bad}\n \n{bad}\n{bad}", f"{good}\n\n{bad}\n\t{good}\r\n", "", None, "\n", f"{good}\n\n{bad}"]
