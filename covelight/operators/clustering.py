@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kmeans import MOVES, SEED, STARTS, kmeans, squared_distances
+from .logistic import logistic, probability
 
 
 def _distances(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -87,17 +88,14 @@ def inconsistent_clusters(rows: DataFrame, budget: int, factor: int = 10, starts
 def domain_selection(source: DataFrame, target: DataFrame, budget: int) -> DataFrame:
     """(rank, pos, score): target rows that least look like source: (1 - p) / p times their uncertainty, p from a
     balanced logistic regression of source (1) against target (0) with a penalised intercept."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    both = source.select("v", F.lit(1.0).alias("label")).unionByName(target.select("v", F.lit(0.0).alias("label")))
-    counts = {r["label"]: r["count"] for r in both.groupBy("label").count().collect()}
+    target = target.where("v is not null")
+    both = source.where("v is not null").select("v", F.lit(1.0).alias("y")).unionByName(target.select("v", F.lit(0.0).alias("y")))
+    counts = {r["y"]: r["count"] for r in both.groupBy("y").count().collect()}
     n = sum(counts.values())
-    weight = F.when(F.col("label") == 1.0, n / 2 / max(counts.get(1.0, 0), 1)).otherwise(n / 2 / max(counts.get(0.0, 0), 1))
-    features = lambda df: df.withColumn("features", array_to_vector(F.concat("v", F.array(F.lit(1.0)))))
-    model = LogisticRegression(weightCol="w", regParam=1.0 / n, fitIntercept=False, standardization=False, maxIter=1000, tol=1e-9).fit(features(both.withColumn("w", weight)))
-    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.element_at(vector_to_array("probability"), 2)))
-    scored = model.transform(features(target)).select("pos", ((1 - p) / p * F.greatest(F.col("weight").cast("double"), F.lit(1e-8))).alias("score"))
+    weight = F.when(F.col("y") == 1.0, n / 2 / max(counts.get(1.0, 0), 1)).otherwise(n / 2 / max(counts.get(0.0, 0), 1))
+    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), probability(logistic(both.withColumn("weight", weight)))))
+    scored = target.select("pos", "v", F.greatest(F.col("weight").cast("double"), F.lit(1e-8)).alias("_u")).select("pos", "_u", p.alias("_p"))
+    scored = scored.select("pos", ((1 - F.col("_p")) / F.col("_p") * F.col("_u")).alias("score"))
     top = scored.orderBy(F.desc("score"), F.asc("pos")).limit(budget)
     return top.select(F.row_number().over(_by_score()).alias("rank"), "pos", "score")
 
