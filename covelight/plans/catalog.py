@@ -382,7 +382,19 @@ def _(spark, sf):
     return _rounded(similarity.centroid_alignment(source(spark, sf), support(spark, sf)), "alignment")
 
 
-@query("mutual_information_greedy")
+def _mutual_information(steps: int) -> str:
+    """Each pick as tables of its own: gains over the pairs, the best of them, what each row has then."""
+    sql = f"""with {SRC}, m0 as materialized (select a.pos, any_value(a.v) as v, max({SIM}) as cap, 0.0::double as now, -1::bigint as pick, 0.0::double as val from src a, sup b group by a.pos),
+pair as materialized (select a.pos as i, b.pos as j, {SIM} as s from m0 a, m0 b)"""
+    for k in range(steps):
+        taken = " and ".join(f"p.j <> (select any_value(pick) from m{i})" for i in range(1, k + 1)) or "true"
+        sql += f""", g{k} as materialized (select p.j, round(sum(least(greatest(p.s, m.now), m.cap) - least(m.now, m.cap)), 9) as gain from pair p join m{k} m on m.pos = p.i where {taken} group by 1 order by gain desc, p.j limit 1),
+m{k + 1} as materialized (select m.pos, m.cap, greatest(m.now, p.s) as now, g.j as pick, g.gain as val from m{k} m, g{k} g, pair p where p.i = m.pos and p.j = g.j)"""
+    picks = " union all ".join(f"select {k}::int as rank, any_value(pick) as pos, {_r('any_value(val)')} as value from m{k}" for k in range(1, steps + 1))
+    return f"{sql} {picks}"
+
+
+@query("mutual_information_greedy", _mutual_information(10))
 def _(spark, sf):
     return _rounded(greedy.mutual_information(_coverage(spark, sf), 10), "value")
 
