@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir
 
-SEGMENT_IDS, STEP, LEAST, FALL, WORTH = 1 << 20, 1024, 16, 64, 64
+SEGMENT_IDS, STEP, LEAST, FALL, WORTH = 1 << 20, 1024, 16, 64, 32
 MARK = b"COVLRP01"
 #: A worker remembers the ids of so many pieces of at most so many characters each.
-WORDS, WORD_CHARS = 3 << 18, 48
-HASH = np.int64(-7046029254386353131)  # odd, for multiplicative hashing
+WORDS, WORD_CHARS = 1 << 20, 48
+HASHES = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)  # odd, for multiplicative hashing
 
 
 # Encoding
@@ -45,9 +45,9 @@ HASH = np.int64(-7046029254386353131)  # odd, for multiplicative hashing
 NORMAL = ["NFC", "Replace", "Lowercase"]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters for which the cutting rule is short: ASCII, Latin letters that are composed and change case one by one, and
-#: common punctuation. No other letters, digits or white space are among them.
+#: common punctuation. No other letters, digits or white space are among them, by Python's rules either.
 LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u012f\u0131-\u017e"
-PLAIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018-\u201d\u2026]*")
+PLAIN = re.compile("[\x00-\x1b\x20-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018-\u201d\u2026]*")
 PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\t-\r {LETTERS}0-9]+")
 SPACE = re.compile("[\t-\r ]+")
 
@@ -98,19 +98,15 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str], odd: set[str]) -> dict[str, bytes]:
-        """Ids of new pieces. Those cut by PIECE are whole words to the tokenizer: they are encoded as one text and told apart
-        by their word numbers."""
-        whole = list(new - odd)
-        found = self.tokenizer.encode(" ".join(whole), add_special_tokens=False)
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces cut by PIECE, which the tokenizer leaves whole: encoded as one text and told apart by their numbers."""
+        found = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
         words = np.array(found.word_ids, np.int64)
-        ends = np.searchsorted(words, np.arange(len(whole)), "right")
-        if len(whole) and (ends[-1] != len(words) or (np.diff(ends, prepend=0) <= 0).any()):
-            whole, ends = [], ends[:0]
-        ids, size = np.array(found.ids, self.kind).tobytes(), self.kind.itemsize
-        at = [0, *(ends * size).tolist()]
-        rest = list(new.difference(whole))
-        return dict(zip(whole, map(ids.__getitem__, map(slice, at[:-1], at[1:])), strict=True)) | dict(zip(rest, self._whole(rest), strict=True))
+        ends = np.searchsorted(words, np.arange(len(pieces)), "right")
+        if len(pieces) and (ends[-1] != len(words) or (np.diff(ends, prepend=0) <= 0).any()):
+            return dict(zip(pieces, self._whole(pieces), strict=True))
+        ids, at = np.array(found.ids, self.kind).tobytes(), [0, *(ends * self.kind.itemsize).tolist()]
+        return dict(zip(pieces, map(ids.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
@@ -121,8 +117,9 @@ class Encoder:
         pieces = [self._pieces(t, odd) for t in texts]
         known = [list(map(self.known.get, p)) for p in pieces]  # one look-up a piece; gaps are filled from what is learnt
         new = {w for p, k in zip(pieces, known, strict=True) if None in k for w, x in zip(p, k, strict=True) if x is None}
-        found = self._learn(new, odd) if new else {}
-        self.known.update((w, x) for w, x in found.items() if len(w) <= WORD_CHARS)
+        rest = list(new & odd)
+        found = (self._encoded(list(new - odd)) if new - odd else {}) | dict(zip(rest, self._whole(rest), strict=True))
+        self.known.update(found if all(len(w) <= WORD_CHARS for w in found) else {w: x for w, x in found.items() if len(w) <= WORD_CHARS})
         return [np.frombuffer(b"".join([found[w] if x is None else x for w, x in zip(p, k, strict=True)] if None in k else k), self.kind) for p, k in zip(pieces, known, strict=True)]
 
 
@@ -138,6 +135,11 @@ def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[first[often]], counts[often]
 
 
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number below 2^20 for each pair of symbols."""
+    return ((left.astype(np.uint32) * HASHES[0] ^ right.astype(np.uint32) * HASHES[1]) >> np.uint32(12)).astype(np.int64)
+
+
 def compress(symbols: np.ndarray, size: int, most: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules) of the Re-Pair grammar of one segment; `size` is the end mark, rule k is symbol size + 1 + k.
 
@@ -147,11 +149,10 @@ def compress(symbols: np.ndarray, size: int, most: int, least: int = LEAST) -> t
     may occur `least` times are less than one in WORTH.
     A table of counts by hash, never too low, leaves few pairs to be counted exactly.
     """
-    s, rules = symbols.astype(np.int64), np.zeros((0, 2), np.int64)
+    s, rules = symbols.astype(np.uint32), np.zeros((0, 2), np.int64)
     none = np.iinfo(np.int32).max
     while len(s) > 1 and len(rules) < most:
-        keys = s[:-1] << 32 | s[1:]
-        spots = ((keys * HASH) >> 44) & 0xFFFFF
+        spots = _slots(s[:-1], s[1:])
         ends = np.flatnonzero(s == size)
         spots[ends[ends < len(spots)]] = spots[ends[ends > 0] - 1] = 1 << 20
         table = np.bincount(spots, minlength=(1 << 20) + 1)
@@ -159,20 +160,23 @@ def compress(symbols: np.ndarray, size: int, most: int, least: int = LEAST) -> t
         floor = max(least, int(table.max()) // FALL)
         while True:
             at = np.flatnonzero((table >= floor)[spots])
-            pairs, counts = _frequent(keys[at], floor) if len(at) else (keys[:0], keys[:0])
-            if len(pairs) or floor == least:
+            keys = s[at].astype(np.int64) << 32 | s[at + 1]
+            pairs, counts = _frequent(keys, floor) if len(at) else (keys, keys)
+            worth = len(pairs) and len(at) * WORTH >= len(s)
+            if worth or floor == least:
                 break
             floor = max(least, floor // FALL)
-        if not len(pairs) or len(at) * WORTH < len(s):
+        if not worth:
             break
-        order = np.lexsort((pairs, -counts))[: most - len(rules)]
-        chosen = pairs[order]
-        rank_of = np.argsort(chosen)
-        ordered = chosen[rank_of]
-        found = np.minimum(np.searchsorted(ordered, keys[at]), len(ordered) - 1)
-        hit = ordered[found] == keys[at]
+        chosen = pairs[np.lexsort((pairs, -counts))][: most - len(rules)]
+        slot = _slots(chosen >> 32, chosen & 0xFFFFFFFF)
+        ranks = np.full(1 << 20, none, np.int32)
+        ranks[slot[::-1]] = np.arange(len(chosen) - 1, -1, -1)  # of two pairs in a slot the more frequent one; the other has its turn later
+        rank = ranks[spots[at]]
+        hit = rank != none
+        hit[hit] = chosen[rank[hit]] == keys[hit]
         r = np.full(len(s) + 1, none, np.int32)  # r[i + 1]: the rank of the pair at i
-        r[at[hit] + 1] = rank_of[found[hit]]
+        r[at[hit] + 1] = rank[hit]
         same = np.flatnonzero((r[1:] == r[:-1]) & (r[1:] != none))
         if len(same):  # pairs of a run: keep every second one
             begins = np.concatenate(([True], same[1:] != same[:-1] + 1))
