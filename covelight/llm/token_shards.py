@@ -48,7 +48,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: common punctuation. No other letters, digits or white space are among them, by Python's rules either.
 LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u012f\u0131-\u017e"
 PLAIN = re.compile("[\x00-\x1b\x20-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018-\u201d\u2026]*")
-PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\t-\r {LETTERS}0-9]+")
+PIECE = re.compile(f"[{LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r {LETTERS}0-9]+")
 SPACE = re.compile("[\t-\r ]+")
 
 
@@ -115,12 +115,16 @@ class Encoder:
             self.known.clear()
         odd: set[str] = set()
         pieces = [self._pieces(t, odd) for t in texts]
-        known = [list(map(self.known.get, p)) for p in pieces]  # one look-up a piece; gaps are filled from what is learnt
-        new = {w for p, k in zip(pieces, known, strict=True) if None in k for w, x in zip(p, k, strict=True) if x is None}
+        ids = [list(map(self.known.get, p)) for p in pieces]  # one look-up a piece; gaps are filled from what is learnt
+        gaps = [[i for i, x in enumerate(k) if x is None] if None in k else () for k in ids]
+        new = {p[i] for p, g in zip(pieces, gaps, strict=True) for i in g}
         rest = list(new & odd)
         found = (self._encoded(list(new - odd)) if new - odd else {}) | dict(zip(rest, self._whole(rest), strict=True))
         self.known.update(found if all(len(w) <= WORD_CHARS for w in found) else {w: x for w, x in found.items() if len(w) <= WORD_CHARS})
-        return [np.frombuffer(b"".join([found[w] if x is None else x for w, x in zip(p, k, strict=True)] if None in k else k), self.kind) for p, k in zip(pieces, known, strict=True)]
+        for p, k, g in zip(pieces, ids, gaps, strict=True):
+            for i in g:
+                k[i] = found[p[i]]
+        return [np.frombuffer(b"".join(k), self.kind) for k in ids]
 
 
 # The grammar
@@ -218,10 +222,22 @@ class Grammar:
         self.places = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
         self.flat = np.zeros(int(self.lengths.sum()), np.uint32)
         self.flat[: size + 1] = terminals
-        for k, (a, b) in enumerate(rules.tolist(), size + 1):
-            at, mid = self.places[k], self.places[k] + self.lengths[a]
-            self.flat[at:mid] = self.flat[self.places[a] : self.places[a] + self.lengths[a]]
-            self.flat[mid : at + self.lengths[k]] = self.flat[self.places[b] : self.places[b] + self.lengths[b]]
+        depth = [0] * (size + 1)
+        for a, b in rules.tolist():
+            depth.append(1 + max(depth[a], depth[b]))
+        level = np.array(depth[size + 1 :], np.int64)
+        for step in range(1, int(level.max(initial=0)) + 1):  # all rules of one depth at a time
+            k = np.flatnonzero(level == step)
+            left, right = rules[k, 0], rules[k, 1]
+            to = self.places[size + 1 + k]
+            self._copy(left, to)
+            self._copy(right, to + self.lengths[left])
+
+    def _copy(self, symbols: np.ndarray, to: np.ndarray) -> None:
+        lengths = self.lengths[symbols]
+        before = np.cumsum(lengths) - lengths
+        step = np.arange(int(lengths.sum()))
+        self.flat[np.repeat(to - before, lengths) + step] = self.flat[np.repeat(self.places[symbols] - before, lengths) + step]
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         lengths = self.lengths[symbols]
