@@ -4,15 +4,19 @@ Equal vectors are looked up once: of each distinct vector only its k + 1 lowest
 the nearest of a bounded number of pivots, drawn and then moved to the mean of their rows; a pivot's cell is cut into blocks of about BLOCK rows by hash. Each block is
 compared with itself first, which gives every row a similarity that its k-th neighbour at least has; where a block has too few rows, the balls
 around give it. A cell whose ball
-about its pivot lies farther away than that is left out; what is left of a block goes to each block of the cell as one
-matrix product. So a pair of blocks is met only for those rows that need it.
+about its pivot lies farther away than that is left out.
+
+Blocks are dealt into ASKING groups of rows that ask and ASKED groups that are asked, more of them only where a group would exceed
+GROUP numbers; a task meets one of each. So a row is copied once for each group that it needs, not for each block, and below
+ASKED * GROUP numbers the shuffle grows as the input. In a task single-precision products with a bound of their error find what may be
+among a row's best; only those are computed in double precision.
 
 On data without clusters, in many dimensions, hardly a cell can be left out and the work is that of all pairs of blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +33,16 @@ BLOCK, PIVOTS = 2048, 4096
 DENSER = 4
 #: What cosines may be wrong by.
 MARGIN = 1e-7
+#: What two products of the same rows may differ by at thirteen digits.
+ROUNDING = 1e-12
+#: Groups that ask and that are asked, at least; numbers in a group's vectors, about (64 MB).
+ASKING, ASKED, GROUP = 16, 8, 1 << 23
+#: Rows that ask at a time in a task.
+CHUNK = 4096
 
 _BLOCK = "cell int, part int, ids binary, v binary, least binary, widest double, shortest double, n long"
-_ASK = "cell int, part int, ids binary, v binary, least binary, n long"
+_ASK = "asking int, asked int, cell int, part int, ids binary, v binary, least binary, pairs long"
+_BEST = "cell int, part int, i binary, j binary, sim binary"
 
 
 def _matrix(rows: pd.Series, n: int) -> np.ndarray:
@@ -48,28 +59,70 @@ def _similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(np.round(x @ y.T, 13), 0.0)
 
 
-def _top(sim: np.ndarray, i: np.ndarray, j: np.ndarray, k: int, least: np.ndarray) -> pd.DataFrame:
-    """The k best of each row that reach the row's `least`; j ascends, so ties keep the lower."""
-    best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-    value = np.take_along_axis(sim, best, 1)
-    keep = (value >= least[:, None]).ravel()
-    return pd.DataFrame({"i": np.repeat(i, best.shape[1])[keep], "j": j[best.ravel()][keep], "sim": value.ravel()[keep]})
+def _first(i: np.ndarray, j: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
+    """Where the k best of each i are, by i, falling similarity and j."""
+    order = np.lexsort((j, -sim, i))
+    by = i[order]
+    starts = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+    return order[np.arange(len(by)) - np.repeat(starts, np.diff(np.append(starts, len(by)))) < k]
+
+
+def _best(x: np.ndarray, least: np.ndarray, need: np.ndarray, blocks: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in x, j, similarity) of the k best that reach `least`, over the blocks (number of the cell, ids, vectors) whose cell a row
+    needs. Single precision leaves out what is surely too little; ties go to the lower j."""
+    at, j, sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    floor, x32 = least - ROUNDING, x.astype(np.float32)  # `least` comes from another product
+    slack = (x.shape[1] + 8) * 1.2e-7 * max(float(np.linalg.norm(x, axis=1).max(initial=0.0)), 1e-30)
+    new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        nonlocal at, j, sim
+        if new:
+            at, j, sim = (np.concatenate([old, *(n[c] for n in new)]) for c, old in enumerate((at, j, sim)))
+            keep = sim >= floor[at]
+            at, j, sim = at[keep], j[keep], sim[keep]
+            if len(at):
+                top = _first(at, j, sim, k)
+                at, j, sim = at[top], j[top], sim[top]
+                full = np.flatnonzero(np.bincount(at, minlength=len(x)) == k)
+                worst = np.full(len(x), np.inf)
+                np.minimum.at(worst, at, sim)
+                floor[full] = np.maximum(floor[full], worst[full])
+            new.clear()
+
+    for cell, ids, y in blocks:
+        rows = np.flatnonzero(need[:, cell])
+        if not len(rows):
+            continue
+        own = x32 if len(rows) == len(x) else x32[rows]
+        bound = (floor[rows] - slack * max(1.0, float(np.linalg.norm(y, axis=1).max()))).astype(np.float32)
+        bound = np.where(bound > 0, np.nextafter(bound, np.float32(0)), np.float32(-np.inf))  # all are 0 at least
+        near = own @ y.astype(np.float32).T >= bound[:, None]
+        r, c = np.divmod(np.flatnonzero(near.ravel()), len(ids))
+        for a in range(0, len(r), 1 << 18):
+            p, q = rows[r[a : a + (1 << 18)]], c[a : a + (1 << 18)]
+            new.append((p, ids[q], np.maximum(np.round(np.einsum("ij,ij->i", x[p], y[q]), 13), 0.0)))
+        if sum(len(n[0]) for n in new) > 3 * k * len(x):
+            settle()
+    settle()
+    return at, j, sim
 
 
 @dataclass
 class Search:
-    """blocks: each block with its rows' least similarities; asks: rows that a block has to be compared with; both written."""
+    """blocks: each block with its rows' least similarities, and the groups it is in; asks: rows that a group has to be compared
+    with, dealt to pairs of groups; needs: which cells a row needs."""
 
     blocks: DataFrame
     asks: DataFrame
     distinct: DataFrame
     k: int
+    groups: tuple[int, int]
+    needs: Callable[..., np.ndarray]
 
     def pairs(self) -> int:
-        """Row pairs that are compared, those within blocks included."""
-        own = self.blocks.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
-        met = self.asks.join(self.blocks.select("cell", "part", F.col("n").alias("m")), ["cell", "part"]).agg(F.sum(F.col("n") * F.col("m"))).first()[0]
-        return own + (met or 0)
+        """Row pairs that are compared."""
+        return self.asks.agg(F.sum("pairs")).first()[0] or 0
 
 
 def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -99,6 +152,7 @@ def search(rows: DataFrame, k: int, block: int = BLOCK, most_pivots: int = PIVOT
     placed = cut(_cells(distinct, pivots))
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))  # a row a pivot at most
     dealt = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("pos"), "parts").cast("int")).drop("parts")
+    tasks = min(ASKING * ASKED, wanted)  # a stated number: rows are few bytes beside the work on them
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
@@ -108,7 +162,7 @@ def search(rows: DataFrame, k: int, block: int = BLOCK, most_pivots: int = PIVOT
         widest = float((_directions(v) @ pivots[cell]).min())  # the cosine of the widest angle to the pivot
         return pd.DataFrame({"cell": [cell], "part": [int(pdf["part"].iloc[0])], "ids": [ids.tobytes()], "v": [v.tobytes()], "least": [least.tobytes()], "widest": [widest], "shortest": [float(np.linalg.norm(v, axis=1).min())], "n": [len(v)]})
 
-    blocks = cut(dealt.groupBy("cell", "part").applyInPandas(pack, _BLOCK))
+    blocks = cut(dealt.repartition(tasks, "cell", "part").groupBy("cell", "part").applyInPandas(pack, _BLOCK))
     # a row a pivot: the widest angle, the shortest vector, rows and parts of each cell
     width, shortest, sizes_, numbers = np.full(len(pivots), np.nan), np.zeros(len(pivots)), np.zeros(len(pivots), int), np.zeros(len(pivots), int)
     for cell, *found in blocks.groupBy("cell").agg(F.min("widest"), F.min("shortest"), F.sum("n"), F.max("part") + 1).collect():
@@ -122,60 +176,99 @@ def search(rows: DataFrame, k: int, block: int = BLOCK, most_pivots: int = PIVOT
         enough = (np.cumsum(sizes_[order], axis=1) > k).argmax(1)
         return np.where(sizes_.sum() > k, np.take_along_axis(far, order, 1)[np.arange(len(v)), enough] - MARGIN, -1.0)
 
+    # groups of consecutive blocks of about as many rows; a cell of many parts lies in several
+    total, dims = int(sizes_.sum()), pivots.shape[1]
+    asking, asked = (max(1, min(few, int(numbers.sum())), -(-total * dims // GROUP)) for few in (ASKING, ASKED))
+    before = np.cumsum(sizes_) - sizes_
+
+    def group(cell, part, count: int):
+        return ((before[cell] + part * sizes_[cell] // np.maximum(numbers[cell], 1)) * count // max(total, 1)).astype(int)
+
+    cells = np.repeat(np.arange(len(pivots)), numbers)
+    parts_ = np.arange(len(cells)) - np.repeat(np.cumsum(numbers) - numbers, numbers)
+    member = np.zeros((len(pivots), asked), np.float32)  # the share of a cell's rows in each group, about
+    np.add.at(member, (cells, group(cells, parts_, asked)), 1.0)
+    member *= (sizes_ / np.maximum(numbers, 1))[:, None]
+
+    def needs(v: np.ndarray, least: np.ndarray, which: slice | np.ndarray = slice(None)) -> np.ndarray:
+        """Which cells can hold a row's k nearest."""
+        c, w = np.clip(_directions(v) @ pivots[which].T, -1, 1), width[which]
+        # the cosine of (angle to the pivot - the cell's widest angle); 1 inside the ball
+        reach = np.where(c >= w, 1.0, c * w + np.sqrt((1 - c * c) * np.maximum(1 - w * w, 0)))
+        return ~np.isnan(w) & (np.maximum(reach, 0.0) + MARGIN >= least[:, None])
+
     def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for b in pdf.itertuples():
                 ids, least = np.frombuffer(b.ids, np.int64), np.frombuffer(b.least)
                 v = np.frombuffer(b.v).reshape(len(ids), -1)
-                c = np.clip(_directions(v) @ pivots.T, -1, 1)
                 if len(v) <= k:
-                    least = reached(v, c)
-                # the cosine of (angle to the pivot - the cell's widest angle); 1 inside the ball
-                reach = np.where(c >= width, 1.0, c * width + np.sqrt((1 - c * c) * np.maximum(1 - width * width, 0)))
-                need = ~np.isnan(width) & (np.maximum(reach, 0.0) + MARGIN >= least[:, None])
-                for cell in np.flatnonzero(need.any(0)).tolist():
-                    rows_ = np.flatnonzero(need[:, cell])
-                    for part in range(numbers[cell]):
-                        if (cell, part) != (b.cell, b.part):
-                            yield pd.DataFrame({"cell": [cell], "part": [part], "ids": [ids[rows_].tobytes()], "v": [v[rows_].tobytes()], "least": [least[rows_].tobytes()], "n": [len(rows_)]})
+                    least = reached(v, np.clip(_directions(v) @ pivots.T, -1, 1))
+                met = needs(v, least).astype(np.float32) @ member
+                for g in np.flatnonzero(met.any(0)).tolist():
+                    rows_ = np.flatnonzero(met[:, g])
+                    yield pd.DataFrame({"asking": [int(group(b.cell, b.part, asking))], "asked": [g], "cell": [b.cell], "part": [b.part], "ids": [ids[rows_].tobytes()], "v": [v[rows_].tobytes()], "least": [least[rows_].tobytes()], "pairs": [round(float(met[:, g].sum(dtype=np.float64)))]})
 
-    return Search(blocks, blocks.mapInPandas(ask, _ASK), distinct, k)
+    @F.pandas_udf("int")
+    def asked_group(cell: pd.Series, part: pd.Series) -> pd.Series:
+        return pd.Series(group(cell.to_numpy(), part.to_numpy(), asked))
 
+    return Search(blocks.withColumn("asked", asked_group("cell", "part")), blocks.mapInPandas(ask, _ASK), distinct, k, (asking, asked), needs)
 
-def _compared(found: Search) -> DataFrame:
-    """(i, j, sim): the k + 1 best of each comparison that can be among a row's k + 1 best; a row is its own neighbour too."""
-    k = found.k + 1
 
-    def own(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for b in pdf.itertuples():
-                ids = np.frombuffer(b.ids, np.int64)
-                v = np.frombuffer(b.v).reshape(len(ids), -1)
-                yield _top(_similar(v, v), ids, ids, k, np.frombuffer(b.least))
+def _compared(found: Search) -> DataFrame:
+    """(cell, part, i, j, sim): the k + 1 best of each block's rows in each group that they ask; a row is its own neighbour too."""
+    k, needs = found.k + 1, found.needs
+
+    def meet(asks: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        if not len(asks) or not len(blocks):
+            return pd.DataFrame({"cell": [], "part": [], "i": [], "j": [], "sim": []})
+        cells, number = np.unique(blocks["cell"].to_numpy(), return_inverse=True)
+        held = [(n, np.frombuffer(b.ids, np.int64), np.frombuffer(b.v)) for n, b in zip(number.tolist(), blocks.itertuples(), strict=True)]
+        held = [(n, ids, v.reshape(len(ids), -1)) for n, ids, v in held]
+        lengths = asks["ids"].map(len).to_numpy() // 8
+        out, a = [], 0
+        while a < len(asks):
+            b = a + max(1, int(np.searchsorted(np.cumsum(lengths[a:]), CHUNK, "right")))
+            part = asks.iloc[a:b]
+            ids, least = np.frombuffer(b"".join(part["ids"]), np.int64), np.frombuffer(b"".join(part["least"]))
+            x = np.frombuffer(b"".join(part["v"])).reshape(len(ids), -1)
+            at, j, sim = _best(x, least, needs(x, least, cells), held, k)
+            of = np.repeat(np.arange(a, b), lengths[a:b])[at]  # ascends, as `at` does
+            for n, (s, e) in enumerate(zip(np.searchsorted(of, np.arange(a, b)), np.searchsorted(of, np.arange(a, b), "right"), strict=True)):
+                row = part.iloc[n]
+                out.append((row["cell"], row["part"], ids[at[s:e]].tobytes(), j[s:e].tobytes(), sim[s:e].tobytes()))
+            a = b
+        return pd.DataFrame(out, columns=["cell", "part", "i", "j", "sim"])
+
+    asking, asked = found.groups
+    copies = found.blocks.select(F.explode(F.sequence(F.lit(0), F.lit(asking - 1))).alias("asking"), "asked", "cell", "part", "ids", "v")
+    dealt = lambda df: df.repartition(asking * asked, "asking", "asked").groupBy("asking", "asked")
+    return dealt(found.asks.drop("pairs")).cogroup(dealt(copies)).applyInPandas(meet, _BEST)
+
+
+def neighbour_lists(rows: DataFrame, k: int, block: int = BLOCK, most_pivots: int = PIVOTS) -> DataFrame:
+    """(i, best): for each row of rows (pos, v) its k other rows of largest clipped cosine as (d, j), d = - similarity, in order."""
+    rows = rows.select("pos", F.col("v").cast("array<double>").alias("v"))
+    found = search(rows, k, block, most_pivots)
 
-    def other(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for b in pdf.itertuples():
-                i, j = np.frombuffer(b.ids, np.int64), np.frombuffer(b.to_ids, np.int64)
-                x, y = np.frombuffer(b.v).reshape(len(i), -1), np.frombuffer(b.to_v).reshape(len(j), -1)
-                yield _top(_similar(x, y), i, j, k, np.frombuffer(b.least))
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, sim = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("i", np.int64), ("j", np.int64), ("sim", np.float64)))
+        top = _first(i, j, sim, k + 1)
+        i, j, sim = i[top], j[top], sim[top]
+        starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, int)
+        return pd.DataFrame({"i": i[starts], "d": np.split(-sim, starts[1:]) if len(i) else [], "j": np.split(j, starts[1:]) if len(i) else []})
 
-    schema = "i long, j long, sim double"
-    to = found.blocks.select("cell", "part", F.col("ids").alias("to_ids"), F.col("v").alias("to_v"))
-    met = found.asks.join(to.hint("merge"), ["cell", "part"]).select("ids", "v", "least", "to_ids", "to_v")
-    return found.blocks.select("ids", "v", "least").mapInPandas(own, schema).unionByName(met.mapInPandas(other, schema))
+    lists = _compared(found).groupBy("cell", "part").applyInPandas(merge, "i long, d array<double>, j array<long>")  # k + 1 a row
+    lists = lists.select("i", F.arrays_zip("d", "j").alias("best"))
+    # each distinct vector's list, from its lowest row, to all rows of that vector
+    of = found.distinct.groupBy("v").agg(F.min("pos").alias("i"))
+    named = lists.join(of, "i").select("v", "best")
+    return rows.where("v is not null").join(named.hint("merge"), "v").select(F.col("pos").alias("i"), F.slice(F.filter("best", lambda b: b["j"] != F.col("pos")), 1, k).alias("best"))
 
 
 def nearest(rows: DataFrame, k: int, key: str = "pos", vector: str = "v", block: int = BLOCK, most_pivots: int = PIVOTS) -> DataFrame:
     """(i, j, sim, rank): for each row its k other rows of largest clipped cosine, ties by lower j; vectors are of length 1 at most.
     Fewer other rows give fewer neighbours; rows without a vector give and get none."""
-    rows = rows.select(F.col(key).alias("pos"), F.col(vector).cast("array<double>").alias("v"))
-    found = search(rows, k, block, most_pivots)
-    best = Window.partitionBy("i").orderBy(F.desc("sim"), "j")
-    short = _compared(found).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
-    lists = short.groupBy("i").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("d"), "j"))).alias("best"))  # k + 1 a row
-    # each distinct vector's list, from its lowest row, to all rows of that vector
-    of = found.distinct.groupBy("v").agg(F.min("pos").alias("i"))
-    named = lists.join(of, "i").select("v", "best")
-    every = rows.where("v is not null").join(named.hint("merge"), "v").select(F.col("pos").alias("i"), F.slice(F.filter("best", lambda b: b["j"] != F.col("pos")), 1, k).alias("best"))
+    every = neighbour_lists(rows.select(F.col(key).alias("pos"), F.col(vector).alias("v")), k, block, most_pivots)
     return every.select("i", F.posexplode("best").alias("rank", "b")).select("i", F.col("b.j").alias("j"), (-F.col("b.d")).alias("sim"), (F.col("rank") + 1).alias("rank"))

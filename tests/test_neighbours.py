@@ -75,6 +75,22 @@ def test_noise_costs_no_more_than_all_pairs(spark):
     assert neighbours.search(frame(spark, v), 5, block=50).pairs() <= 400 * 400
 
 
+def test_a_row_is_copied_once_a_group_not_once_a_block(spark):
+    got = neighbours.search(frame(spark, clustered(6, 400, 400, 16, 1.0)), 5, block=10)
+    copies = got.asks.agg(F.sum(F.length("ids") / 8)).first()[0]
+    assert got.blocks.count() > 4 * neighbours.ASKED and 400 <= copies <= 400 * neighbours.ASKED
+
+
+def test_single_precision_loses_no_neighbour(spark):
+    rng = np.random.default_rng(8)
+    v = np.array([1.0, 0, 0, 0]) + rng.normal(size=(120, 4)) * 1e-5  # similarities differ from the ninth digit on
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert found(frame(spark, v), 4, block=16) == plain(v, 4)
+    floor = np.full(120, -1.0)
+    at, j, sim = neighbours._best(v, floor, np.ones((120, 1), bool), [(0, np.arange(120), v)], 5)
+    assert np.bincount(at).tolist() == [5] * 120 and (sim >= 1 - 1e-8).all()
+
+
 @pytest.mark.parametrize("limit", [4096, 3])
 def test_support_held_by_tasks_and_in_blocks_agree(spark, monkeypatch, limit):
     monkeypatch.setattr(similarity, "SUPPORT", limit)
