@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .kmeans import MOVES, SEED, STARTS, kmeans, squared_distances
 from .logistic import logistic, probability
 
@@ -30,6 +31,7 @@ def assign(rows: DataFrame, centres: np.ndarray) -> DataFrame:
 
 def source_clusters(rows: DataFrame, k: int = 32, starts: int = STARTS, moves: int = MOVES, seed: int = SEED) -> DataFrame:
     """(pos, cluster); everything is cluster 0 when at most one cluster is possible."""
+    rows = cut(rows.select("pos", "v"))
     k = min(k, rows.count())
     if k <= 1:
         return rows.select("pos", F.lit(0).alias("cluster"))
@@ -47,8 +49,8 @@ def _filled(chosen: list[int], rows: DataFrame, budget: int, weight: str) -> Dat
 
 def weighted_support(rows: DataFrame, budget: int, starts: int = STARTS, moves: int = MOVES, seed: int = SEED) -> DataFrame:
     """(rank, pos): per cluster its member of best 0.7 (1 - N(distance)) + 0.3 N(weight); rows: pos, v, weight."""
-    rows = rows.select("pos", "v", F.greatest(F.col("weight").cast("double"), F.lit(1e-6)).alias("weight"))
-    placed = assign(rows, kmeans(rows, budget, starts, moves, seed=seed).centres)
+    rows = cut(rows.select("pos", "v", F.greatest(F.col("weight").cast("double"), F.lit(1e-6)).alias("weight")))
+    placed = cut(assign(rows, kmeans(rows, budget, starts, moves, seed=seed).centres).drop("v"))
     spread = placed.select(F.posexplode("distances").alias("cluster", "d")).groupBy("cluster").agg(F.min("d").alias("low"), F.max("d").alias("high"))
     bounds = rows.agg(F.min("weight").alias("w0"), F.max("weight").alias("w1"))
     own = placed.withColumn("d", F.element_at("distances", F.col("cluster") + 1)).join(F.broadcast(spread), "cluster").crossJoin(F.broadcast(bounds))
@@ -62,16 +64,19 @@ def _nearest_unused(rows: DataFrame, centres: np.ndarray, budget: int, order: st
     """For each centre in turn the nearest row not taken yet, whatever its cluster; ties by `order`. A centre needs
     its `budget` nearest rows at most, so budget^2 rows reach the driver."""
     placed = assign(rows, centres).select("pos", F.col(order).alias("o"), F.posexplode("distances").alias("cluster", "d"))
+    near = Window.partitionBy("cluster").orderBy("d", "o")  # tasks keep their own best `budget` of each centre first
+    best: dict[int, list[int]] = {}
+    for r in placed.withColumn("place", F.row_number().over(near)).where(F.col("place") <= budget).orderBy("cluster", "place").collect():
+        best.setdefault(r["cluster"], []).append(r["pos"])
     chosen: list[int] = []
     for c in range(len(centres)):
-        best = placed.where(F.col("cluster") == c).orderBy("d", "o").limit(budget).select("pos").collect()
-        chosen += [r["pos"] for r in best if r["pos"] not in chosen][:1]
+        chosen += [p for p in best.get(c, []) if p not in chosen][:1]
     return chosen
 
 
 def uncertainty_clusters(rows: DataFrame, budget: int, starts: int = STARTS, moves: int = MOVES, seed: int = SEED) -> DataFrame:
     """Clustering weighted by uncertainty, then the nearest unused row of each centre (CLUE)."""
-    scaled = rows.select("pos", "v", F.greatest(F.col("weight").cast("double"), F.lit(1e-8)).alias("weight"))
+    scaled = cut(rows.select("pos", "v", F.greatest(F.col("weight").cast("double"), F.lit(1e-8)).alias("weight")))
     total = scaled.agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("n"))
     scaled = scaled.crossJoin(F.broadcast(total)).select("pos", "v", (F.col("weight") / (F.col("s") + 1e-8) * F.col("n")).alias("weight"))
     return _filled(_nearest_unused(scaled, kmeans(scaled, budget, starts, moves, seed=seed).centres, budget), scaled, budget, "weight")
@@ -80,7 +85,8 @@ def uncertainty_clusters(rows: DataFrame, budget: int, starts: int = STARTS, mov
 def inconsistent_clusters(rows: DataFrame, budget: int, factor: int = 10, starts: int = STARTS, moves: int = MOVES, seed: int = SEED) -> DataFrame:
     """Clustering of the (1 + factor) * budget rows of largest local inconsistency (`weight`), ties going to the higher
     position, then the nearest unused candidate of each centre (LADA)."""
-    near = rows.select("pos", "v", "weight").orderBy(F.desc("weight"), F.desc("pos")).limit((1 + factor) * budget)
+    rows = cut(rows.select("pos", "v", "weight"))
+    near = cut(rows.orderBy(F.desc("weight"), F.desc("pos")).limit((1 + factor) * budget))
     near = near.select("pos", "v", F.lit(1.0).alias("weight"), F.struct(F.col("weight").alias("a"), F.col("pos").alias("b")).alias("o"))
     return _filled(_nearest_unused(near, kmeans(near.select("pos", "v", "weight"), budget, starts, moves, seed=seed).centres, budget, "o"), rows, budget, "weight")
 
@@ -88,7 +94,7 @@ def inconsistent_clusters(rows: DataFrame, budget: int, factor: int = 10, starts
 def domain_selection(source: DataFrame, target: DataFrame, budget: int) -> DataFrame:
     """(rank, pos, score): target rows that least look like source: (1 - p) / p times their uncertainty, p from a
     balanced logistic regression of source (1) against target (0) with a penalised intercept."""
-    target = target.where("v is not null")
+    target = cut(target.where("v is not null").select("pos", "v", "weight"))
     both = source.where("v is not null").select("v", F.lit(1.0).alias("y")).unionByName(target.select("v", F.lit(0.0).alias("y")))
     counts = {r["y"]: r["count"] for r in both.groupBy("y").count().collect()}
     n = sum(counts.values())
@@ -101,6 +107,4 @@ def domain_selection(source: DataFrame, target: DataFrame, budget: int) -> DataF
 
 
 def _by_score():
-    from pyspark.sql import Window
-
     return Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), F.asc("pos"))

@@ -75,9 +75,9 @@ def facility_order(source: DataFrame, support: DataFrame, config: SelectorConfig
 
 def signals(source: DataFrame, support: DataFrame, scores: DataFrame, config: SelectorConfig) -> DataFrame:
     """One wide row per source row: pos, v, R, I, L (from scores), M, D, density_raw, F, A, cluster."""
+    source, support, scores = cut(source), cut(support), cut(scores)  # each signal reads them again
     density = source_density(source)
     match = query_match(source, support, config.match_top).select("pos", F.col("match").alias("M"))
-    source, support = cut(source), cut(support)
     order = cut(facility_order(source, support, config))
     picked = source.join(F.broadcast(order.select("pos")), "pos", "left_semi")
     wide = source.join(scores, "pos").join(density.select("pos", "density_raw", F.col("density").alias("D")), "pos").join(match, "pos")
@@ -186,6 +186,7 @@ class Selection:
 def select_sources(source: DataFrame, support: DataFrame, scores: DataFrame, config: SelectorConfig | None = None) -> Selection:
     """The whole selection. source: pos, v; support: pos, v, weight; scores: pos, R, I, L."""
     config = config or SelectorConfig()
+    source, support = cut(source), cut(support)
     flagged = tops(signals(source, support, scores, config), config)
     diag = cut(diagnostics(flagged, coverage_trust(source, support), config))
     grouped = cut(base_scores(consensus(flagged), diag, config))

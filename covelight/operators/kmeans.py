@@ -56,13 +56,26 @@ def squared_distances(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(np.round(d, DIGITS), 0.0)
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly to the cores there are, whatever file they lie in, up to CHUNK of them as one matrix (bytes of doubles)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(a, CHUNK)
+                found = (part.column("pos").to_numpy(), part.column("v").flatten().to_numpy(zero_copy_only=False), part.column("weight").to_numpy())
+                yield pa.RecordBatch.from_pydict({k: pa.array([x.tobytes()], pa.binary()) for k, x in zip(("pos", "v", "weight"), found, strict=True)})
+
+    dealt = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "pos")
+    return cut(dealt.mapInArrow(pack, "pos binary, v binary, weight binary"))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(pos, matrix, weights) of up to CHUNK rows."""
     for batch in batches:
-        for a in range(0, batch.num_rows, CHUNK):
-            part = batch.slice(a, CHUNK)
-            v = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-            yield part.column("pos").to_numpy(), v, part.column("weight").to_numpy()
+        for pos, v, weight in zip(*(batch.column(c) for c in ("pos", "v", "weight")), strict=True):
+            ids = np.frombuffer(pos.as_buffer(), np.int64)
+            yield ids, np.frombuffer(v.as_buffer()).reshape(len(ids), -1), np.frombuffer(weight.as_buffer())
 
 
 def _draw(rows: DataFrame, candidates: list[np.ndarray], count: int, seed: int, step: int) -> list[np.ndarray]:
@@ -91,7 +104,7 @@ def _draw(rows: DataFrame, candidates: list[np.ndarray], count: int, seed: int,
 
 def _sums(rows: DataFrame, sets: list[np.ndarray], vectors: bool = True) -> list[tuple[np.ndarray, float]]:
     """For each set of centres: per centre the weighted sum of its rows' vectors and their weight (k x (d + 1), or the weight
-    alone), and the set's inertia. Tasks add up their own rows first; Spark adds up the tasks."""
+    alone), and the set's inertia. Each task adds up its own rows and gives one row; there are as many tasks as cores."""
     width = sets[0].shape[1] if vectors else 0
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,17 +114,13 @@ def _sums(rows: DataFrame, sets: list[np.ndarray], vectors: bool = True) -> list
             for t, c in zip(totals, sets, strict=True):
                 d = squared_distances(v, c)
                 label = d.argmin(1)
-                for j in range(width + 1):
-                    t[:-1, j] += np.bincount(label, rows_[:, j], len(c))
+                t[:-1] += (label == np.arange(len(c))[:, None]).astype(np.float64) @ rows_
                 t[-1, -1] += (d[np.arange(len(d)), label] * weight).sum()
-        parts = [(s, *np.nonzero(t), t[np.nonzero(t)]) for s, t in enumerate(totals)]
-        cols = [np.concatenate(x) for x in zip(*((np.full(len(x), s), i, j, x) for s, i, j, x in parts), strict=True)]
-        yield pa.RecordBatch.from_pydict({k: pa.array(c, t) for k, c, t in zip(("s", "i", "j", "x"), cols, (pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)})
+        yield pa.RecordBatch.from_pydict({"t": pa.array([np.concatenate(totals).tobytes()], pa.binary())})
 
-    out = [np.zeros((len(c) + 1, width + 1)) for c in sets]
-    for s, i, j, x in rows.mapInArrow(add, "s int, i int, j int, x double").groupBy("s", "i", "j").agg(F.sum("x")).collect():
-        out[s][i, j] = x
-    return [(t[:-1], float(t[-1, -1])) for t in out]
+    found = sum(np.frombuffer(r["t"]).reshape(-1, width + 1) for r in rows.mapInArrow(add, "t binary").collect())  # a row a core
+    parts = np.split(found, np.cumsum([len(c) + 1 for c in sets])[:-1])
+    return [(t[:-1], float(t[-1, -1])) for t in parts]
 
 
 def plus_plus(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -162,9 +171,9 @@ def kmeans(rows: DataFrame, k: int, starts: int = STARTS, moves: int = MOVES, to
     most `tolerance` times the mean variance of the vectors' places, when nothing moves, or after `moves` moves.
 
     Rows of weight 0 or null vectors have no say. Fewer distinct rows than k give fewer centres. To the driver come
-    (1 + ROUNDS * OVERSAMPLING * k) candidates a start and k * (d + 1) sums a start and move, whatever the number of rows.
+    (1 + ROUNDS * OVERSAMPLING * k) candidates a start and, of each core, k * (d + 1) sums a start and move, whatever the number of rows.
     """
-    rows = cut(rows.where("v is not null and weight > 0").select(F.col("pos").cast("long").alias("pos"), F.col("v").cast("array<double>").alias("v"), F.col("weight").cast("double").alias("weight")))
+    rows = _packed(rows.where("v is not null and weight > 0").select(F.col("pos").cast("long").alias("pos"), F.col("v").cast("array<double>").alias("v"), F.col("weight").cast("double").alias("weight")))
     sets = _draw(rows, [np.zeros((0, 1))] * starts, 1, seed, 0)
     if not len(sets[0]):
         raise ValueError("k-means needs a row of positive weight")
@@ -194,5 +203,18 @@ def kmeans(rows: DataFrame, k: int, starts: int = STARTS, moves: int = MOVES, to
 
 def _variance(rows: DataFrame) -> float:
     """Mean variance of the vectors' places, unweighted."""
-    places = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("x"))
-    return float(f"{places.agg(F.avg('x')).first()[0]:.10g}")
+
+    def total(mean: np.ndarray | float, power: int) -> tuple[int, np.ndarray]:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, x = 0, None
+            for _, v, _ in _chunks(batches):
+                part = ((v - mean) ** power).sum(0)
+                n, x = n + len(v), part if x is None else x + part
+            if n:
+                yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(-1, len(x)), pa.int32()), "x": pa.array(np.append(float(n), x))})
+
+        sums = dict(rows.mapInArrow(add, "i int, x double").groupBy("i").agg(F.sum("x")).collect())
+        return int(sums.pop(-1)), np.array([sums[i] for i in range(len(sums))])
+
+    n, x = total(0.0, 1)
+    return float(f"{(total(x / n, 2)[1] / n).mean():.10g}")

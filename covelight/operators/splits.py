@@ -96,6 +96,7 @@ def all_splits(
     """Every split of one target, rows of SCHEMA: the target methods' splits, the source baselines at each budget (the
     whole source once, with a null budget), the anchored selection (a function of the budget, if given) and, for each
     target method but the anchored one, the oriented baseline towards its picks."""
+    source, state = cut(source), cut(state)  # every method reads them, some many times
     found = target_methods(state, source, name)
     out = [_rows(found[m](target_budget), "target", m, target_budget) for m in (methods or found)]
     picks = dict(zip(methods or found, out, strict=True))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..functions.lineage import cut
 from ..operators import clustering, constraints, curation, greedy, grid, ranking, reliability, similarity, subjects
 
 FLAGSHIP = "seeded_greedy_select"
@@ -70,12 +71,14 @@ def slice_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = subjects.reliability_utility(slice_scores(spark, sf).join(source(spark, sf).select("pos"), "pos"), {"unc": 0.5, "li": 0.5})
+    own = cut(slice_scores(spark, sf).join(source(spark, sf).select("pos"), "pos"))  # each scale reads it again
+    rows = subjects.reliability_utility(own, {"unc": 0.5, "li": 0.5})
     return scoring.normalize(scoring.normalize(rows, "fg", "I"), "late", "L").select("pos", "R", "I", "L")
 
 
 def scored_source(spark: SparkSession, sf: str) -> DataFrame:
-    return source(spark, sf).join(source_scores(spark, sf).select("pos"), "pos", "left_semi")
+    """Source rows with a slice; which is all that a score needs."""
+    return source(spark, sf).join(_t(spark, sf, "lineitem").select(F.col("l_partkey").alias("pos")), "pos", "left_semi")
 
 
 # SQL parts. Lists are DOUBLE[]; N(x) is the min-max scale.
@@ -405,7 +408,7 @@ def _(spark, sf):
 
 
 def _weighted(spark, sf):
-    return target(spark, sf).join(subjects.acquisition_weights(slice_scores(spark, sf), "unc", "fg", "li", "cons").select("pos", "weight"), "pos")
+    return target(spark, sf).join(subjects.acquisition_weights(cut(slice_scores(spark, sf)), "unc", "fg", "li", "cons").select("pos", "weight"), "pos")
 
 
 @query("weighted_kmeans_support")

@@ -145,3 +145,27 @@ def test_inconsistent_clusters(weighed, budget):
 def test_selectors_fill_up_where_rows_repeat(spark):
     df = frame(spark, np.array([[1.0, 0.0]] * 5 + [[0.0, 1.0]] * 3), np.arange(8.0) + 1)
     assert sorted(picks(clustering.weighted_support(df, 4))) == [4, 5, 6, 7]
+
+
+@pytest.mark.parametrize("select", [clustering.weighted_support, clustering.uncertainty_clusters, clustering.inconsistent_clusters])
+def test_selectors_work_their_rows_out_once(spark, select):
+    v, w = blobs(9, 40, 3, 3, 0.5)
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def weigh(x):
+        worked.add(1)
+        return x
+
+    df = frame(spark, v, w).withColumn("weight", weigh("weight"))
+    select(df, 3).count()
+    assert worked.value <= 2 * len(v)
+
+
+def test_rows_of_one_partition_are_dealt_to_all_cores(spark):
+    from covelight.operators import kmeans as module
+
+    v, w = blobs(10, 400, 3, 3)
+    packed = module._packed(frame(spark, v, w).coalesce(1))
+    assert packed.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert packed.count() > 1
