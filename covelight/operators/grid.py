@@ -16,6 +16,8 @@ TARGET_METHODS = ("random1", "random2", "random3", "coreset", "lada", "aada", "a
 NONE = "none"
 TARGET_BUDGET = 10
 FILTER_FIELDS = ("run_id", "target", "source_method", "target_method")
+#: Targets that one task expands.
+TARGETS_A_TASK = 2000
 
 
 def pair_allowed(source: str | Column, target: str | Column) -> Column:
@@ -57,7 +59,10 @@ def method_grid(spark: SparkSession, targets: Sequence[str] | DataFrame, budgets
     """(budget, target, source_method, target_method, run_id, source_split, target_split, n_domains). targets: a few names, or a
     table with a column target, whose rows are expanded where they lie."""
     methods = pair_methods(source_methods, target_methods)
-    rows = targets.select("target") if isinstance(targets, DataFrame) else spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in targets])).alias("target"))
+    if isinstance(targets, DataFrame):  # a small file is one task's, its expansion is not
+        rows = targets.select("target").repartition(max(1, -(-targets.count() // TARGETS_A_TASK)), "target")
+    else:
+        rows = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in targets])).alias("target"))
     for name, values in (("budget", list(budgets)), ("source_method", list(source_methods)), ("target_method", methods)):
         rows = rows.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     rows = rows.select("budget", "target", "source_method", "target_method")
@@ -67,13 +72,14 @@ def method_grid(spark: SparkSession, targets: Sequence[str] | DataFrame, budgets
     return grid.withColumn("n_domains", F.col("source_split").isNotNull().cast("int") + F.col("target_split").isNotNull().cast("int"))
 
 
-def config_records(grid: DataFrame, root: str = "data") -> DataFrame:
-    """One nested config per grid row: domains (source, then target, absent ones left out) and evaluation lists."""
+def config_records(grid: DataFrame, root: str = "data", keep: Sequence[str] = ()) -> DataFrame:
+    """One nested config per grid row: domains (source, then target, absent ones left out) and evaluation lists; then the grid's
+    columns `keep`."""
     path = lambda kind, name: F.concat_ws("/", F.lit(root), F.lit(kind), F.col("target"), F.col(name))
     source = F.when(F.col("source_split").isNotNull(), F.struct(F.lit("source").alias("name"), path("source_splits", "source_split").alias("split"), F.col("budget").alias("count")))
     target = F.when(F.col("target_split").isNotNull(), F.struct(F.lit("target").alias("name"), path("target_splits", "target_split").alias("split"), F.lit(TARGET_BUDGET).alias("count")))
     evaluation = F.concat_ws("/", F.lit(root), F.lit("target_splits"), F.col("target"), F.lit("eval"))
-    return grid.select("run_id", F.array_compact(F.array(source, target)).alias("domains"), evaluation.alias("eval_split"), F.concat_ws("/", F.lit("results"), F.col("run_id")).alias("save_dir"))
+    return grid.select("run_id", F.array_compact(F.array(source, target)).alias("domains"), evaluation.alias("eval_split"), F.concat_ws("/", F.lit("results"), F.col("run_id")).alias("save_dir"), *keep)
 
 
 #: The training run's constants.
@@ -93,7 +99,7 @@ def run_configs(grid: DataFrame, counts: DataFrame, root: str = "data", data_pat
     counts: split, n, of the splits that exist, evaluation lists included. A row with a split that is missing or of another size than the
     budget (TARGET_BUDGET for a target; any for the full source), or without its evaluation list, is left out, or raises if strict.
     """
-    records = config_records(grid, root).join(grid.select("run_id", "source_method"), "run_id")
+    records = config_records(grid, root, ["source_method"])
     parts = records.select("run_id", "source_method", F.explode("domains").alias("d")).join(counts.select(F.col("split").alias("_split"), "n"), F.col("d.split") == F.col("_split"), "left")
     whole = (F.col("source_method") == "full_source") & (F.col("d.name") == "source")
     wrong = parts.where(F.col("n").isNull() | (~whole & (F.col("n") != F.col("d.count")))).select("run_id", F.col("d.split").alias("split"), "n")

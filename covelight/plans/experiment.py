@@ -115,7 +115,7 @@ def _(spark, sf):
 
 def _counts(spark, sf):
     """Sizes of all splits of the grid, one of them wrong."""
-    domains = grid.config_records(_grid(spark, sf)).select(F.explode("domains").alias("d")).select("d.name", "d.split", F.col("d.count").alias("n")).distinct()
+    domains = grid.config_records(_grid(spark, sf)).select(F.explode("domains").alias("d")).select("d.split", F.col("d.count").alias("n"))
     full = F.when(F.col("split").endswith("/full_source"), 500).otherwise(F.col("n"))
     return domains.groupBy("split").agg(F.max(full).cast("long").alias("n")).withColumn("n", F.when(F.col("split").endswith("T2/coreset_50"), F.col("n") - 1).otherwise(F.col("n")))
 
@@ -123,8 +123,7 @@ def _counts(spark, sf):
 @query("grid_violations", f"""with {GRID} select 'row_count' as "check", 'manifest' as item, count(*)::varchar as found, '900' as expected from gr union all select 'split_count', run_id || '/source', '49', '50' from gr where target = 'T2' and budget = 50 and source_method = 'coreset'
 union all select 'save_dir', run_id, 'elsewhere/' || run_id, 'results' from gr where target = 'T3' and source_method = 'orient' and target_method = 'lada' union all select 'skipped', 'skipped_count', null, null""")
 def _(spark, sf):
-    runs_ = _grid(spark, sf)
-    manifest = grid.config_records(runs_).join(runs_.select("run_id", "target", "budget", "source_method", "target_method"), "run_id")
+    manifest = grid.config_records(_grid(spark, sf), keep=["target", "budget", "source_method", "target_method"])
     odd = (F.col("target") == "T3") & (F.col("source_method") == "orient") & (F.col("target_method") == "lada")
     manifest = manifest.withColumn("save_dir", F.when(odd, F.concat(F.lit("elsewhere/"), "run_id")).otherwise(F.col("save_dir")))
     pools = targets(spark, sf).withColumn("pool", F.lit(500).cast("long"))

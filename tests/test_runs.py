@@ -121,3 +121,13 @@ def test_entry_point_without_the_text_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'seeded_greedy_select' in q and not [n for n in q if n.startswith('op') and n[2].isdigit()] and 'pipeline' not in q; e.oracle_sql()"
     env = {**os.environ, "PYTHONPATH": str(tmp_path)}
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=False).returncode == 0
+
+
+def test_a_grid_of_one_file_of_targets_is_expanded_by_several_tasks(spark):
+    targets = spark.range(5000).coalesce(1).select(F.concat(F.lit("T"), F.col("id").cast("string")).alias("target"))
+    rows = grid.method_grid(spark, targets, [50, 100])
+    assert rows.rdd.getNumPartitions() == 3
+    one = grid.method_grid(spark, ["T7"], [50, 100])
+    assert rows.where("target = 'T7'").exceptAll(one).count() == 0 and rows.count() == 5000 * one.count()
+    kept = grid.config_records(one, keep=["source_method"])
+    assert "Join" not in kept._jdf.queryExecution().executedPlan().toString() and kept.columns[-1] == "source_method"
