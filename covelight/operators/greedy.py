@@ -183,37 +183,28 @@ def lazy_mutual_information(pool: DataFrame, budget: int, eta: float = 1.0, batc
     Gains only fall, so each row's last known gain bounds the present one. A table keeps these bounds; the `batch` rows of the
     highest ones come to the driver, and a pass gives their present gains and, for each two of them, the gain of one once the
     other is picked. So a pass settles two picks, and more while no other row's upper bound reaches a row's lower one, or
-    none when a row left behind may be better; then the fresh gains are the new bounds of the batch. The driver holds
+    none when a row left behind may be better; then the fresh gains are the new bounds of the batch and one more pass works out all rows
+    whose bounds reach the best fresh gain, so a pick takes two passes at most besides, however near to each other the gains lie. The driver holds
     `batch` rows, their pairs and `budget` picks, whatever the size of the pool.
     """
-    from .similarity import BLOCK, _packed, blocks_met
-
     spark = pool.sparkSession
     pool = cut(pool.where("v is not null").select(F.col("pos").cast("long").alias("pos"), F.col("v").cast("array<double>").alias("v"), F.greatest(F.array_max("q"), F.lit(0.0)).cast("double").alias("cap")))
-    left = _packed(pool, "pos", "v", "l", BLOCK)
-    right = _packed(pool.withColumn("v", F.concat("v", F.array("cap"))), "pos", "v", "r", BLOCK)
-
-    def first(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for row in pdf.itertuples():
-                ids = np.frombuffer(row.l_ids, np.int64)
-                x = np.frombuffer(row.l_v).reshape(len(ids), -1)
-                y = np.frombuffer(row.r_v).reshape(-1, x.shape[1] + 1)
-                yield pd.DataFrame({"pos": ids, "gain": np.minimum(np.maximum(x @ y[:, :-1].T, 0.0), eta * y[None, :, -1]).sum(1)})
-
-    bounds = cut(blocks_met(left, right).mapInPandas(first, "pos long, gain double").groupBy("pos").agg(F.round(F.sum("gain"), 9).alias("gain")).join(pool.select("pos", "v"), "pos"))
+    packed = _pool_blocks(pool)
+    bounds = cut(_gains(pool, packed, [], eta).join(pool.select("pos", "v"), "pos"))
     picks: list[tuple[int, np.ndarray]] = []
     known: dict[int, float] = {}
-    passes, end = 0, min(budget, bounds.count())
+    passes, end, renewed = 0, min(budget, bounds.count()), 0
     while len(picks) < end:
         fresh = spark.createDataFrame(list(known.items()), "pos long, now double")  # a batch a pass
-        present = bounds.join(F.broadcast(fresh), "pos", "left").where(~F.col("pos").isin([p for p, _ in picks])) if known else bounds
+        left = bounds.where(~F.col("pos").isin([p for p, _ in picks]))
+        present = left.join(F.broadcast(fresh), "pos", "left") if known else left
         bound = F.coalesce("now", "gain") if known else F.col("gain")
-        rows = present.select("pos", "v", bound.alias("gain")).orderBy(F.desc("gain"), F.asc("pos")).limit(batch + 1).collect()
+        present = present.select("pos", "v", bound.alias("gain"))
+        rows = present.orderBy(F.desc("gain"), F.asc("pos")).limit(batch + 1).collect()
         rest = (rows[batch]["gain"], -rows[batch]["pos"]) if len(rows) > batch else (-np.inf, 0)
         rows = rows[:batch]
         own, after = _paired_gains(pool, np.array([r["v"] for r in rows]), [v for _, v in picks], eta)
-        passes += 1
+        passes, before = passes + 1, len(picks)
         known.update(zip((r["pos"] for r in rows), own.tolist(), strict=True))
         free, upper, lower = np.ones(len(rows), bool), own.copy(), own.copy()
         while free.any() and len(picks) < end:
@@ -229,10 +220,63 @@ def lazy_mutual_information(pool: DataFrame, budget: int, eta: float = 1.0, batc
             if (~free).sum() == 1:
                 lower = upper.copy()  # after one pick both are the gain itself
             upper, lower = np.round(upper, 9), np.round(lower, 9)
+        if len(picks) == before and renewed < before:  # once for the picks so far
+            renewed, passes = before, passes + 1
+            reach = F.col("gain") >= float(own.max())
+            now = _gains(present.where(reach).select("pos", "v"), packed, [v for _, v in picks], eta).withColumnRenamed("gain", "now")
+            bounds, known = cut(present.join(now, "pos", "left").select("pos", "v", F.least("gain", F.coalesce("now", "gain")).alias("gain"))), {}
     values = _gains_in_order(pool, [v for _, v in picks], eta)
     return [(p, x) for (p, _), x in zip(picks, values, strict=True)], passes + 1
 
 
+def _block_size(df: DataFrame, groups: int) -> int:
+    """Rows of a block, so that there are `groups` of them, fewer of few rows and more where a block would be too large."""
+    from .neighbours import BLOCK, GROUP
+
+    first = df.select(F.size("v")).first()
+    most = max(1, GROUP // max(1, first[0] if first else 1))
+    return max(BLOCK, min(most, -(-df.count() // groups)))
+
+
+def _pool_blocks(pool: DataFrame) -> DataFrame:
+    from .neighbours import ASKED
+    from .similarity import _packed
+
+    return cut(_packed(pool.withColumn("v", F.concat("v", F.array("cap"))), "pos", "v", "r", _block_size(pool, ASKED)))
+
+
+def _gains(candidates: DataFrame, right: DataFrame, had: list[np.ndarray], eta: float) -> DataFrame:
+    """(pos, gain) of each candidate (pos, v) over the pool's blocks after the picks `had`. Both sides lie in a few blocks, and each meets each in
+    a task of its own, so a row is copied once for each block of the other side."""
+    from .neighbours import ASKING
+    from .similarity import _packed
+
+    left = cut(_packed(candidates, "pos", "v", "l", _block_size(candidates, ASKING)))
+    asking, asked = ((df.agg(F.max(c)).first()[0] or 0) + 1 for df, c in ((left, "l_block"), (right, "r_block")))
+
+    def add(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"pos": [], "gain": []})
+        ids = np.frombuffer(a["l_ids"].iloc[0], np.int64)
+        x = np.frombuffer(a["l_v"].iloc[0]).reshape(len(ids), -1)
+        y = np.frombuffer(b["r_v"].iloc[0]).reshape(-1, x.shape[1] + 1)
+        gain = np.zeros(len(ids))
+        for at in range(0, len(y), 512):
+            v, cap = y[at : at + 512, :-1], eta * y[at : at + 512, -1]
+            now = _capped(v, cap, had)
+            for i in range(0, len(x), 512):
+                s = x[i : i + 512] @ v.T
+                np.minimum(s, cap, out=s)
+                s -= now
+                gain[i : i + 512] += np.maximum(s, 0.0, out=s).sum(1)
+        return pd.DataFrame({"pos": ids, "gain": gain})
+
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    dealt = lambda df: df.repartition(asking * asked, "l_block", "r_block").groupBy("l_block", "r_block")
+    met = dealt(left.withColumn("r_block", numbers(asked))).cogroup(dealt(right.withColumn("l_block", numbers(asking))))
+    return met.applyInPandas(add, "pos long, gain double").groupBy("pos").agg(F.round(F.sum("gain"), 9).alias("gain"))
+
+
 def _capped(v: np.ndarray, cap: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """What each row has already: its best similarity to the picks, up to its cap."""
     return np.minimum(np.maximum((v @ np.array(others).T).max(1), 0.0), cap) if others else np.zeros(len(v))

@@ -99,6 +99,16 @@ def test_mutual_information_takes_less_than_a_pass_a_pick(pool):
     assert passes <= 0.7 * 24
 
 
+def test_mutual_information_of_gains_close_together_takes_few_passes(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 24))  # after a pick every old gain is far above every new one
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    q = np.maximum(v @ v[:6].T, 0)
+    df = spark.createDataFrame([(i, v[i].tolist(), q[i].tolist()) for i in range(300)], "pos long, v array<double>, q array<double>")
+    chosen, passes = greedy.lazy_mutual_information(df, 5, batch=4)
+    assert [p for p, _ in chosen] == plain_mutual_information(v, q.max(1), 5)[0] and passes <= 3 * 5 + 1
+
+
 def test_last_pick_scores_nothing(spark):
     order = spark.createDataFrame([(1, 5, 0.0), (2, 6, 0.0), (3, 7, 0.0)], "rank int, pos long, value double")
     got = {r["pos"]: r["facility"] for r in greedy.rank_scores(order, spark.createDataFrame([(i,) for i in range(4, 9)], "pos long")).collect()}
