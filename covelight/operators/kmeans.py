@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ from ..functions.lineage import cut
 STARTS, MOVES, TOLERANCE, SEED = 10, 300, 1e-4, 2025
 #: Rounds of candidates, and candidates a round and start as a multiple of k.
 ROUNDS, OVERSAMPLING = 5, 2
-#: Rows held as one matrix.
-CHUNK = 4096
+#: Rows held as one matrix; distances worked out at a time.
+CHUNK, DISTANCES = 4096, 1 << 20
 DIGITS = 12
 
 
@@ -102,25 +103,38 @@ def _draw(rows: DataFrame, candidates: list[np.ndarray], count: int, seed: int,
     return [np.array([*c, *new], np.float64) if len(new) else c for c, new in zip(candidates, out, strict=True)]
 
 
-def _sums(rows: DataFrame, sets: list[np.ndarray], vectors: bool = True) -> list[tuple[np.ndarray, float]]:
-    """For each set of centres: per centre the weighted sum of its rows' vectors and their weight (k x (d + 1), or the weight
-    alone), and the set's inertia. Each task adds up its own rows and gives one row; there are as many tasks as cores."""
-    width = sets[0].shape[1] if vectors else 0
+def _held(rows: DataFrame) -> RDD:
+    """(v, weight) of _packed's rows as a cached RDD: a move is then a small job without planning, whose tasks find their rows in memory."""
+    return rows.select("v", "weight").rdd.map(lambda r: (bytes(r[0]), bytes(r[1]))).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros((len(c) + 1, width + 1)) for c in sets]
-        for _, v, weight in _chunks(batches):
-            rows_ = np.column_stack([v * weight[:, None], weight]) if vectors else weight[:, None]
-            for t, c in zip(totals, sets, strict=True):
-                d = squared_distances(v, c)
-                label = d.argmin(1)
-                t[:-1] += (label == np.arange(len(c))[:, None]).astype(np.float64) @ rows_
-                t[-1, -1] += (d[np.arange(len(d)), label] * weight).sum()
-        yield pa.RecordBatch.from_pydict({"t": pa.array([np.concatenate(totals).tobytes()], pa.binary())})
 
-    found = sum(np.frombuffer(r["t"]).reshape(-1, width + 1) for r in rows.mapInArrow(add, "t binary").collect())  # a row a core
-    parts = np.split(found, np.cumsum([len(c) + 1 for c in sets])[:-1])
-    return [(t[:-1], float(t[-1, -1])) for t in parts]
+def _sums(rows: RDD, sets: list[np.ndarray], vectors: bool = True) -> list[tuple[np.ndarray, float]]:
+    """For each set of centres: per centre the weighted sum of its rows' vectors and their weight (k x (d + 1), or the weight
+    alone), and the set's inertia. Each task adds up its own rows and gives one row; there are as many tasks as cores."""
+    every, ends = np.concatenate(sets), np.cumsum([len(c) for c in sets])
+    width = every.shape[1] if vectors else 0
+
+    def add(parts: Iterator[tuple[bytes, bytes]]) -> Iterator[bytes]:
+        total, inertia = np.zeros((len(every), width + 1)), np.zeros((len(sets), width + 1))
+        step = max(1, DISTANCES // len(every))
+        for v_, weight_ in parts:
+            weights = np.frombuffer(weight_)
+            vs = np.frombuffer(v_).reshape(len(weights), -1)
+            for a in range(0, len(weights), step):
+                v, weight = vs[a : a + step], weights[a : a + step]
+                rows_ = np.column_stack([v * weight[:, None], weight]) if vectors else weight[:, None]
+                d, at = squared_distances(v, every), np.arange(len(v))
+                own = np.zeros(d.shape)
+                for s, end in enumerate(ends):
+                    first = end - len(sets[s])
+                    label = first + d[:, first:end].argmin(1)
+                    own[at, label] = 1.0
+                    inertia[s, -1] += (d[at, label] * weight).sum()
+                total += own.T @ rows_
+        yield np.concatenate([total, inertia]).tobytes()
+
+    found = sum(np.frombuffer(t).reshape(-1, width + 1) for t in rows.mapPartitions(add).collect())  # a row a core
+    return [(t, float(found[len(every) + s, -1])) for s, t in enumerate(np.split(found[: len(every)], ends[:-1]))]
 
 
 def plus_plus(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -179,24 +193,28 @@ def kmeans(rows: DataFrame, k: int, starts: int = STARTS, moves: int = MOVES, to
         raise ValueError("k-means needs a row of positive weight")
     for step in range(1, ROUNDS + 1):
         sets = _draw(rows, sets, OVERSAMPLING * k, seed, step)
-    weights = [w[:, 0] for w, _ in _sums(rows, sets, vectors=False)]
-    sets = [plus_plus(c, np.maximum(w, 1e-12), min(k, len(c)), seed + s) for s, (c, w) in enumerate(zip(sets, weights, strict=True))]
     least = _variance(rows) * tolerance
     inertia, made = [np.inf] * starts, [0] * starts
     going = list(range(starts))
-    for _ in range(moves):
-        if not going:
-            break
-        after = []
-        for s, (sums, _) in zip(going, _sums(rows, [sets[s] for s in going]), strict=True):
-            new = _moved(rows, sets[s], sums)
-            shift = float(((new - sets[s]) ** 2).sum())
-            sets[s], made[s] = new, made[s] + 1
-            if shift > max(least, 0.0):
-                after.append(s)
-        going = after
-    for s, (_, x) in enumerate(_sums(rows, sets, vectors=False)):
-        inertia[s] = float(f"{x:.10g}")
+    held = _held(rows)
+    try:
+        weights = [w[:, 0] for w, _ in _sums(held, sets, vectors=False)]
+        sets = [plus_plus(c, np.maximum(w, 1e-12), min(k, len(c)), seed + s) for s, (c, w) in enumerate(zip(sets, weights, strict=True))]
+        for _ in range(moves):
+            if not going:
+                break
+            after = []
+            for s, (sums, _) in zip(going, _sums(held, [sets[s] for s in going]), strict=True):
+                new = _moved(rows, sets[s], sums)
+                shift = float(((new - sets[s]) ** 2).sum())
+                sets[s], made[s] = new, made[s] + 1
+                if shift > max(least, 0.0):
+                    after.append(s)
+            going = after
+        for s, (_, x) in enumerate(_sums(held, sets, vectors=False)):
+            inertia[s] = float(f"{x:.10g}")
+    finally:
+        held.unpersist()
     best = int(np.argmin(inertia))
     return Clusters(sets[best], inertia[best], best, made[best], tuple(inertia))
 

@@ -169,3 +169,40 @@ def test_rows_of_one_partition_are_dealt_to_all_cores(spark):
     packed = module._packed(frame(spark, v, w).coalesce(1))
     assert packed.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert packed.count() > 1
+
+
+def test_moves_read_rows_held_in_memory(spark, monkeypatch):
+    """However many moves: no query more is planned, and nothing stays held."""
+    from covelight.operators import kmeans as module
+
+    v = np.random.default_rng(4).normal(size=(300, 3))
+    rows = frame(spark, v, np.ones(300))
+    planned, old = [], type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, *a, **k: (planned.append(1), old(self, *a, **k))[1])
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    counts = []
+    for moves in (2, 12):
+        planned.clear()
+        assert module.kmeans(rows, 4, starts=2, moves=moves, tolerance=0.0).moves <= moves
+        counts.append(len(planned))
+    assert counts[0] == counts[1]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
+def test_sums_by_parts_of_a_matrix(spark, monkeypatch):
+    """Sets of unequal sizes, distances worked out for two rows at a time: sums and inertia of a plain version."""
+    from covelight.operators import kmeans as module
+
+    rng = np.random.default_rng(9)
+    v, w = rng.normal(size=(37, 3)), rng.uniform(0.1, 2.0, 37)
+    sets = [rng.normal(size=(4, 3)), rng.normal(size=(2, 3)), rng.normal(size=(5, 3))]
+    monkeypatch.setattr(module, "DISTANCES", 22)
+    held = module._held(module._packed(frame(spark, v, w)))
+    for vectors in (True, False):
+        for c, (sums, inertia) in zip(sets, module._sums(held, sets, vectors), strict=True):
+            d = ((v[:, None] - c[None]) ** 2).sum(2)
+            label = d.argmin(1)
+            whole = np.array([[*((v[label == i] * w[label == i, None]).sum(0) if vectors else ()), w[label == i].sum()] for i in range(len(c))])
+            np.testing.assert_allclose(sums, whole, atol=1e-9)
+            assert abs(inertia - (d.min(1) * w).sum()) < 1e-9
+    held.unpersist()
