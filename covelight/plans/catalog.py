@@ -70,17 +70,27 @@ def slice_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def source_scores(spark: SparkSession, sf: str) -> DataFrame:
-    own = cut(slice_scores(spark, sf).join(source(spark, sf).select("pos"), "pos"))  # each scale reads it again
+def _scores(own: DataFrame) -> DataFrame:
     rows = subjects.reliability_utility(own, {"unc": 0.5, "li": 0.5})
     return scoring.normalize(scoring.normalize(rows, "fg", "I"), "late", "L").select("pos", "R", "I", "L")
 
 
+def source_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _scores(cut(slice_scores(spark, sf).join(source(spark, sf).select("pos"), "pos")))  # each scale reads it again
+
+
 def scored_source(spark: SparkSession, sf: str) -> DataFrame:
     """Source rows with a slice; which is all that a score needs."""
     return source(spark, sf).join(_t(spark, sf, "lineitem").select(F.col("l_partkey").alias("pos")), "pos", "left_semi")
 
 
+def scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """scored_source, support and source_scores with one pass over the slices, which are most of the input."""
+    rows = cut(source(spark, sf))
+    own = cut(slice_scores(spark, sf).join(rows.select("pos"), "pos"))
+    return rows.join(own.select("pos"), "pos", "left_semi"), support(spark, sf), _scores(own)
+
+
 # SQL parts. Lists are DOUBLE[]; N(x) is the min-max scale.
 def _n(x: str, over: str = "") -> str:
     lo, hi = f"min({x}) over ({over})", f"max({x}) over ({over})"
@@ -454,13 +464,12 @@ case when {_V3} >= 2 then 'multi' when f_top then 'facility_only' when r_top the
 
 
 def _flagged(spark, sf):
-    src = scored_source(spark, sf)
-    return curation.tops(curation.signals(src, support(spark, sf), source_scores(spark, sf), CONFIG), CONFIG)
+    return curation.tops(curation.signals(*scored(spark, sf), CONFIG), CONFIG)
 
 
 @query("target_signals", f"with recursive {SIGNALS} select pos, {', '.join(f'{_r(c)} as {chr(34)}{c}{chr(34)}' for c in ('R', 'I', 'L', 'M', 'D', 'F', 'A'))} from wide")
 def _(spark, sf):
-    return _rounded(curation.signals(scored_source(spark, sf), support(spark, sf), source_scores(spark, sf), CONFIG).select("pos", "R", "I", "L", "M", "D", "F", "A"), "R", "I", "L", "M", "D", "F", "A")
+    return _rounded(curation.signals(*scored(spark, sf), CONFIG).select("pos", "R", "I", "L", "M", "D", "F", "A"), "R", "I", "L", "M", "D", "F", "A")
 
 
 @query("top_memberships", f"with recursive {TOPS} select pos, r_top, i_top, l_top, f_top, u_top, h_top, {_r('dl')} as late_distinctness from tp")
@@ -471,8 +480,9 @@ def _(spark, sf):
 @query("diagnostics_gates", f"with recursive {DIAG} select {', '.join(f'{_r(a)} as {b}' for a, b in (('trust', 'trust'), ('late_distinctness', 'late_distinctness'), ('alignment', 'alignment'), ('s1', 's_sparse'), ('s2', 's_coverage'), ('s3', 's_consensus'), ('g1', 'gate_sparse'), ('g2', 'gate_coverage'), ('g3', 'gate_consensus')))} from dg")
 def _(spark, sf):
     names = ("trust", "late_distinctness", "alignment", "s_sparse", "s_coverage", "s_consensus", "gate_sparse", "gate_coverage", "gate_consensus")
-    trust = similarity.coverage_trust(scored_source(spark, sf), support(spark, sf))
-    return _rounded(curation.diagnostics(_flagged(spark, sf), trust, CONFIG).select(*names), *names)
+    src, sup, scores = scored(spark, sf)
+    flagged = curation.tops(curation.signals(src, sup, scores, CONFIG), CONFIG)
+    return _rounded(curation.diagnostics(flagged, similarity.coverage_trust(src, sup), CONFIG).select(*names), *names)
 
 
 @query("consensus_score", f'with recursive {CONS} select pos, multi, {_r("consensus")} as consensus, grp as "group" from cs')
@@ -486,7 +496,7 @@ def _(spark, sf):
 
 
 def _select(spark, sf):
-    return curation.select_sources(scored_source(spark, sf), support(spark, sf), source_scores(spark, sf), CONFIG)
+    return curation.select_sources(*scored(spark, sf), CONFIG)
 
 
 @query("quota_seed")

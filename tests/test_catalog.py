@@ -29,3 +29,14 @@ def test_query_agrees_with_sql(spark, duck, sf, name):
 def test_flagship(spark, sf):
     got = catalog.QUERIES[catalog.FLAGSHIP](spark, sf).toPandas()
     assert len(got) == catalog.CONFIG.budget == got["pos"].nunique()
+
+
+def test_a_selection_reads_the_slices_once(spark, sf, monkeypatch):
+    want = [catalog.scored_source(spark, sf), catalog.support(spark, sf), catalog.source_scores(spark, sf)]
+    read, old = [], catalog._t
+    monkeypatch.setattr(catalog, "_t", lambda spark, sf, name: (read.append(name), old(spark, sf, name))[1])
+    monkeypatch.setattr(catalog.curation, "select_sources", lambda source, support, scores, config: (source, support, scores))
+    got = catalog._select(spark, sf)
+    assert read.count("lineitem") == 1
+    for a, b in zip(got, want, strict=True):
+        assert a.columns == b.columns and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
