@@ -38,9 +38,9 @@ def dot(a: str | Column, b: str | Column) -> Column:
 
 
 def unit(v: str | Column) -> Column:
-    """v / (|v| + 1e-8)."""
+    """v / (|v| + 1e-8). The length is an array's only element, as inside the inner lambda it would be worked out for each component."""
     size = F.sqrt(F.aggregate(col(v), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))) + NORM_EPSILON
-    return F.transform(col(v), lambda x: x.cast("double") / size)
+    return F.get(F.transform(F.array(size), lambda s: F.transform(col(v), lambda x: x.cast("double") / s)), F.lit(0))
 
 
 def clipped_cosine(a: str | Column, b: str | Column) -> Column:

@@ -57,3 +57,10 @@ def test_quotas_add_up(mass, budget):
     quota = cluster_quotas(dict(enumerate(mass)), 1000, budget)
     assert min(quota.values()) >= 1
     assert sum(quota.values()) == max(budget, len(mass))
+
+
+def test_a_length_is_worked_out_once_a_vector(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([],), (None,), ([1.0, None],)], "v array<double>").select(scoring.unit("v").alias("u"))
+    assert "/ (SQRT(" not in df._jdf.queryExecution().optimizedPlan().toString()  # a component is divided by a number at hand
+    got = [r["u"] for r in df.collect()]
+    assert got[0] == [3.0 / (5.0 + 1e-8), 4.0 / (5.0 + 1e-8)] and got[1:] == [[], None, [None, None]]
