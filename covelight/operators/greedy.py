@@ -166,6 +166,12 @@ def rank_scores(order: DataFrame, pool: DataFrame) -> DataFrame:
 
 #: Rows that one pass of mutual_information looks at pair by pair.
 PAIRED = 64
+#: Rows of a block at least, so that a task has more to do than to start; candidates and pool rows of one matrix product.
+LEAST, TALL, WIDE = 8192, 512, 512
+#: The longest vector and largest cap that single precision is used for.
+SINGLE = 1e9
+#: Twice the rounding of single precision; what a bound is raised by, as gains are compared at nine digits.
+ROUNDING, DIGITS = 1.2e-7, 1e-9
 
 
 def mutual_information(pool: DataFrame, budget: int, eta: float = 1.0, stop_at_negative: bool = False, batch: int = PAIRED) -> DataFrame:
@@ -180,128 +186,187 @@ def mutual_information(pool: DataFrame, budget: int, eta: float = 1.0, stop_at_n
 def lazy_mutual_information(pool: DataFrame, budget: int, eta: float = 1.0, batch: int = PAIRED) -> tuple[list[tuple[int, float]], int]:
     """The picks with their gains, and how many passes over the pool they took.
 
-    Gains only fall, so each row's last known gain bounds the present one. A table keeps these bounds; the `batch` rows of the
-    highest ones come to the driver, and a pass gives their present gains and, for each two of them, the gain of one once the
-    other is picked. So a pass settles two picks, and more while no other row's upper bound reaches a row's lower one, or
-    none when a row left behind may be better; then the fresh gains are the new bounds of the batch and one more pass works out all rows
-    whose bounds reach the best fresh gain, so a pick takes two passes at most besides, however near to each other the gains lie. The driver holds
-    `batch` rows, their pairs and `budget` picks, whatever the size of the pool.
+    Rows of equal vectors and caps gain and add alike, so they are one row with a number of copies. Gains only fall, so each row's last known gain
+    bounds the present one. A table keeps these bounds with the number of picks they are of; the `batch` rows of the highest ones come to the driver, and
+    a pass gives their present gains and, for each two of them, the gain of one once the other is picked. So a pass settles two picks, and more while
+    no other row's upper bound reaches a row's lower one. Where more than `batch` rows may be better than the best one left of these, another pass
+    takes from their bounds what the picks since took from their gains: only pool rows that came nearer to the picks count there, between the similarity
+    they had and the one they have. Bounds are worked out in single precision, with its largest error added; where too many rows stay within that,
+    theirs are in double precision. The driver holds `batch` rows, their pairs and `budget` picks, whatever the size of the pool.
     """
-    spark = pool.sparkSession
-    pool = cut(pool.where("v is not null").select(F.col("pos").cast("long").alias("pos"), F.col("v").cast("array<double>").alias("v"), F.greatest(F.array_max("q"), F.lit(0.0)).cast("double").alias("cap")))
-    packed = _pool_blocks(pool)
-    bounds = cut(_gains(pool, packed, [], eta).join(pool.select("pos", "v"), "pos"))
+    pool = pool.where("v is not null").select(F.col("pos").cast("long").alias("pos"), F.col("v").cast("array<double>").alias("v"), F.greatest(F.array_max("q"), F.lit(0.0)).cast("double").alias("cap"))
+    rows = cut(pool.groupBy("v", "cap").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n")))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda x, y: x + y * y))
+    distinct, total, dims, largest = rows.agg(F.count(F.lit(1)), F.sum("n"), F.max(F.size("v")), F.max(F.greatest(length, F.abs(F.lit(eta) * F.col("cap"))))).first()
+    if not distinct or budget < 1:
+        return [], 0
+    right = _pool_blocks(rows, distinct, dims, eta)
+    every = rows.select("pos", "v", F.lit(0).alias("seen"))
+    # 0: the picks since are not in the bounds, 1: all bounds that matter are of single precision, 2: of double precision
+    exact = 1 if largest <= SINGLE else 2
+    gain = F.round("x", 9) if exact == 2 else F.col("x") + F.col("slack") + DIGITS
+    bounds = cut(every.join(_gains(every, distinct, right, [], exact == 1), "pos").select("pos", "v", "seen", gain.alias("gain")))
     picks: list[tuple[int, np.ndarray]] = []
     known: dict[int, float] = {}
-    passes, end, renewed = 0, min(budget, bounds.count()), 0
+    passes, end = 1, min(budget, total)
+    free_of = lambda df: df.where(~F.col("pos").isin([p for p, _ in picks]))
     while len(picks) < end:
-        fresh = spark.createDataFrame(list(known.items()), "pos long, now double")  # a batch a pass
-        left = bounds.where(~F.col("pos").isin([p for p, _ in picks]))
-        present = left.join(F.broadcast(fresh), "pos", "left") if known else left
-        bound = F.coalesce("now", "gain") if known else F.col("gain")
-        present = present.select("pos", "v", bound.alias("gain"))
-        rows = present.orderBy(F.desc("gain"), F.asc("pos")).limit(batch + 1).collect()
-        rest = (rows[batch]["gain"], -rows[batch]["pos"]) if len(rows) > batch else (-np.inf, 0)
-        rows = rows[:batch]
-        own, after = _paired_gains(pool, np.array([r["v"] for r in rows]), [v for _, v in picks], eta)
-        passes, before = passes + 1, len(picks)
-        known.update(zip((r["pos"] for r in rows), own.tolist(), strict=True))
-        free, upper, lower = np.ones(len(rows), bool), own.copy(), own.copy()
+        left = free_of(bounds)
+        if known:
+            fresh = pool.sparkSession.createDataFrame(list(known.items()), "pos long, now double")  # a batch a pass
+            left = left.join(F.broadcast(fresh), "pos", "left").select("pos", "v", "seen", F.least("gain", "now").alias("gain"))
+        found = left.orderBy(F.desc("gain"), F.asc("pos")).limit(batch + 1).collect()
+        rest = (found[batch]["gain"], -found[batch]["pos"]) if len(found) > batch else (-np.inf, 0)
+        found, before = found[:batch], len(picks)
+        own, after = _paired_gains(right, np.array([r["v"] for r in found]).reshape(len(found), dims), [v for _, v in picks])
+        passes += 1
+        if own.max(initial=0.0) <= 0 and rest[0] <= 0:
+            break
+        free, upper, lower = np.ones(len(found), bool), own.copy(), own.copy()
         while free.any() and len(picks) < end:
-            order = sorted(np.flatnonzero(free).tolist(), key=lambda c: (-lower[c], rows[c]["pos"]))
+            order = sorted(np.flatnonzero(free).tolist(), key=lambda c: (-lower[c], found[c]["pos"]))
             best = order[0]
-            key = lambda c, x: (x[c], -rows[c]["pos"])
-            if key(best, lower) < rest or any(key(c, upper) > key(best, lower) for c in order[1:]):
+            key = lambda c, x: (x[c], -found[c]["pos"])
+            if lower[best] <= 0 or key(best, lower) < rest or any(key(c, upper) > key(best, lower) for c in order[1:]):
                 break
             free[best] = False
-            picks.append((rows[best]["pos"], np.array(rows[best]["v"])))
+            picks.append((found[best]["pos"], np.array(found[best]["v"])))
             lost = own - after[:, best]
             upper, lower = np.minimum(upper, after[:, best]), lower - lost
             if (~free).sum() == 1:
                 lower = upper.copy()  # after one pick both are the gain itself
             upper, lower = np.round(upper, 9), np.round(lower, 9)
-        if len(picks) == before and renewed < before:  # once for the picks so far
-            renewed, passes = before, passes + 1
-            reach = F.col("gain") >= float(own.max())
-            now = _gains(present.where(reach).select("pos", "v"), packed, [v for _, v in picks], eta).withColumnRenamed("gain", "now")
-            bounds, known = cut(present.join(now, "pos", "left").select("pos", "v", F.least("gain", F.coalesce("now", "gain")).alias("gain"))), {}
-    values = _gains_in_order(pool, [v for _, v in picks], eta)
+        known.update((found[c]["pos"], float(upper[c])) for c in np.flatnonzero(free).tolist())
+        exact = 0 if len(picks) > before else exact
+        if len(picks) == end or len(picks) > before + 1 or exact == 2:
+            continue  # after more than one pick the lower bounds are poor
+        reach = free_of(left).where(F.col("gain") >= float(lower[free].max(initial=0.0)))
+        count, oldest = reach.agg(F.count(F.lit(1)), F.min("seen")).first()
+        if count > batch:
+            exact, passes, known = 1 if not exact and largest <= SINGLE else 2, passes + 1, {}
+            now = _gains(reach.select("pos", "v", "seen"), count, right, [v for _, v in picks], exact == 1, oldest if exact == 1 else None)
+            gain = F.round("x", 9) if exact == 2 else F.least(F.col("gain"), F.col("gain") - F.col("x") + F.col("slack") + DIGITS)
+            renewed = F.col("x").isNotNull()
+            both = free_of(bounds).join(now, "pos", "left")
+            bounds = cut(both.select("pos", "v", F.when(renewed, len(picks)).otherwise(F.col("seen")).alias("seen"), F.when(renewed, gain).otherwise(F.col("gain")).alias("gain")))
+    if len(picks) < end:  # nothing gains any more, copies of picks neither
+        more = free_of(pool).select("pos", "v").orderBy("pos").limit(end - len(picks)).collect()
+        picks += [(r["pos"], np.array(r["v"])) for r in more]
+    values = _gains_in_order(right, [v for _, v in picks])
     return [(p, x) for (p, _), x in zip(picks, values, strict=True)], passes + 1
 
 
-def _block_size(df: DataFrame, groups: int) -> int:
+@dataclass
+class PoolBlocks:
+    """A pool in `number` blocks: r_block, r_v: the vectors, behind each its cap and its number of copies."""
+
+    blocks: DataFrame
+    number: int
+    dims: int
+
+
+def _some_rows(block: bytes, dims: int) -> Iterator[np.ndarray]:
+    y = np.frombuffer(block).reshape(-1, dims + 2)
+    return (y[at : at + WIDE] for at in range(0, len(y), WIDE))
+
+
+def _block_size(count: int, dims: int, groups: int) -> int:
     """Rows of a block, so that there are `groups` of them, fewer of few rows and more where a block would be too large."""
-    from .neighbours import BLOCK, GROUP
+    from .neighbours import GROUP
 
-    first = df.select(F.size("v")).first()
-    most = max(1, GROUP // max(1, first[0] if first else 1))
-    return max(BLOCK, min(most, -(-df.count() // groups)))
+    return min(max(1, GROUP // max(1, dims)), max(LEAST, -(-count // groups)))
 
 
-def _pool_blocks(pool: DataFrame) -> DataFrame:
+def _pool_blocks(rows: DataFrame, count: int, dims: int, eta: float) -> PoolBlocks:
     from .neighbours import ASKED
     from .similarity import _packed
 
-    return cut(_packed(pool.withColumn("v", F.concat("v", F.array("cap"))), "pos", "v", "r", _block_size(pool, ASKED)))
+    size = _block_size(count, dims, ASKED)
+    some = rows.where("cap > 0").withColumn("v", F.concat("v", F.array(F.lit(eta) * F.col("cap"), F.col("n").cast("double"))))  # others add nothing
+    return PoolBlocks(cut(_packed(some, "pos", "v", "r", size, count)), -(-count // size), dims)
 
 
-def _gains(candidates: DataFrame, right: DataFrame, had: list[np.ndarray], eta: float) -> DataFrame:
-    """(pos, gain) of each candidate (pos, v) over the pool's blocks after the picks `had`. Both sides lie in a few blocks, and each meets each in
-    a task of its own, so a row is copied once for each block of the other side."""
+def _gains(candidates: DataFrame, count: int, right: PoolBlocks, had: list[np.ndarray], single: bool, oldest: int | None = None) -> DataFrame:
+    """(pos, x, slack, looked) of each of the `count` candidates (pos, v, seen) over the pool's blocks after the picks `had`. x: its gain or, where `oldest` is
+    the least `seen`, what the picks after its first `seen` took from its gain; slack: how far off x is at most in single precision; looked: how many pool
+    rows were compared. Both sides lie in a few blocks, and each meets each in a task of its own, so a row is copied once for each block of the other side."""
     from .neighbours import ASKING
     from .similarity import _packed
 
-    left = cut(_packed(candidates, "pos", "v", "l", _block_size(candidates, ASKING)))
-    asking, asked = ((df.agg(F.max(c)).first()[0] or 0) + 1 for df, c in ((left, "l_block"), (right, "r_block")))
+    size, dims = _block_size(count, right.dims, ASKING), right.dims
+    asking, kind = -(-count // size), np.float32 if single else np.float64
+    left = _packed(candidates.withColumn("v", F.concat("v", F.array(F.col("seen").cast("double")))), "pos", "v", "l", size, count, kind)
+
+    def counts(y: np.ndarray, seen: int) -> tuple[np.ndarray, np.ndarray]:
+        """The similarities between which pool rows count for candidates that have `seen` picks."""
+        now = _capped(y, had)
+        return (now, y[:, -2]) if oldest is None else (_capped(y, had[:seen]), now)
+
+    def touched(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for number, block in zip(pdf["r_block"], pdf["r_v"], strict=True):
+                kept = [y[np.less(*counts(y, oldest or 0))].tobytes() for y in _some_rows(block, dims)]
+                yield pd.DataFrame({"r_block": [number], "r_v": [b"".join(kept)]})
 
     def add(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"pos": [], "gain": []})
+            return pd.DataFrame({"pos": [], "x": [], "slack": [], "looked": []})
         ids = np.frombuffer(a["l_ids"].iloc[0], np.int64)
-        x = np.frombuffer(a["l_v"].iloc[0]).reshape(len(ids), -1)
-        y = np.frombuffer(b["r_v"].iloc[0]).reshape(-1, x.shape[1] + 1)
-        gain = np.zeros(len(ids))
-        for at in range(0, len(y), 512):
-            v, cap = y[at : at + 512, :-1], eta * y[at : at + 512, -1]
-            now = _capped(v, cap, had)
-            for i in range(0, len(x), 512):
-                s = x[i : i + 512] @ v.T
-                np.minimum(s, cap, out=s)
-                s -= now
-                gain[i : i + 512] += np.maximum(s, 0.0, out=s).sum(1)
-        return pd.DataFrame({"pos": ids, "gain": gain})
+        x = np.frombuffer(a["l_v"].iloc[0], kind).reshape(len(ids), -1)
+        order = np.argsort(x[:, -1], kind="stable")
+        ids, x, seen = ids[order], x[order, :-1], x[order, -1].astype(int)
+        length = np.linalg.norm(x, axis=1).astype(np.float64)
+        starts = np.flatnonzero(np.append(True, seen[1:] != seen[:-1])) if oldest is not None else np.zeros(1, int)
+        spans = list(zip(seen[starts].tolist(), starts.tolist(), np.append(starts[1:], len(ids)).tolist(), strict=True))
+        gain, slack, looked = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        for y in _some_rows(b["r_v"].iloc[0], dims):
+            for since, start, end in spans:
+                low, high = counts(y, since)
+                use = low < high
+                n = y[use, -1]
+                w, low, high = y[use, :-2] * n[:, None], (low[use] * n).astype(kind), (high[use] * n).astype(kind)
+                if single:
+                    slack[start:end] += ROUNDING * ((dims + 8) * np.linalg.norm(w, axis=1).sum() * length[start:end] + 32 * high.sum(dtype=np.float64)) + 1e-30
+                looked[start:end] += len(n)
+                w = w.astype(kind).T
+                for i in range(start, end if len(n) else start, TALL):
+                    j = min(i + TALL, end)
+                    s = x[i:j] @ w
+                    np.minimum(s, high, out=s)
+                    s -= low
+                    gain[i:j] += np.maximum(s, 0, out=s).sum(1)
+        return pd.DataFrame({"pos": ids, "x": gain, "slack": slack, "looked": looked})
 
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    dealt = lambda df: df.repartition(asking * asked, "l_block", "r_block").groupBy("l_block", "r_block")
-    met = dealt(left.withColumn("r_block", numbers(asked))).cogroup(dealt(right.withColumn("l_block", numbers(asking))))
-    return met.applyInPandas(add, "pos long, gain double").groupBy("pos").agg(F.round(F.sum("gain"), 9).alias("gain"))
+    dealt = lambda df: df.repartition(asking * right.number, "l_block", "r_block").groupBy("l_block", "r_block")
+    asked = right.blocks.select("r_block", "r_v").mapInPandas(touched, "r_block long, r_v binary")
+    met = dealt(left.withColumn("r_block", numbers(right.number))).cogroup(dealt(asked.withColumn("l_block", numbers(asking))))
+    found = met.applyInPandas(add, "pos long, x double, slack double, looked long")
+    return found.groupBy("pos").agg(*(F.sum(c).alias(c) for c in ("x", "slack", "looked")))
 
 
-def _capped(v: np.ndarray, cap: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """What each row has already: its best similarity to the picks, up to its cap."""
-    return np.minimum(np.maximum((v @ np.array(others).T).max(1), 0.0), cap) if others else np.zeros(len(v))
+def _capped(y: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """What each row of a pool's block has already: its best similarity to the picks, up to its cap."""
+    return np.minimum(np.maximum((y[:, :-2] @ np.array(others).T).max(1), 0.0), y[:, -2]) if others else np.zeros(len(y))
 
 
-def _paired_gains(pool: DataFrame, c: np.ndarray, had: list[np.ndarray], eta: float) -> tuple[np.ndarray, np.ndarray]:
+def _paired_gains(pool: PoolBlocks, c: np.ndarray, had: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Gains of the candidates c, and after[a, b], the gain of a once b is picked too: a row adds the part of its gain from a that
     exceeds its gain from b."""
-    k = len(c)
+    k, dims = len(c), pool.dims
 
     def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, after = np.zeros(k), np.zeros((k, k))
         for pdf in parts:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                v, cap = _matrix(part["v"], len(part)), eta * part["cap"].to_numpy(np.float64)
-                now = _capped(v, cap, had)
-                gain = np.maximum(np.minimum(v @ c.T, cap[:, None]) - now[:, None], 0.0)
+            for y in (y for block in pdf["r_v"] for y in _some_rows(block, dims)):
+                gain = np.maximum(np.minimum(y[:, :-2] @ c.T, y[:, -2:-1]) - _capped(y, had)[:, None], 0.0) * y[:, -1:]
                 own += gain.sum(0)
                 after += np.maximum(gain[:, :, None] - gain[:, None, :], 0.0).sum(0)
         a, b = np.indices((k, k))
         yield pd.DataFrame({"a": np.append(a.ravel(), np.arange(k)), "b": np.append(b.ravel(), np.full(k, -1)), "x": np.append(after.ravel(), own)})
 
     own, after = np.zeros(k), np.zeros((k, k))
-    for a, b, x in pool.select("v", "cap").mapInPandas(add, "a int, b int, x double").groupBy("a", "b").agg(F.sum("x")).collect():
+    for a, b, x in pool.blocks.select("r_v").mapInPandas(add, "a int, b int, x double").groupBy("a", "b").agg(F.sum("x")).collect():
         if b < 0:
             own[a] = round(x, 9)
         else:
@@ -309,19 +374,17 @@ def _paired_gains(pool: DataFrame, c: np.ndarray, had: list[np.ndarray], eta: fl
     return own, after
 
 
-def _gains_in_order(pool: DataFrame, picks: list[np.ndarray], eta: float) -> list[float]:
+def _gains_in_order(pool: PoolBlocks, picks: list[np.ndarray]) -> list[float]:
     """What each pick adds to those before it."""
+    dims = pool.dims
 
     def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(len(picks))
         for pdf in parts:
-            if len(pdf):
-                v, cap = _matrix(pdf["v"], len(pdf)), eta * pdf["cap"].to_numpy(np.float64)
-                best = np.maximum.accumulate(np.minimum(np.maximum(v @ np.array(picks).T, 0.0), cap[:, None]), axis=1)
-                total += np.diff(best, axis=1, prepend=0.0).sum(0)
+            for y in (y for block in pdf["r_v"] for y in _some_rows(block, dims)):
+                best = np.maximum.accumulate(np.minimum(np.maximum(y[:, :-2] @ np.array(picks).T, 0.0), y[:, -2:-1]), axis=1)
+                total += (np.diff(best, axis=1, prepend=0.0) * y[:, -1:]).sum(0)
         yield pd.DataFrame({"k": np.arange(len(picks)), "gain": total})
 
-    if not picks:
-        return []
-    found = dict(pool.select("v", "cap").mapInPandas(add, "k int, gain double").groupBy("k").agg(F.round(F.sum("gain"), 9)).collect())
-    return [found[k] for k in range(len(picks))]
+    found = dict(pool.blocks.select("r_v").mapInPandas(add, "k int, gain double").groupBy("k").agg(F.round(F.sum("gain"), 9)).collect())
+    return [found.get(k, 0.0) for k in range(len(picks))]

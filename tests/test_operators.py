@@ -109,6 +109,46 @@ def test_mutual_information_of_gains_close_together_takes_few_passes(spark):
     assert [p for p, _ in chosen] == plain_mutual_information(v, q.max(1), 5)[0] and passes <= 3 * 5 + 1
 
 
+def test_mutual_information_looks_at_copies_once_and_then_at_rows_that_came_nearer(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    q = np.maximum(v @ v[:6].T, 0)
+    copied = np.repeat(np.arange(300), 3)
+    df = spark.createDataFrame([(i, v[j].tolist(), q[j].tolist()) for i, j in enumerate(copied)], "pos long, v array<double>, q array<double>").repartition(4)
+    looked, gains = [], greedy._gains
+
+    def counted(*args):
+        found = gains(*args)
+        looked.append(found.agg(F.sum("looked")).first()[0])
+        return found
+
+    monkeypatch.setattr(greedy, "_gains", counted)
+    chosen, _ = greedy.lazy_mutual_information(df, 6, batch=4)
+    want, values = plain_mutual_information(v[copied], q[copied].max(1), 6)
+    assert [p for p, _ in chosen] == want and [x for _, x in chosen] == pytest.approx(values, abs=1e-7)
+    assert looked[0] <= 300 * 300 and len(looked) >= 5 and sum(looked) <= 3 * 300 * 300  # six picks, and all pairs of rows are nine times 300 * 300
+
+
+def test_mutual_information_of_copies_ends_where_nothing_gains(spark, pool):
+    v, q, _ = pool
+    v, q = np.repeat(v[:8], 40, axis=0), np.repeat(q[:8], 40, axis=0)
+    df = spark.createDataFrame([(i, v[i].tolist(), q[i].tolist()) for i in range(320)], "pos long, v array<double>, q array<double>").repartition(3)
+    chosen, passes = greedy.lazy_mutual_information(df, 100, batch=8)
+    assert [p for p, _ in chosen] == plain_mutual_information(v, q.max(1), 100)[0] and passes <= 10
+
+
+def test_mutual_information_of_gains_that_single_precision_cannot_tell_apart(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(60, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[20:] = v[0] + rng.normal(size=(40, 16)) * 1e-7  # their gains differ at the seventh digit
+    q = np.maximum(v @ (v[:6] + 0.1).T, 0)
+    df = spark.createDataFrame([(i, v[i].tolist(), q[i].tolist()) for i in range(60)], "pos long, v array<double>, q array<double>").repartition(3)
+    for batch in (2, 5):
+        assert [r["pos"] for r in greedy.mutual_information(df, 8, batch=batch).orderBy("rank").collect()] == plain_mutual_information(v, q.max(1), 8)[0]
+
+
 def test_last_pick_scores_nothing(spark):
     order = spark.createDataFrame([(1, 5, 0.0), (2, 6, 0.0), (3, 7, 0.0)], "rank int, pos long, value double")
     got = {r["pos"]: r["facility"] for r in greedy.rank_scores(order, spark.createDataFrame([(i,) for i in range(4, 9)], "pos long")).collect()}
